@@ -13,6 +13,7 @@ from tidemark.llm.jaccard_join import ngram_jaccard_join
 from tidemark.llm.sharding import shard_rows
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.warc import archive_round_trip
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
@@ -32,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096, prefixes=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
 
@@ -58,6 +63,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+                 k AS (SELECT h, max(page_id) AS keep FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+            SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+                   CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN keep <> page_id THEN keep END AS refers_to
+            FROM p LEFT JOIN k USING (h)""",
         "op8_exact_dedup": f"""
             WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -10,6 +10,7 @@ from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import ngram_jaccard_join
+from tidemark.llm.language_id import identify_languages
 from tidemark.llm.sharding import shard_rows
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
@@ -37,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
 

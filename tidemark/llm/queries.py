@@ -11,6 +11,7 @@ from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import ngram_jaccard_join
 from tidemark.llm.language_id import identify_languages
+from tidemark.llm.pii import find_pii, train_pii_model
 from tidemark.llm.sharding import shard_rows
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
@@ -30,6 +31,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100, keep_text=False)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, train_pii_model(docs), redacted=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096, prefixes=False)
 

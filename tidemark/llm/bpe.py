@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -154,11 +155,11 @@ class BpeCodec:
         """The tokens' strings, special ones too; ids without one are left out."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids and of the decoded text."""
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of tokens, SHA-256 of the ids and of the decoded text, and the ids joined by blanks."""
         got = self._pieces(text)
         ids, decoded = " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
-        return sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
 @lru_cache(maxsize=4)
@@ -176,7 +177,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             rows = [bpe.digest(t) for t in batch["body"]]
             out = pd.DataFrame({"id": batch["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
             if keep_ids:
-                out["token_ids"] = [bpe.encode(t) for t in batch["body"]]
+                out["token_ids"] = [np.array(r[3].split(), np.int32) for r in rows]
             yield out
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_documents
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import ngram_jaccard_join
 from tidemark.llm.language_id import identify_languages
@@ -31,6 +32,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100, keep_text=False)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find_pii(docs, train_pii_model(docs), redacted=False)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import history, schedule
+
+_PARTS = (history, schedule)
+
 
 def queries():
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for part in _PARTS for k, s in part.ORACLES.items()}

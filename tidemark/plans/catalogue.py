@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import history, schedule
+from tidemark.plans import catalogs, history, schedule, streams
 
-_PARTS = (history, schedule)
+_PARTS = (history, schedule, catalogs, streams)
 
 
 def queries():

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty
 
 BLANK = "▁"
-_CHUNK = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+_CHUNK = f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n"
 
 
 class PrefixCounter:
@@ -43,12 +43,26 @@ class PrefixCounter:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.rank = {model.id_to_piece(i): model.get_score(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.longest = max(map(len, self.rank))
         #: Chunks must not hide a piece that crosses their borders.
         assert not any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.rank)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.wholes: dict[str, bool] = {}
+        #: A comma or full stop after a letter is another such border, unless some piece crosses it.
+        crossed = any(re.search("[A-Za-zÀ-ÿ][.,]", p) for p in self.rank)
+        self.cut_marks = not crossed
+        self.chunk = re.compile(_CHUNK if crossed else f"{BLANK}*[A-Za-zÀ-ÿ]+(?=[.,])|{_CHUNK}")
+        #: Pieces that merging gives whole, and a tree of their characters: (number or -1, what may follow).
+        self.pieces: list[str] = []
+        self.tree: dict[str, tuple[int, dict]] = {}
+        for piece in self.rank:
+            if len(piece) == 1 or self.merge(piece) == [piece]:
+                node = self.tree
+                for c in piece[:-1]:
+                    node = node.setdefault(c, (-1, {}))[1]
+                node[piece[-1]] = (len(self.pieces), node.get(piece[-1], (-1, {}))[1])
+                self.pieces.append(piece)
+        self.pairs: dict[int, bool] = {}
         self.size, self.young, self.old = cache_chunks, {}, {}
+        self.words: dict[str, int] = {}
+        self.old_words: dict[str, int] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging the best-ranked neighbours first, leftmost among equals."""
@@ -72,12 +86,12 @@ class PrefixCounter:
                 heappush(queue, (-rank[p], q, p))
         return [s for s in sym if s is not None]
 
-    def adjacent(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (got := self.pairs.get(key)) is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merge(left + right) == [left, right]
+    def adjacent(self, left: int, right: int) -> bool:
+        """Whether two pieces stay as they are side by side."""
+        a, b = self.pieces[left], self.pieces[right]
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        got = self.pairs[left << 20 | right] = self.merge(a + b) == [a, b]
         return got
 
     def chunk_table(self, chunk: str) -> tuple[int, ...]:
@@ -92,37 +106,51 @@ class PrefixCounter:
         return got
 
     def _table(self, chunk: str) -> tuple[int, ...]:
-        rank, adjacent = self.rank, self.adjacent
-        last: list[str] = [""]
-        count = [0]
-        for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = chunk[start:end]
-                if end - start > 1 and (piece not in rank or not self.whole(piece)):
-                    continue
-                if start == 0 or adjacent(last[start], piece):
-                    last.append(piece)
-                    count.append(count[start] + (1 if piece in rank else len(piece.encode("utf-8"))))
+        n, pairs = len(chunk), self.pairs
+        last: list[int | None] = [None] * (n + 1)  # of each prefix; -1: a character outside the vocabulary
+        last[0] = -1
+        count = [0] * (n + 1)
+        for start in range(n):
+            left, here, node = last[start], count[start] + 1, self.tree
+            for end in range(start, n):
+                if (found := node.get(chunk[end])) is None:
                     break
-            else:  # can't happen: the encoding of every prefix has a last piece
-                raise AssertionError(f"no last piece at {end} of {chunk!r}")
+                piece, node = found
+                if piece >= 0 and last[end + 1] is None and (left < 0 or (pairs[k] if (k := left << 20 | piece) in pairs else self.adjacent(left, piece))):
+                    last[end + 1], count[end + 1] = piece, here
+            if chunk[start] not in self.rank:
+                last[start + 1], count[start + 1] = -1, here - 1 + len(chunk[start].encode("utf-8"))
         return tuple(count[1:])
 
-    def whole(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        if (got := self.wholes.get(piece)) is None:
-            got = self.wholes[piece] = self.merge(piece) == [piece]
-        return got
-
     def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall((BLANK + text).replace(" ", BLANK)) if text else []
+        return self.chunk.findall((BLANK + text).replace(" ", BLANK)) if text else []
 
     def count(self, text: str) -> int:
-        chunks = self.chunks(text)
-        got = list(map(self.young.get, chunks))
+        """The number of tokens of the whole text."""
+        words = text.replace("\n", " \n")
+        if not text or text[0] == " " or "  " in words or BLANK in text:
+            return sum([self.chunk_table(c)[-1] for c in self.chunks(text)])
+        # Single blanks only: a word is one chunk with its blank, or a line end and what follows it.
+        words = words.split(" ")
+        got = list(map(self.words.get, words))
         if None in got:
-            got = [g or self.chunk_table(c) for g, c in zip(got, chunks)]
-        return sum([g[-1] for g in got])
+            got = [self._count_word(w) if g is None else g for g, w in zip(got, words)]
+        return sum(got)
+
+    def _count_word(self, word: str) -> int:
+        if (got := self.words.get(word)) is not None:
+            return got
+        if (got := self.old_words.get(word)) is None:
+            if word[-1:] in (",", ".") and self.cut_marks and word[-2:-1].isascii() and word[-2:-1].isalpha():
+                got = self._count_word(word[:-1]) + self._table(word[-1])[-1]
+            elif word[:1] == "\n":
+                got = self._table("\n")[-1] + (self._table(word[1:])[-1] if len(word) > 1 else 0)
+            else:
+                got = self._table(BLANK + word)[-1]
+        if len(self.words) >= 2 * self.size:
+            self.old_words, self.words = self.words, {}
+        self.words[word] = got
+        return got
 
     def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
         """Ends (in characters of the text) and running counts of its chunks."""

@@ -55,7 +55,7 @@ def name_parts(col: Column) -> Column:
     pattern = r"(?s)^(.*)#(?U:\s*)([A-Za-z0-9][A-Za-z0-9./-]*)(?U:\s*)$"
     number = F.nullif(F.regexp_extract(bare, pattern, 2), F.lit(""))
     base = F.when(number.isNotNull(), F.regexp_extract(bare, pattern, 1)).otherwise(bare)
-    return F.struct(squeeze(base).alias("base"), tags.alias("tags"), number.alias("number"))
+    return F.named_struct(F.lit("base"), squeeze(base), F.lit("tags"), tags, F.lit("number"), number)
 
 
 def canonical_number(col: Column) -> Column:
@@ -101,7 +101,7 @@ def money_to_cents(col: Column) -> Column:
     cents = F.bround(amount * 100, 0)
     fits = cents <= 2_147_483_647
     blank = F.coalesce(F.regexp_replace(col, r"[\s\u00a0]", "") == "", F.lit(True))
-    return F.struct(F.when(~blank & fits, cents.cast("int")).alias("cents"), (~blank & ~F.coalesce(fits, F.lit(False))).alias("drift"))
+    return F.named_struct(F.lit("cents"), F.when(~blank & fits, cents.cast("int")), F.lit("drift"), ~blank & ~F.coalesce(fits, F.lit(False)))
 
 
 def strict_date(col: Column) -> Column:
@@ -116,7 +116,7 @@ def epoch_ms_date(col: Column) -> Column:
 def split_id(col: Column) -> Column:
     """``struct(source, id)``, split at the first ``-``; both null without one."""
     at = F.instr(col, "-")
-    return F.struct(F.when(at > 1, F.substring_index(col, "-", 1)).alias("source"), F.when(at > 1, F.substr(col, at + 1)).alias("id"))
+    return F.named_struct(F.lit("source"), F.when(at > 1, F.substring_index(col, "-", 1)), F.lit("id"), F.when(at > 1, F.substr(col, at + 1)))
 
 
 def stream_position(col: Column) -> Column:
@@ -124,7 +124,7 @@ def stream_position(col: Column) -> Column:
     whole = F.when(col.rlike("^[0-9]+$"), col.try_cast("bigint"))
     parts = F.when(col.rlike("^[0-9]+-[0-9]+$"), F.split(col, "-"))
     lot = parts[1].try_cast("bigint")
-    return F.struct(F.when(whole.isNotNull(), F.lit("")).when(lot.isNotNull(), parts[0]).alias("stream"), F.coalesce(whole, lot).alias("position"))
+    return F.named_struct(F.lit("stream"), F.when(whole.isNotNull(), F.lit("")).when(lot.isNotNull(), parts[0]), F.lit("position"), F.coalesce(whole, lot))
 
 
 def capitalise_segments(col: Column) -> Column:

@@ -108,8 +108,8 @@ def burst_rate(df: DataFrame, key: str, bucket: str, day: str, today: Column, or
     day and, for each k of at least ``least_k``, k rows over the days back to the k-th newest (at least one)."""
     recent = df.filter(F.col(day) > F.date_sub(today, window_days))
     w = Window.partitionBy(key, bucket).orderBy(F.desc(day), *[F.col(c) for c in order])
-    ranked = recent.select(key, bucket, day, F.row_number().over(w).alias("k"))
-    pace = F.when(F.col("k") >= least_k, F.col("k") / F.greatest(F.datediff(today, F.col(day)), F.lit(1)))
-    rates = ranked.groupBy(key, bucket).agg((F.count(F.lit(1)) / window_days).alias("flat"), F.max(pace).alias("burst"))
-    hottest = rates.groupBy(key).agg(F.max(F.greatest("flat", "burst")).alias("rate"))
+    ranked = recent.select(key, bucket, day, F.row_number().over(w).alias("__k"))
+    pace = F.when(F.col("__k") >= least_k, F.col("__k") / F.greatest(F.datediff(today, F.col(day)), F.lit(1)))
+    rates = ranked.groupBy(key, bucket).agg((F.count(F.lit(1)) / window_days).alias("__flat"), F.max(pace).alias("__burst"))
+    hottest = rates.groupBy(key).agg(F.max(F.greatest("__flat", "__burst")).alias("rate"))
     return df.select(key).distinct().join(hottest, key, "left").select(key, F.coalesce("rate", F.lit(0.0)).alias("rate"))

@@ -54,6 +54,13 @@ def promo_groups(catalog: DataFrame, ending: str) -> DataFrame:
     return unique_by(promos, "prefix", "group_id")
 
 
+def _few(df: DataFrame, column: str, most: int = 1_000) -> list[str]:
+    rows = df.select(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return sorted(r[0] for r in rows)
+
+
 def match_members(members: DataFrame, mapping: DataFrame, catalog_members: DataFrame, catalog: DataFrame, siblings: DataFrame, promos: DataFrame, synonyms: dict[str, str], key: str = "id") -> DataFrame:
     """A verdict for each member: ``key, status, number, official, group_id, member_id, name``.
 
@@ -73,8 +80,8 @@ def match_members(members: DataFrame, mapping: DataFrame, catalog_members: DataF
         .unionByName(at(mapped.withColumnRenamed("group_id", "__own").join(promos, "prefix"), 0, F.col("__pos") * 2 + 1, "group_id"))
         .unionByName(at(mapped, 1, F.col("__pos") * 2, "group_id"))
         .unionByName(at(pool.filter("prefix <> ''").join(promos, "prefix"), 0, F.lit(0), "group_id"))
-        # A bare number may be any era's: joined on a constant to the promo groups, of which there are few.
-        .unionByName(at(pool.filter("prefix = ''").join(promos.select("group_id", F.lit("").alias("prefix")), "prefix"), 0, F.lit(0), "group_id"))
+        # A bare number may be any era's; the promo groups are few, and refused if they are not.
+        .unionByName(at(pool.filter("prefix = ''").withColumn("group_id", F.explode(F.lit(_few(promos, "group_id")))), 0, F.lit(0), "group_id"))
         .select(*cols)
     )
     refs = catalog_members.select("group_id", "member_id", "local_id", F.col("name").alias("ref_name"), canonical_number(F.col("local_id")).alias("__canonical"), comparable_name(F.col("name"), synonyms).alias("__ref"))

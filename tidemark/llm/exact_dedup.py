@@ -32,7 +32,7 @@ RUN_SCHEMA = "run string, digest binary, lo_id bigint, hi_id bigint, n bigint"
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
 
 
-def _flush_runs(memtable_rows: int):
+def _flush_runs(memtable_rows: int, added: int):
     def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -42,10 +42,10 @@ def _flush_runs(memtable_rows: int):
             table = rows if table is None else pd.concat([table, rows], ignore_index=True)
             table = table.groupby("digest", sort=True, as_index=False).agg(lo_id=("lo_id", "min"), hi_id=("hi_id", "max"), n=("n", "sum"))
             if len(table) >= memtable_rows:
-                yield table.assign(run=f"{part}-{number}")[["run", "digest", "lo_id", "hi_id", "n"]]
+                yield table.assign(run=f"{added}-{part}-{number}")[["run", "digest", "lo_id", "hi_id", "n"]]
                 number, table = number + 1, None
         if table is not None and len(table):
-            yield table.assign(run=f"{part}-{number}")[["run", "digest", "lo_id", "hi_id", "n"]]
+            yield table.assign(run=f"{added}-{part}-{number}")[["run", "digest", "lo_id", "hi_id", "n"]]
 
     return flush
 
@@ -54,13 +54,14 @@ class DigestIndex:
     """Levels of sorted digest runs in the shared folder."""
 
     def __init__(self, spark, memtable_rows: int = 200_000):
-        self.spark, self.memtable_rows = spark, memtable_rows
+        self.spark, self.memtable_rows, self.added = spark, memtable_rows, 0
         self.path = shared_path(spark, "digest-index")
 
     def add(self, rows: DataFrame, id_col: str, digest_col: str) -> None:
         """Flushes the rows of ``rows`` as level-0 runs; may be called again for later batches."""
-        runs = rows.select(F.col(digest_col).alias("digest"), F.col(id_col).cast("bigint").alias("lo_id")).mapInPandas(_flush_runs(self.memtable_rows), RUN_SCHEMA)
+        runs = rows.select(F.col(digest_col).alias("digest"), F.col(id_col).cast("bigint").alias("lo_id")).mapInPandas(_flush_runs(self.memtable_rows, self.added), RUN_SCHEMA)
         runs.write.mode("append").options(**_BLOOM).parquet(f"{self.path}/level0")
+        self.added += 1
 
     def compact(self) -> DataFrame:
         """Merges all runs into level 1: one entry for each digest, sorted by digest."""

@@ -147,3 +147,17 @@ def test_uncommitted_batches_are_invisible(spark, tmp_path):
     t.write(spark.createDataFrame([(3, 3)], schema), 1)
     t.commit(1)
     assert rows(t.read()) == [(1, 1), (3, 3)]
+
+
+def test_species_documents(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "t").mkdir()
+    species = {
+        "id": 2, "name": "b", "names": [{"language": {"name": "en"}, "name": "Bee"}], "generation": {"name": "generation-i"}, "color": {"name": "red"}, "habitat": None,
+        "evolves_from_species": {"url": "https://x/species/1/"}, "egg_groups": [{"name": "z"}, {"name": "a"}], "evolution_chain": {"url": "https://x/chain/9/"},
+        "varieties": [{"is_default": False, "creature": {"url": "https://x/creature/8/"}}, {"is_default": True, "creature": {"url": "https://x/creature/7/"}}],
+    }
+    (tmp_path / "s/2.json").write_text(json.dumps(species))
+    (tmp_path / "t/7.json").write_text(json.dumps({"id": 7, "types": [{"slot": 2, "type": {"name": "wind"}}, {"slot": 1, "type": {"name": "fire"}}]}))
+    r = documents.species_documents(spark, str(tmp_path / "s"), str(tmp_path / "t"), "creature").first()
+    assert (r["id"], r["name"], r["evolves_from"], r["chain_id"], r["types"], r["egg_groups"], r["names"]) == (2, "Bee", 1, 9, ["fire", "wind"], ["a", "z"], {"en": "Bee"})

@@ -34,15 +34,16 @@ def catalog_documents(spark: SparkSession, path: str, expected: int, digital_ser
 
 SPECIES_DOC = """id int, name string, names array<struct<language struct<name string>, name string>>, generation struct<name string>,
     color struct<name string>, habitat struct<name string>, evolves_from_species struct<url string>, egg_groups array<struct<name string>>,
-    evolution_chain struct<url string>, varieties array<struct<is_default boolean, pokemon struct<url string>>>"""
+    evolution_chain struct<url string>, varieties array<struct<is_default boolean, {entity} struct<url string>>>"""
 TYPE_DOC = "id int, types array<struct<slot int, type struct<name string>>>"
 
 
-def species_documents(spark: SparkSession, species_path: str, types_path: str) -> DataFrame:
-    """Species joined to the types of their default variety by the ids that end URLs, ordered arrays kept so."""
+def species_documents(spark: SparkSession, species_path: str, types_path: str, entity: str) -> DataFrame:
+    """Species joined to the types of their default variety by the ids that end URLs, ordered arrays kept so.
+    ``entity`` is the field of a variety that holds the URL of its document."""
     read = lambda schema, path: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    s = read(SPECIES_DOC, species_path)
-    default = F.filter("varieties", lambda v: v["is_default"])[0]["pokemon"]["url"]
+    s = read(SPECIES_DOC.format(entity=entity), species_path)
+    default = F.filter("varieties", lambda v: v["is_default"])[0][entity]["url"]
     types = read(TYPE_DOC, types_path).select(F.col("id").alias("__variety"), F.transform(F.array_sort("types"), lambda t: t["type"]["name"]).alias("types"))
     s = s.withColumn("__variety", trailing_id(default).cast("int")).join(types, "__variety", "left")
     english = F.filter("names", lambda n: n["language"]["name"] == "en")[0]["name"]

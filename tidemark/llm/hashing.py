@@ -106,3 +106,52 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
     return np.unique(shingle_hashes(word_hashes(text), size))
+
+
+#: Short texts are hashed together, this many bytes at a time.
+TOGETHER = 1 << 18
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    out: list[np.ndarray] = []
+    i = 0
+    while i < len(texts):
+        j, total = i + 1, len(texts[i])
+        while j < len(texts) and total + len(texts[j]) < TOGETHER:
+            total += len(texts[j])
+            j += 1
+        if j == i + 1:
+            out.append(shingle_set(texts[i], size))
+        else:
+            part = texts[i:j]
+            data = np.frombuffer(b"\n".join(part), np.uint8)
+            start, end = word_spans(data)
+            words = mix(_WORDS.span(_WORDS.prefix(data), start, end))
+            first = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in part]))))
+            whole = shingle_hashes(words, size) if len(words) >= size else words[:0]
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                out.append(_distinct(whole[a : b - size + 1]) if b - a >= size else shingle_hashes(words[a:b], size))
+        i = j
+    return out
+
+
+def bitmap(features: np.ndarray, most: int = 20) -> bytes:
+    """A bit for each leading part of the features, at least two bits a feature up to ``2**most``."""
+    k = min(max(6, int(2 * len(features) - 1).bit_length() if len(features) else 6), most)
+    bits = np.zeros(1 << k, bool)
+    bits[(features >> _U(64 - k)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def absent(a: bytes, b: bytes) -> tuple[int, int]:
+    """At least so many features of the first bitmap's set are missing in the second's, and the other way round."""
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = x.reshape(n, -1).any(axis=1), y.reshape(n, -1).any(axis=1)
+    return int((x & ~y).sum()), int((y & ~x).sum())

@@ -11,9 +11,10 @@ too. So k + 1 signatures (partition and its elements) for each set are enough: s
 sets always share one. This is PartEnum with second-level partitions of which all but
 one are enumerated out of two, ``n2 = 2, k2 = 1``, which leaves single partitions.
 
-* *Size bands*: the number of partitions fits the size, in bands of a factor of four;
-  a set near its band's upper end also signs in the next one, where its larger
-  partners are.
+* *Size bands*: sets of up to ``SMALL`` features have partitions of one feature each,
+  in which n * (1 - t) + 1 signatures do. For larger ones the number of partitions fits the
+  size, in bands of a factor of four. A set near its band's upper end also signs in the
+  next one, where its larger partners are.
 * *Frequent features* (a boilerplate line, a family of a thousand near copies) get
   partitions of their own at the end of the order, rarest first; a set reaches them
   only if it has too few others. Which features count as frequent changes the cost,
@@ -43,14 +44,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty
 from tidemark.llm.components import connected_components
-from tidemark.llm.hashing import mix, shingle_set
+from tidemark.llm.hashing import absent, bitmap, mix, shingle_set, shingle_sets
 
 _U = np.uint64
 _LEVEL = 0x9FB21C651E98DF25
 _PART = _U(0xD6E8FEB86659FD93)
 _HOT = _U(0xA0761D6478BD642F)
-#: Sets below this size have partitions of single features.
-SMALL = 64
+#: Sets below this size have the finest partitions, of single features.
+SMALL = 1024
 
 
 class Signer:
@@ -79,7 +80,6 @@ class Signer:
         n = len(features)
         if n == 0:
             return features
-        want = self.budget(n) + 1
         cold, hot = features, features[:0]
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, features), len(self.frequent) - 1)
@@ -90,10 +90,12 @@ class Signer:
         out = []
         for level in self.levels(n):
             salt = _U(_LEVEL * (level + 1) % 2**64)
+            # In partitions of one feature only a set's own differing features spoil any: a partner has at least num / den of it.
+            want = (n - -(-self.num * n // self.den) if level == 0 else self.budget(n)) + 1
             if level == 0:
                 signed = mix(cold[:want] ^ salt)
             elif len(cold):
-                part = cold >> _U(64 - (7 + 2 * level))
+                part = cold >> _U(64 - (11 + 2 * level))
                 start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 signed = mix(np.add.reduceat(mix(cold), start)[:want] + part[start][:want] * _PART + salt)
             else:
@@ -115,7 +117,13 @@ def _two(features: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
 
 
-PROFILE = "id bigint, n bigint, h1 bigint, h2 bigint, feature bigint, df bigint"
+def _sets(batch: pd.DataFrame, size: int) -> Iterator[np.ndarray]:
+    """The feature set of each row, some hundred rows at a time."""
+    for k in range(0, len(batch), 256):
+        yield from shingle_sets(list(batch["body"].iloc[k : k + 256]), size)
+
+
+PROFILE = "id bigint, n bigint, h1 bigint, h2 bigint, bits binary, feature bigint, df bigint"
 
 
 def _profiles(size: int, local_df: int, chunk: int):
@@ -130,19 +138,18 @@ def _profiles(size: int, local_df: int, chunk: int):
         def frequent() -> pd.DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= local_df
-            return pd.DataFrame({"id": None, "n": None, "h1": None, "h2": None, "feature": values[many].view(np.int64), "df": counts[many]})
+            return pd.DataFrame({"id": None, "n": None, "h1": None, "h2": None, "bits": None, "feature": values[many].view(np.int64), "df": counts[many]})
 
         for batch in batches:
             rows = []
-            for text in batch["body"]:
-                s = shingle_set(text, size)
+            for s in _sets(batch, size):
                 name = _two(s)
-                rows.append((len(s), *name))
+                rows.append((len(s), *name, bitmap(s)))
                 if name not in seen:
                     seen.add(name)
                     held.append(s)
                     total += len(s)
-            yield pd.DataFrame({"id": batch["id"], "n": [r[0] for r in rows], "h1": [r[1] for r in rows], "h2": [r[2] for r in rows], "feature": None, "df": None})
+            yield pd.DataFrame({"id": batch["id"], "n": [r[0] for r in rows], "h1": [r[1] for r in rows], "h2": [r[2] for r in rows], "bits": [r[3] for r in rows], "feature": None, "df": None})
             if total >= chunk:
                 yield frequent()
                 held, seen, total = [], set(), 0
@@ -181,8 +188,7 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
         seen: set[tuple[int, int]] = set()
         total = 0
         for batch in batches:
-            for node, text in zip(batch["id"], batch["body"]):
-                s = shingle_set(text, size)
+            for node, s in zip(batch["id"], _sets(batch, size)):
                 if not len(s) or (name := _two(s)) in seen:
                     continue
                 seen.add(name)
@@ -199,11 +205,12 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
     return signatures
 
 
-FOUND = "a bigint, b bigint, support bigint, group_id bigint, member bigint"
+#: Pairs: ``a < b`` and their support; else a group and a member of it.
+FOUND = "pair boolean, a bigint, b bigint, support bigint"
 
 
 def _candidates(num: int, den: int):
-    """Of a bucket: pairs with each group's least member (``a < b``), and the members of groups of three or more."""
+    """Of a bucket: pairs with each group's least member, and the members of groups of three or more."""
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, sizes, sigs = [], [], []
@@ -213,42 +220,57 @@ def _candidates(num: int, den: int):
             nodes.append(node[owner])
             sizes.append(size[owner])
             sigs.append(sig)
-        node, size, sig = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64), np.concatenate(sigs)
+        node, size, sig = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(sigs)
         del nodes, sizes, sigs
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         s = sig[order]
-        again = np.concatenate(([False], s[1:] == s[:-1]))
-        shared = again | np.concatenate((again[1:], [False]))
-        order = order[shared]
+        again = s[1:] == s[:-1]
+        order = order[np.concatenate((again, [False])) | np.concatenate(([False], again))]
         order = order[np.lexsort((node[order], sig[order]))]
-        s, v, n = sig[order], node[order], size[order]
+        s, v, n = sig[order], node[order], size[order].astype(np.int64)
         fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))[: len(s)]
         s, v, n = s[fresh], v[fresh], n[fresh]
-        empty = pd.DataFrame({c.split()[0]: pd.Series([], dtype="Int64") for c in FOUND.split(", ")})
         if not len(s):
-            return empty
+            return pd.DataFrame({"pair": np.empty(0, bool), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "support": np.empty(0, np.int64)})
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         length = np.diff(np.append(start, len(s)))
         group = np.repeat(np.arange(len(start)), length)
         a, an = v[start][group], n[start][group]
         ok = (a != v) & (num * np.maximum(an, n) <= den * np.minimum(an, n))
-        pairs = pd.DataFrame({"a": a[ok], "b": v[ok]}).value_counts().reset_index(name="support") if ok.any() else pd.DataFrame({"a": [], "b": [], "support": []})
-        pairs = pairs.astype("Int64").assign(group_id=pd.array([pd.NA] * len(pairs), "Int64"), member=pd.array([pd.NA] * len(pairs), "Int64"))
+        a, b = a[ok], v[ok]
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+        pairs = pd.DataFrame({"pair": np.ones(len(new), bool), "a": a[new], "b": b[new], "support": np.diff(np.append(new, len(a)))})
         # Groups with the same members are one.
-        with np.errstate(over="ignore"):
-            name = np.add.reduceat(mix(v.view(_U)), start) + length.astype(_U)
+        name = np.add.reduceat(mix(v.view(_U)), start) + length.astype(_U)
         _, first = np.unique(name, return_index=True)
         keep = np.zeros(len(start), bool)
         keep[first] = True
-        keep &= length >= 3
-        rows = keep[group]
-        groups = pd.DataFrame({"group_id": name.view(np.int64)[group][rows], "member": v[rows]}).astype("Int64")
-        groups = groups.assign(a=pd.array([pd.NA] * len(groups), "Int64"), b=pd.array([pd.NA] * len(groups), "Int64"), support=pd.array([pd.NA] * len(groups), "Int64"))
-        return pd.concat([x for x in (pairs, groups[list(pairs.columns)]) if len(x)] or [empty], ignore_index=True)[[c.split()[0] for c in FOUND.split(", ")]]
+        rows = (keep & (length >= 3))[group]
+        groups = pd.DataFrame({"pair": np.zeros(int(rows.sum()), bool), "a": name.view(np.int64)[group][rows], "b": v[rows], "support": np.zeros(int(rows.sum()), np.int64)})
+        return pd.concat([pairs, groups], ignore_index=True)
 
     return candidates
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Drops pairs that sizes or bitmaps rule out: a bit of one set alone is an element the other lacks."""
+
+    @F.pandas_udf("boolean")
+    def may(na: pd.Series, nb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q, v, w in zip(na, nb, x, y):
+            only_a, only_b = absent(v, w)
+            both = min(p - only_a, q - only_b)
+            out.append(den * both >= num * (p + q - both))
+        return pd.Series(out, dtype=bool)
+
+    at = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
+    sized = pairs.select("a", "b").join(at("b"), "b").join(at("a"), "a").filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
+    return sized.filter(may("na", "nb", "bitsa", "bitsb")).select("a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts' sets are similar enough, by their sets."""
 
@@ -256,12 +278,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
         import zstandard
 
         held: dict[int, np.ndarray] = {}
+        room = 1_000_000
 
         def features(node: int, text: bytes) -> np.ndarray:
+            nonlocal room
             if node not in held:
-                if len(held) > 500:
+                if room < 0:
                     held.clear()
+                    room = 1_000_000
                 held[node] = shingle_set(zstandard.decompress(text), size)
+                room -= len(held[node])
             return held[node]
 
         for batch in batches:
@@ -300,9 +326,9 @@ def ngram_jaccard_join(
     ``max_frequent`` bounds the broadcast list of frequent features."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(text_or_empty(text_col), "UTF-8").alias("body"))
-    profile = materialize(rows.mapInPandas(_profiles(size, 16, 4_000_000), PROFILE), "join-profile")
-    members = profile.filter("df is null").select("id", "n", "h1", "h2")
-    hot = profile.filter("df is not null").groupBy("feature").agg(F.sum("df").alias("df")).filter("df >= 32")
+    profile = materialize(rows.mapInPandas(_profiles(size, 3, 1_000_000), PROFILE), "join-profile")
+    members = profile.filter("df is null").select("id", "n", "h1", "h2", "bits")
+    hot = profile.filter("df is not null").groupBy("feature").agg(F.sum("df").alias("df")).filter("df >= 6")
     hot = hot.orderBy(F.desc("df"), "feature").limit(max_frequent).orderBy("df", "feature").collect()
     frequent = spark.sparkContext.broadcast(np.array([r["feature"] for r in hot], np.int64).view(_U))
 
@@ -310,18 +336,21 @@ def ngram_jaccard_join(
     names = members.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     signed = rows.filter("id is not null")
     buckets = max(16, int((docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("s")).first()["s"] or 0) // bucket_bytes))
-    blocks = signed.mapInPandas(_signatures(size, num, den, frequent, buckets, 2_000_000), BLOCKS)
+    blocks = signed.mapInPandas(_signatures(size, num, den, frequent, buckets, 500_000), BLOCKS)
     found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(num, den), FOUND), "join-found")
 
     # Members that several tasks met go by their set's one name.
     copies = members.filter("n > 0 and id is not null").join(names, ["h1", "h2"]).filter("id <> rep").select("id", "rep").distinct()
-    pairs = found.filter("a is not null").select("a", "b", "support")
+    sketches = members.filter("n > 0 and id is not null").join(names.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "bits")
+    pairs = found.filter("pair").select("a", "b", "support")
     for side in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("id").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
     pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
     pairs = materialize(pairs, "join-pairs")
-    groups = found.filter("member is not null").select("group_id", F.col("member").alias("id")).join(copies, "id", "left").select("group_id", F.coalesce("rep", "id").alias("id"))
+    groups = found.filter("not pair").select(F.col("a").alias("group_id"), F.col("b").alias("id")).join(copies, "id", "left").select("group_id", F.coalesce("rep", "id").alias("id"))
 
+    pairs = pairs.join(_possible(pairs, sketches, num, den), ["a", "b"], "left_semi")
+    pairs = materialize(pairs, "join-possible")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = materialize(signed.mapInPandas(_pack, "id bigint, packed binary").join(involved, "id", "left_semi"), "join-texts")
 
@@ -337,10 +366,13 @@ def ngram_jaccard_join(
     last = None
     while True:
         at = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spans = at.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        groups = materialize(groups.join(spans.select("group_id"), "group_id", "left_semi").distinct(), "join-groups")
-        at = groups.join(labels, "id", "left").select("group_id", "id", F.coalesce("component", "id").alias("component"))
-        lane = at.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(centres_a_round)))
+        spans = at.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
+        at = at.join(spans.select("group_id", "members"), "group_id").select("group_id", "id", "component", "members").distinct()
+        at = materialize(at, "join-groups")
+        groups = at.select("group_id", "id")
+        # Of small groups every member is a centre at once, of large ones the next of each lane.
+        small = F.col("members") <= 2 * centres_a_round
+        lane = at.withColumn("lane", F.when(small, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(centres_a_round))))
         if last is not None:
             lane = lane.join(last, ["group_id", "lane"], "left").filter("last is null or id > last")
         centres = materialize(lane.groupBy("group_id", "lane").agg(F.min(F.struct("id", "component")).alias("c")).select("group_id", "lane", "c.*"), "join-centres")
@@ -351,16 +383,16 @@ def ngram_jaccard_join(
         across = (
             at.alias("m")
             .join(centres.alias("c"), "group_id")
-            .filter("m.component <> c.component")
+            .filter("m.component <> c.component and (m.id < c.id or m.members > %d)" % (2 * centres_a_round))
             .select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b"))
             .distinct()
             .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         )
-        across = materialize(across, "join-across")
+        across = materialize(_possible(across, sketches, num, den), "join-across")
         texts = _with_texts(across, texts, signed)
         links, labels = _extend(links, materialize(_verify(across, texts, size, num, den), "join-links"), labels)
 
-    components = members.join(names, ["h1", "h2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    components = members.join(names, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     components = components.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return components.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
@@ -371,7 +403,8 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFr
     missing = materialize(ids.join(texts.select("id"), "id", "left_anti"), "join-missing")
     if missing.isEmpty():
         return texts
-    return texts.unionByName(materialize(signed.mapInPandas(_pack, "id bigint, packed binary").join(missing, "id", "left_semi"), "join-texts"))
+    # Few are missing: the join comes first, so that only theirs reach Python.
+    return texts.unionByName(materialize(signed.join(missing, "id", "left_semi").mapInPandas(_pack, "id bigint, packed binary"), "join-texts"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:

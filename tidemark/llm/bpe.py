@@ -53,7 +53,7 @@ def byte_symbols() -> list[str]:
 class BpeCodec:
     """``cache_words`` bounds each of two generations of remembered words; a full young one becomes the old one."""
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 80_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -7,6 +7,7 @@ machine) a temporary folder of this machine is used.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,12 +29,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while tables are written: texts can be long, and a batch stands in memory several times.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Python stages that run inside get batches of at most so many rows."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if before and int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage is cut, and a
     lost executor costs at most the tasks that ran on it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

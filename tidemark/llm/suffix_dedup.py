@@ -372,4 +372,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = runs.filter("not expand").unionByName(windows)
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
     out = zipped.join(lists(repeats, "lo", "cnt"), "id", "left").mapInPandas(_cut(length, keep_text), schema)
+    out = materialize(out, "suffix-kept")
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)

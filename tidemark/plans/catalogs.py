@@ -19,7 +19,7 @@ def title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     return d.select("id", text.name_fold(F.col("t")).alias("folded"))
 
 

@@ -73,7 +73,7 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unnest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
-    return e.filter("pos < 8").select("vec_id", (F.col("pos") + 1).cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 6).alias("value"))
+    return e.select("vec_id", (F.col("pos") + 1).cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 _TREE = '{"species":{"url":"https://x/species/1/"},"evolves_to":[{"species":{"url":"https://x/species/2/"},"evolves_to":[{"species":{"url":"https://x/species/3"},"evolves_to":[]}]},{"species":{"url":"https://x/species/4/"},"evolves_to":[]}]}'

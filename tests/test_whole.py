@@ -1,8 +1,12 @@
 """Queries that must read their whole input, against brute force in Python."""
 
+import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.functions.text import NAME_ACCENTED, NAME_BASE
+from tidemark.llm.warc import CaptureIndex, archive_round_trip, plan_records, write_archives
 from tidemark.plans import catalogue
 
 
@@ -20,3 +24,32 @@ def test_unnest_rows_keeps_every_element(spark, tmp_path):
     got = sorted((r["vec_id"], r["slot"], r["value"]) for r in catalogue.queries()["unnest_rows"](spark, str(tmp_path)).collect())
     assert [x[:2] for x in got] == [(i, k + 1) for i, v in rows for k in range(len(v or []))]
     assert all(abs(value - dict(rows)[i][slot - 1]) < 1e-6 for i, slot, value in got)
+
+
+PAGES = "page_id bigint, url string, html string"
+
+
+def test_index_finds_a_key_over_many_blocks(spark, tmp_path):
+    hot = [(None, "http://m.example.com/hot", f"hot {i}") for i in range(40)]
+    rows = hot + [(i, f"http://m.example.com/{c}", f"{c} {i}") for c in ("a", "hot", "z") for i in range(12)] + [(90, "http://m.example.com/a\tb\tc", "tabs")]
+    path = str(tmp_path / "warc")
+    write_archives(plan_records(spark.createDataFrame(rows, PAGES)), path, file_bytes=5_000)
+    index = CaptureIndex(spark, path, block_lines=7, ranges=2).build()
+    assert index.directory().filter("first_key = 'com,example,m)/hot '").count() > 2
+    keys = spark.createDataFrame([r[:2] for r in rows] + [(5000, "http://m.example.com/hot")], "id bigint, url string").select(CaptureIndex.key(F.col("url"), F.col("id")).alias("key"))
+    found = index.read(index.locate(keys)).collect()
+    assert sorted((r["id"] or -1, r["url"], bytes(r["payload"]).decode()) for r in found) == sorted((i or -1, u, h) for i, u, h in rows)
+
+
+def test_round_trip_of_a_hot_key(spark):
+    rows = [(None, "http://a.b/hot", f"page {i}") for i in range(7_000)] + [(1, "http://a.b/x\ty", "tab"), (2, None, ""), (2, None, "")]
+    got = archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert sorted((r["page_id"] or -1, r["payload_digest"]) for r in got) == sorted((i or -1, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+
+
+def test_round_trip_of_repeated_large_rows(spark):
+    big = "b" * 2_000
+    rows = [(7, "http://a.b/7", big)] * 4 + [(None, "http://a.b/n", big)] * 3 + [(5, "http://a.b/5", big), (7, "http://a.b/7", "other")]
+    got = archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert sorted((r["page_id"] or -1, r["payload_digest"], r["refers_to"] or -1) for r in got) == sorted((i or -1, sha(h), 7 if h == big and i != 7 else -1) for i, _, h in rows)

@@ -8,9 +8,9 @@ revisits that name it.
 *Index*: archives are scanned for records; their keys (the URL with its host reversed,
 then the record id) are range-partitioned and sorted, and blocks of a few thousand
 lines are compressed. That is the first level. The second is a sparse directory with
-the first key and the place of each block. A lookup finds the one block that can hold
-a key by binary search in the directory of its range, opens only that block, searches
-it the same way, and reads only the record's range of the archive.
+the first key and the place of each block. A lookup finds the blocks that can hold
+a key (one, unless its records run over a block's end) by binary search in the directory
+of its range, opens only those, searches them the same way, and reads only the record's range of the archive.
 
 Directories are never collected: keys asked for are dealt by the same ranges, and one
 range's directory (bounded by its number of blocks) is searched where its blocks are.
@@ -192,8 +192,9 @@ class CaptureIndex:
         def find_blocks(directory: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             directory = directory.sort_values("block")
             first, number = list(directory["first_key"]), list(directory["block"])
-            at = [max(0, bisect_right(first, k) - 1) for k in asked["key"]] if first else []
-            return pd.DataFrame({"range": asked["range"], "key": asked["key"], "block": [number[i] for i in at]}) if first else pd.DataFrame({"range": [], "key": [], "block": []})
+            # A key's records may begin in the block before the first that starts with it.
+            rows = [(r, k, b) for r, k in zip(asked["range"], asked["key"]) for b in number[max(0, bisect_left(first, k) - 1) : bisect_right(first, k)]]
+            return pd.DataFrame(rows, columns=["range", "key", "block"])
 
         asked = keys.withColumn("range", range_of("key"))
         wanted = asked.groupBy("range").cogroup(self.directory().groupBy("range")).applyInPandas(lambda a, d: find_blocks(d, a), "range int, key string, block int")
@@ -204,11 +205,11 @@ class CaptureIndex:
                 rows = []
                 for data, asked in zip(batch["data"], batch["keys"]):
                     lines = zlib.decompress(data).decode("utf-8").split("\n")
-                    first = [x.split("\t", 1)[0] for x in lines]
+                    first = [_fields(x)[0] for x in lines]
                     for key in asked:
                         i = bisect_left(first, key)
                         while i < len(first) and first[i] == key:
-                            rows.append(lines[i].split("\t"))
+                            rows.append(_fields(lines[i]))
                             i += 1
                 yield pd.DataFrame([(k, p, int(o), int(n)) for k, p, o, n in rows], columns=["key", "path", "offset", "length"])
 
@@ -246,8 +247,13 @@ def _number(uri: str) -> int | None:
     return int(uri[10:-1]) if uri[10:-1] else None
 
 
+def _fields(line: str) -> list[str]:
+    """Key, path, offset and length of an index line; the key may have tabs."""
+    return line.rsplit("\t", 3)
+
+
 def _block(part: int, number: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"range": [part], "block": [number], "first_key": [lines[0].split("\t", 1)[0]], "lines": [len(lines)], "data": [zlib.compress("\n".join(lines).encode("utf-8"))]})
+    return pd.DataFrame({"range": [part], "block": [number], "first_key": [_fields(lines[0])[0]], "lines": [len(lines)], "data": [zlib.compress("\n".join(lines).encode("utf-8"))]})
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -267,6 +273,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
         return payload.map(lambda b: None if b is None else hashlib.sha1(b).hexdigest())
 
     back = materialize(back.select("id", "url", "record_type", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("n"), sha1("payload").alias("own")), "warc-back")
-    named = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("n").alias("named_n"), F.col("own").alias("named_own"))
-    out = back.join(named, "refers_to", "left")
+    # Rows of one id may repeat or differ: the digest says which of them a revisit names.
+    named = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("own").alias("digest"), F.col("n").alias("named_n"), F.col("own").alias("named_own")).distinct()
+    out = back.join(named, ["refers_to", "digest"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", "named_n").alias("payload_bytes"), F.coalesce("own", "named_own").alias("payload_digest"), "record_type", "refers_to", "url")

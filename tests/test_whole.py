@@ -53,3 +53,20 @@ def test_round_trip_of_repeated_large_rows(spark):
     got = archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     assert sorted((r["page_id"] or -1, r["payload_digest"], r["refers_to"] or -1) for r in got) == sorted((i or -1, sha(h), 7 if h == big and i != 7 else -1) for i, _, h in rows)
+
+
+def test_lookup_reads_only_its_ranges(spark, tmp_path):
+    rows = [(i, f"http://a.b/{i}", f"page {i} " * 50) for i in range(40)]
+    path = tmp_path / "warc of pages"
+    write_archives(plan_records(spark.createDataFrame(rows, PAGES)).coalesce(1), str(path), file_bytes=1 << 20)
+    index = CaptureIndex(spark, str(path), block_lines=7, ranges=2).build()
+    key = spark.createDataFrame([(17, "http://a.b/17")], "id bigint, url string").select(CaptureIndex.key(F.col("url"), F.col("id")).alias("key"))
+    located = index.locate(key).collect()
+    # The bytes before the range are spoilt, those after it gone; and no plan scans the archives.
+    (at, n), (file,) = located[0][2:], path.glob("*.txt")
+    whole = file.read_bytes()
+    file.with_name(f".{file.name}.crc").unlink()
+    file.write_bytes(b"x" * at + whole[at : at + n])
+    got = index.read(spark.createDataFrame(located)).collect()
+    assert [(r["id"], bytes(r["payload"]).decode()) for r in got] == [(17, rows[17][2])]
+    assert "binaryFile" not in index.read(spark.createDataFrame(located))._jdf.queryExecution().toString()

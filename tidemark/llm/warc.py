@@ -218,29 +218,48 @@ class CaptureIndex:
     def read(self, located: DataFrame) -> DataFrame:
         """Reads the located ranges: ``key, id, url, record_type, refers_to, digest, payload``."""
 
-        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import zstandard
-
-            pack = zstandard.ZstdCompressor(level=1).compress
-            for batch in batches:
-                yield pd.DataFrame({"path": batch["path"], "content": [pack(c) for c in batch["content"]]})
-
         def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import zstandard
-
             for batch in batches:
-                for content, keys, offsets, lengths in zip(batch["content"], batch["keys"], batch["offsets"], batch["lengths"]):
-                    rows, data = [], zstandard.decompress(content)
-                    for key, o, n in zip(keys, offsets, lengths):
-                        ((_, _, h, block),) = parse_records(data[o : o + n])
+                for path, keys, offsets, lengths in zip(batch["path"], batch["keys"], batch["offsets"], batch["lengths"]):
+                    rows, held = [], 0
+                    for key, data in zip(keys, _read_ranges(path, offsets, lengths)):
+                        ((_, _, h, block),) = parse_records(data)
                         ref = h.get("WARC-Refers-To")
                         rows.append((key, _number(h["WARC-Record-ID"]), h.get("WARC-Target-URI", ""), h["WARC-Type"], _number(ref) if ref else None, h["WARC-Payload-Digest"][5:], block.split(b"\r\n\r\n", 1)[1] if h["WARC-Type"] == "response" else None))
-                    out = pd.DataFrame(rows, columns=["key", "id", "url", "record_type", "refers_to", "digest", "payload"])
-                    yield out.astype({"id": "Int64", "refers_to": "Int64"})
+                        held += len(data)
+                        if held >= _HELD_BYTES:
+                            yield _read_rows(rows)
+                            rows, held = [], 0
+                    yield _read_rows(rows)
+
+        lists = located.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "key"))).alias("r")).select("path", F.col("r.key").alias("keys"), F.col("r.offset").alias("offsets"), F.col("r.length").alias("lengths"))
+        return lists.mapInPandas(ranges, "key string, id bigint, url string, record_type string, refers_to bigint, digest string, payload binary")
+
+
+#: Bytes of records that a task reads before it passes them on.
+_HELD_BYTES = 4 << 20
+
+
+def _read_ranges(path: str, offsets: Iterator[int], lengths: Iterator[int]) -> Iterator[bytes]:
+    """The ranges of one archive, each by a seek and a read, in the file system its path names."""
+    from pyarrow import fs
+
+    where = re.sub("^file:/+", "/", path)
+    if where.startswith("/"):
+        files, name = fs.LocalFileSystem(), where
+    else:
+        files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as file:
+        for at, n in zip(offsets, lengths):
+            file.seek(int(at))
+            data = file.read(int(n))
+            if len(data) != n:
+                raise ValueError(f"{path} ends within the {n} bytes from byte {at}")
+            yield data
+
 
-        lists = located.groupBy("path").agg(F.collect_list(F.struct("key", "offset", "length")).alias("r")).select("path", F.col("r.key").alias("keys"), F.col("r.offset").alias("offsets"), F.col("r.length").alias("lengths"))
-        # Archives travel to their located ranges compressed; each is at most a file's worth of records.
-        return _archives(self.spark, self.archives).mapInPandas(packed, "path string, content binary").join(lists, "path").mapInPandas(ranges, "key string, id bigint, url string, record_type string, refers_to bigint, digest string, payload binary")
+def _read_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "id", "url", "record_type", "refers_to", "digest", "payload"]).astype({"id": "Int64", "refers_to": "Int64"})
 
 
 def _number(uri: str) -> int | None:

@@ -3,9 +3,14 @@
 import hashlib
 import re
 
+import numpy as np
+import sentencepiece
 from pyspark.sql import functions as F
 
+from tests.llm.test_tokens import TEXTS
 from tidemark.functions.text import NAME_ACCENTED, NAME_BASE
+from tidemark.llm import queries as Q
+from tidemark.llm.token_counts import PrefixCounter
 from tidemark.llm.warc import CaptureIndex, archive_round_trip, plan_records, write_archives
 from tidemark.plans import catalogue
 
@@ -70,3 +75,14 @@ def test_lookup_reads_only_its_ranges(spark, tmp_path):
     got = index.read(spark.createDataFrame(located)).collect()
     assert [(r["id"], bytes(r["payload"]).decode()) for r in got] == [(17, rows[17][2])]
     assert "binaryFile" not in index.read(spark.createDataFrame(located))._jdf.queryExecution().toString()
+
+
+def test_one_table_of_every_prefix_gives_the_token_columns():
+    path = Q.tokenizer("piece_bpe_32k.model")
+    own, library = PrefixCounter(path, cache_chunks=50), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t[:300] for t in TEXTS] + ["\nNext, word.\nend", "it, was. the ünï, widget", "a \n b", "x" * 70 + ", y."]
+    for text in texts:
+        assert own.prefix_counts(text).tolist() == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        for budget in (1, 4, 9):
+            if own.count(text) > budget:
+                assert np.flatnonzero(own.prefix_counts(text) <= budget)[-1] == own.longest_within(text, budget)

@@ -10,9 +10,10 @@ remembered for each pair.
 
 Blanks only start a piece and a line end is never within one, so a text falls apart
 into chunks whose counts add up: the table of a chunk holds the count at each of its
-prefixes, a text's table the running sum at chunk ends. From both the count at any
-prefix, the longest prefix within a budget and the number of tokens are read off
-without encoding again.
+prefixes. A text's table (``prefix_counts``) joins those of its chunks to the count at
+every prefix; it is built once for each text, and the number of tokens and the longest
+prefix within a budget are read off it. ``prefix_table`` keeps the counts at chunk ends
+only, the form in which tables are stored.
 
 A null or empty text has 0 tokens. Chunks are remembered in two bounded generations;
 memory doesn't grow with the input. Nothing is shuffled.
@@ -21,11 +22,14 @@ memory doesn't grow with the input. Nothing is shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import sub
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +65,8 @@ class PrefixCounter:
                 self.pieces.append(piece)
         self.pairs: dict[int, bool] = {}
         self.size, self.young, self.old = cache_chunks, {}, {}
-        self.words: dict[str, int] = {}
-        self.old_words: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging the best-ranked neighbours first, leftmost among equals."""
@@ -127,31 +131,41 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """The number of tokens of the whole text."""
-        words = text.replace("\n", " \n")
-        if not text or text[0] == " " or "  " in words or BLANK in text:
-            return sum([self.chunk_table(c)[-1] for c in self.chunks(text)])
-        # Single blanks only: a word is one chunk with its blank, or a line end and what follows it.
-        words = words.split(" ")
-        got = list(map(self.words.get, words))
-        if None in got:
-            got = [self._count_word(w) if g is None else g for g, w in zip(got, words)]
-        return sum(got)
-
-    def _count_word(self, word: str) -> int:
+        return int(self.prefix_counts(text)[-1])
+
+    def _word_steps(self, word: str) -> bytes:
+        """By how much each character of a word, and its blank if it has one, changes the count."""
         if (got := self.words.get(word)) is not None:
             return got
         if (got := self.old_words.get(word)) is None:
             if word[-1:] in (",", ".") and self.cut_marks and word[-2:-1].isascii() and word[-2:-1].isalpha():
-                got = self._count_word(word[:-1]) + self._table(word[-1])[-1]
+                got = self._word_steps(word[:-1]) + _steps(self._table(word[-1]))
             elif word[:1] == "\n":
-                got = self._table("\n")[-1] + (self._table(word[1:])[-1] if len(word) > 1 else 0)
+                got = _steps(self._table("\n")) + _steps(self._table(word[1:]))
             else:
-                got = self._table(BLANK + word)[-1]
+                got = _steps(self._table(BLANK + word))
         if len(self.words) >= 2 * self.size:
             self.old_words, self.words = self.words, {}
         self.words[word] = got
         return got
 
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """The number of tokens of ``text[:i]`` for each ``i`` from 0 to the text's length."""
+        if not text:
+            return np.zeros(1, np.int64)
+        words = text.replace("\n", " \n")
+        if text[0] == " " or "  " in words or BLANK in text:
+            steps = [_steps(self.chunk_table(c)) for c in self.chunks(text)]
+        else:
+            # Single blanks only: a word is one chunk with its blank, or a line end and what follows it.
+            words = words.split(" ")
+            steps = list(map(self.words.get, words))
+            if None in steps:
+                steps = [self._word_steps(w) if s is None else s for s, w in zip(steps, words)]
+        counts = np.cumsum(np.frombuffer(b"".join(steps), np.int32), dtype=np.int64)
+        counts[0] = 0  # the blank before the text alone
+        return counts
+
     def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
         """Ends (in characters of the text) and running counts of its chunks."""
         ends, counts, at, total = [], [], -1, 0
@@ -187,6 +201,10 @@ class PrefixCounter:
         return max(0, start + 1 + fit[-1]) if fit else max(0, start)
 
 
+def _steps(table: tuple[int, ...]) -> bytes:
+    return array("i", map(sub, table, (0, *table))).tobytes()
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     """One counter and cache for each worker process."""
@@ -202,10 +220,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         table = counter(path)
         for batch in batches:
             texts = batch["body"]
-            n = [table.count(t) for t in texts]
+            n, fits = [], []
+            for t in texts:
+                counts = table.prefix_counts(t)
+                n.append(int(counts[-1]))
+                fits.append(len(t) if n[-1] <= limit else int(np.flatnonzero(counts <= limit)[-1]))
             out = pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": n})
             out["over_limit"] = out["n_tokens"] > limit
-            out["fits_chars"] = [table.longest_within(t, limit) if k > limit else len(t) for t, k in zip(texts, n)]
+            out["fits_chars"] = fits
             if prefixes:
                 both = [table.prefix_table(t) for t in texts]
                 out["chunk_ends"], out["chunk_counts"] = [b[0] for b in both], [b[1] for b in both]

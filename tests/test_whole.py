@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_tokens import TEXTS
 from tidemark.functions.text import NAME_ACCENTED, NAME_BASE
+from tidemark.llm import pii
 from tidemark.llm import queries as Q
 from tidemark.llm.token_counts import PrefixCounter
 from tidemark.llm.warc import CaptureIndex, archive_round_trip, plan_records, write_archives
@@ -86,3 +87,19 @@ def test_one_table_of_every_prefix_gives_the_token_columns():
         for budget in (1, 4, 9):
             if own.count(text) > budget:
                 assert np.flatnonzero(own.prefix_counts(text) <= budget)[-1] == own.longest_within(text, budget)
+
+
+def test_letters_only_mentions_share_the_hub_of_their_address():
+    text = "Mail anna.meier@example.org or call 12. Then (anna.meier), said others; Anna.Meier again, not annameiers."
+    doc = pii.document(text, pii.base_spans(text))
+    named = [text[a:b].strip("()") for a, b in doc.spans]
+    assert named == ["anna.meier@example.org", "12", "anna.meier", "Anna.Meier"] and doc.spans == sorted(doc.spans)
+    hubs = {i: {h for t, h in doc.hubs.tolist() if t == i} for i in range(4)}
+    assert hubs[0] & hubs[2] & hubs[3] and not hubs[1]
+    assert pii.document("anna.meier and nobody else", []).spans == []
+
+
+def test_training_reads_every_token_of_a_document():
+    calls = " ".join(f"n{i}" for i in range(300))
+    a, b = (pii.fit([f"{calls} {tail}"], epochs=1) for tail in ("a@b.co " * 3, "77 " * 3))
+    assert (a.shape != b.shape).any() and a.shape[pii.shape_features("a@b.co"), 1].sum() > 0

@@ -3,8 +3,8 @@
 *Base spans* come from four patterns (e-mail, IP address, card, phone number) with
 their checks. They are found in time linear in the text and always stay.
 
-*The field* labels the tokens that have a digit or an at sign: outside, or one of the
-four kinds. Its factors are the token's shape, the labels of neighbouring tokens, and
+*The field* labels the tokens that have a digit or an at sign, and those without that
+are alike to a base span of the document: outside, or one of the four kinds. Its factors are the token's shape, the labels of neighbouring tokens, and
 skip factors: tokens of a document that repeat each other or are alike (equal when
 case and punctuation are dropped, or the name part of an address) are tied to a hub
 that prefers one label for all of them, however far apart they stand. Each token has
@@ -133,6 +133,21 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_WORD = re.compile(r"\S+")
+
+
+def alike_words(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Tokens without digit or at sign whose letters are a hub key of a base span: an address's name part, say."""
+    keys = {key for a, b, _ in base for key in hub_keys(text[a:b]) if not _DIGIT.search(key)}
+    out = []
+    for word in _WORD.finditer(text) if keys else ():
+        if word.end() - word.start() <= LONGEST_TOKEN and not _ANY.search(word[0]) and "".join(c for c in word[0].lower() if c.isalnum()) in keys:
+            m = _TRIM.match(word[0])
+            if m.end(1) > m.start(1):
+                out.append((word.start() + m.start(1), word.start() + m.end(1)))
+    return out
+
+
 #: Hashed shape features for each token.
 N_FEATURES = 512
 
@@ -168,7 +183,7 @@ class Document:
 
 
 def document(text: str, base: list[Span]) -> Document:
-    spans = tokens(text)
+    spans = sorted(tokens(text) + alike_words(text, base))
     observed = np.full(len(spans), -1)
     k = 0
     for i, (a, b) in enumerate(spans):
@@ -275,7 +290,7 @@ def fit(texts: list[str], epochs: int = 5, rate: float = 0.3, decay: float = 1e-
                 np.add.at(votes, doc.hubs[:, 0], counts[doc.hubs[:, 1]])
                 np.add.at(votes, (doc.hubs[:, 0], y[doc.hubs[:, 0]]), -1)
                 votes /= np.maximum(votes.sum(axis=1, keepdims=True), 1)
-            for i in range(min(len(y), 200)):
+            for i in range(len(y)):
                 z = shape[doc.features[i]].sum(axis=0) + skip * votes[i]
                 before = i > 0 and doc.adjacent[i - 1]
                 after = i + 1 < len(y) and doc.adjacent[i]

@@ -7,8 +7,8 @@ import pytest
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import ItemIndex, decontaminate, find_leaks
-from tidemark.llm.hashing import absent, bitmap, shingle_set, shingle_sets
-from tidemark.llm.jaccard_join import Signer, ngram_jaccard_join
+from tidemark.llm.hashing import bitmap, folded, shingle_set, shingle_sets, word_hashes
+from tidemark.llm.jaccard_join import Signer, ngram_jaccard_join, similarity_classes
 from tidemark.llm.suffix_dedup import remove_repeats
 
 DOCS = "doc_id bigint, text string"
@@ -60,29 +60,55 @@ def test_jaccard_join_equals_brute_force(spark):
         texts.append(chain)
     rows = list(enumerate([" ".join(w) for w in texts] + [None, "", "  ", "a b", "A  b", "a b c", "a b c d e", "a b c d E", " ".join(some(5000))]))
     df = spark.createDataFrame(rows, DOCS).repartition(7).selectExpr("*", "1 as id", "2 as n")
-    got = ngram_jaccard_join(df, bucket_bytes=20_000, centres_a_round=8)
+    got = ngram_jaccard_join(df, bucket_bytes=20_000, allowance=1)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
 
 
-def test_jaccard_join_on_nothing_and_null_ids(spark):
+def test_jaccard_join_equals_brute_force_on_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df).collect()}
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_jaccard_join_on_nothing_null_and_shared_ids(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
-    got = ngram_jaccard_join(spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], DOCS)).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (4, 4), (4, 4)]
+    text, other = "a b c d e f", "p q r s t u"
+    got = ngram_jaccard_join(spark.createDataFrame([(None, text), (4, text), (4, text), (4, other), (9, other), (None, "x y"), (None, None)], DOCS)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 4), (4, 4), (4, 4), (4, 4), (9, 4)]
+    kept = similarity_classes(spark.createDataFrame([(None, text), (4, text), (4, other), (5, other), (2**60 + 1, "x")], DOCS)).filter("kept").collect()
+    assert sorted(r["id"] for r in kept) == [4, 4, 2**60 + 1] and len({r["node"] for r in kept}) == 3
+
+
+def test_words_that_polynomials_confuse_do_not_link(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    pairs = [thue, thue.translate(str.maketrans("ab", "ba")), thue[:200], thue[:200].translate(str.maketrans("ab", "ba"))]
+    got = ngram_jaccard_join(spark.createDataFrame(list(enumerate(pairs)), DOCS)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_word_hashes_follow_the_words():
+    rnd = random.Random(4)
+    seen = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(1, 20))) for _ in range(3000)] + [b"z" * n for n in (7, 8, 9, 16, 255, 256, 257, 5000)]
+    got = word_hashes(b" ".join(seen) + b"\t")
+    assert len(got) == len(seen) and len(set(got.tolist())) == len(set(seen))
+    assert len({(w, h) for w, h in zip(seen, got.tolist())}) == len(set(seen))
+    assert np.array_equal(word_hashes(b"One TWO"), word_hashes(b"one\x0btwo ")) and not len(word_hashes(b" \n"))
 
 
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
-    frequent = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    frequent = rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)
     signer = Signer(3, 4, frequent)
-    for n in [1, 2, 3, 5, 8, 20, 63, 64, 200, 700, 1023, 1024, 1100, 3000, 4095, 4096, 6000]:
-        for _ in range(20):
-            a = np.concatenate((rng.integers(0, 2**63, n, dtype=np.uint64), rng.choice(frequent, min(n, 100), replace=False) if rng.random() < 0.5 else []))
-            a = np.unique(a.astype(np.uint64))
-            lost = rng.integers(0, max(1, len(a) // 4 + 1))
-            b = np.unique(rng.choice(a, len(a) - lost, replace=False))
+    for n in [1, 2, 3, 4, 5, 8, 15, 16, 20, 63, 64, 200, 255, 256, 700, 1023, 1024, 1100, 3000]:
+        for _ in range(40):
+            common = rng.choice(frequent, min(n, int(rng.integers(0, 300))), replace=False) if rng.random() < 0.5 else np.empty(0, np.uint64)
+            a = np.unique(np.concatenate((rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2), common)))
+            b = rng.choice(a, len(a) - int(rng.integers(0, max(1, len(a) // 4 + 1))), replace=False)
+            b = np.unique(np.concatenate((b, rng.integers(0, 2**63, int(rng.integers(0, max(1, len(a) // 8 + 1))), dtype=np.uint64) * np.uint64(2))))
             both = len(np.intersect1d(a, b))
             if len(b) and 4 * both >= 3 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(signer.sign(a), signer.sign(b)))
+                owner, sig, _ = signer.sign([a, np.empty(0, np.uint64), b])
+                assert len(np.intersect1d(sig[owner == 0], sig[owner == 2])) and not (owner == 1).any()
 
 
 def test_batched_shingles_and_bitmaps():
@@ -91,9 +117,10 @@ def test_batched_shingles_and_bitmaps():
     raw = [t.encode() for t in texts]
     for t, one, many in zip(texts, map(shingle_set, raw), shingle_sets(raw)):
         assert np.array_equal(one, many) and len(one) == len(set(shingles(t)))
-    a, b = shingle_set(b"a b c d e f g h i j"), shingle_set(b"a b c d e f g x y z")
-    only_a, only_b = absent(bitmap(a), bitmap(b))
-    assert only_a <= len(np.setdiff1d(a, b)) and only_b <= len(np.setdiff1d(b, a))
+    a, b = shingle_set(b"a b c d e f g h i j"), shingle_set(" ".join(f"v{i}" for i in range(90)).encode() + b" a b c d e f")
+    x, y = (np.frombuffer(bitmap(s), np.uint64)[None, :] for s in (a, b))
+    y = folded(y, x.shape[1])
+    assert np.bitwise_count(x & ~y).sum() <= len(np.setdiff1d(a, b)) and np.bitwise_count(y & ~x).sum() <= len(np.setdiff1d(b, a))
 
 
 def test_components(spark):

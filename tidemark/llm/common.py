@@ -69,3 +69,40 @@ def lower_ascii(col: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, heaviest: int = 1_000) -> DataFrame:
+    """Left join with a lookup that has one row for each key, where a few keys may hold most of the rows.
+
+    The ``heaviest`` keys by ``weight`` (a column of the lookup, dropped from the result unless it is all there is)
+    are broadcast, a bounded list; their rows don't travel by that key, so no task gets them all. All other keys
+    meet by shuffle.
+    """
+    values = [c for c in lookup.columns if c not in keys]
+    side = lambda df, mark: df.select(*[F.col(k).alias(f"__{k}{mark}") for k in keys], *[F.col(v).alias(f"__{v}{mark}") for v in values], F.lit(True).alias(f"__met{mark}"))
+    heavy = F.broadcast(side(lookup.orderBy(F.desc(weight), *keys).limit(heaviest), 1))
+    out = rows.join(heavy, [F.col(k) == F.col(f"__{k}1") for k in keys], "left")
+    # Rows met already get a key of their own, by which they are spread.
+    spare = F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)])
+    for k in keys:
+        kind = rows.schema[k].dataType
+        out = out.withColumn(f"__{k}0", F.when(F.col("__met1"), spare.cast("string").cast(kind) if kind.simpleString() == "binary" else spare.cast(kind)).otherwise(F.col(k)))
+    out = out.join(side(lookup, 2), [F.col(f"__{k}0") == F.col(f"__{k}2") for k in keys], "left")
+    picked = [F.when(F.col("__met1"), F.col(f"__{v}1")).otherwise(F.col(f"__{v}2")).alias(v) for v in values]
+    return out.select(*rows.columns, *picked)
+
+
+def with_nodes(docs: DataFrame, id_col: str, body: Column) -> tuple[DataFrame, bool]:
+    """``node, id, body`` for each row, and whether any id is null or shared.
+
+    A node names a row's document and takes its id where that is the id of one row only. Rows that share an id, or
+    have none, get a number from a hash of id and body below all plausible ids; only equal rows share it.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body"))
+    shared = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null"), "shared-ids")
+    if shared.isEmpty():
+        return rows.select(F.col("id").alias("node"), "id", "body"), False
+    marked = skew_join(rows, shared.filter("id is not null"), ["id"], "rows")
+    own = F.xxhash64("id", "body").bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62) - F.lit(1 << 61)
+    node = F.when(F.col("rows").isNotNull() | F.col("id").isNull(), own).otherwise(F.col("id"))
+    return marked.select(node.alias("node"), "id", "body"), True

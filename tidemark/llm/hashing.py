@@ -7,6 +7,8 @@ from one pass.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -59,9 +61,12 @@ class Roller:
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
-_WORDS = Roller(20_011, fold=True)
 #: Texts are hashed in blocks of about this many bytes, cut at white space.
 BLOCK = 1 << 22
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_WORD = _U(0x8CB92BA72F3D8DD7)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +75,46 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+def span_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes. Eight bytes at a time are mixed into the state, which is
+    not linear in them, so no two families of words collide whatever the seed."""
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    eights = np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(_U) * _WORD + _U(1))
+    rows = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left, state = start[rows], size[rows], out[rows]
+    while len(rows):
+        state = mix((state ^ (eights[at] & _LOW[np.minimum(left, 8)])) * _WORD + _U(1))
+        out[rows] = state
+        more = left > 8
+        rows, at, left, state = rows[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of bytes whose A-Z are lower-cased already."""
+    start, end = word_spans(np.frombuffer(raw, np.uint8))
+    return start, span_hashes(raw, start, end)
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash of each word, A-Z taken as a-z."""
-    data = np.frombuffer(text, np.uint8)
-    if len(data) <= BLOCK:
-        start, end = word_spans(data)
-        return mix(_WORDS.span(_WORDS.prefix(data), start, end))
-    out, at = [], 0
-    while at < len(data):
-        stop = min(at + BLOCK, len(data))
-        while stop < len(data) and not _WHITE[data[stop]]:
-            stop += 1
-        part = data[at:stop]
-        start, end = word_spans(part)
-        out.append(mix(_WORDS.span(_WORDS.prefix(part), start, end)))
+    text = text.lower()  # of bytes: A-Z only
+    if len(text) <= BLOCK:
+        return _hash_words(text)[1]
+    data, out, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(text):
+        stop = min(at + BLOCK, len(text))
+        while stop < len(text):
+            white = np.flatnonzero(_WHITE[data[stop : stop + BLOCK]])
+            if len(white):
+                stop += int(white[0])
+                break
+            stop = min(stop + BLOCK, len(text))
+        out.append(_hash_words(text[at:stop])[1])
         at = stop
     return np.concatenate(out)
 
@@ -130,9 +161,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
             out.append(shingle_set(texts[i], size))
         else:
             part = texts[i:j]
-            data = np.frombuffer(b"\n".join(part), np.uint8)
-            start, end = word_spans(data)
-            words = mix(_WORDS.span(_WORDS.prefix(data), start, end))
+            start, words = _hash_words(b"\n".join(part).lower())
             first = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in part]))))
             whole = shingle_hashes(words, size) if len(words) >= size else words[:0]
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -142,16 +171,13 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
 
 
 def bitmap(features: np.ndarray, most: int = 20) -> bytes:
-    """A bit for each leading part of the features, at least two bits a feature up to ``2**most``."""
-    k = min(max(6, int(2 * len(features) - 1).bit_length() if len(features) else 6), most)
+    """A bit for the trailing part of each feature, at least four bits a feature up to ``2**most``."""
+    k = min(max(6, int(4 * len(features) - 1).bit_length() if len(features) else 6), most)
     bits = np.zeros(1 << k, bool)
-    bits[(features >> _U(64 - k)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    bits[(features & _U((1 << k) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def absent(a: bytes, b: bytes) -> tuple[int, int]:
-    """At least so many features of the first bitmap's set are missing in the second's, and the other way round."""
-    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for v in (a, b))
-    n = min(len(x), len(y))
-    x, y = x.reshape(n, -1).any(axis=1), y.reshape(n, -1).any(axis=1)
-    return int((x & ~y).sum()), int((y & ~x).sum())
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps, as 64-bit words, brought to the size of smaller ones."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)

@@ -1,36 +1,41 @@
 """Similarity join of documents on word n-grams with PartEnum signatures.
 
-Two sets whose Jaccard similarity is at least t differ in at most
-``k = (1 - t) / (1 + t) * (n + m)`` elements, and a set of n elements meets only
-sizes up to n / t, so for it k is at most ``n * (1 - t) / t``. Partition the domain
-of features: each differing element spoils one partition, all others hold the same
-elements in both sets. List a set's non-empty partitions in an order that is the same
-for all sets; of any k + 1 of them at least one is unspoilt, and of two similar sets
-the one whose list of k + 1 ends first has its unspoilt partition in the other's list
-too. So k + 1 signatures (partition and its elements) for each set are enough: similar
-sets always share one. This is PartEnum with second-level partitions of which all but
-one are enumerated out of two, ``n2 = 2, k2 = 1``, which leaves single partitions.
-
-* *Size bands*: sets of up to ``SMALL`` features have partitions of one feature each,
-  in which n * (1 - t) + 1 signatures do. For larger ones the number of partitions fits the
-  size, in bands of a factor of four. A set near its band's upper end also signs in the
-  next one, where its larger partners are.
-* *Frequent features* (a boilerplate line, a family of a thousand near copies) get
-  partitions of their own at the end of the order, rarest first; a set reaches them
-  only if it has too few others. Which features count as frequent changes the cost,
-  not the result.
-* Signatures travel packed, in blocks for each hash bucket; identical sets are one
-  member for each task from the start and one in all after it.
-* *Candidates*: in each signature's group every member is paired with the least one,
-  never all with all. Candidates are verified exactly on their texts, best supported
-  first, components are formed, and only pairs between different components are
-  verified after that. Groups that still span components are worked off centre by
-  centre until each is within one component or every pair across has been verified.
-  No cap: what remains is verified, however many rounds it takes.
-
-Empty or null texts have no features and no links. Rows with a null id are returned
-with a null component. Rows that share an id are one node. An empty table gives an
-empty result; other columns are ignored.
+Two sets whose Jaccard similarity is at least t differ in at most ``n * (1 - t) / t``
+elements, n being the size of either. PartEnum turns this into equality of signatures:
+
+* *Size bands* of a factor of four. A set whose partners can be in the next band signs in both,
+  so partners always meet in one band.
+* *First-level partitions* cut the domain of features in as many parts as the band's sets
+  have elements, over four. *Second-level partitions* cut each of them in three.
+* *Enumerated subsets*: for each first-level partition, a set has one signature for each pair of
+  its three second-level partitions, over all elements it has in the two. A pair without an
+  element gives none. A first-level partition with elements in two or three second-level
+  partitions must differ in two places, or none of its signatures is shared; with elements
+  in one, in one place. So a set signs first-level partitions, in the same order for all
+  sets, until the places add up to more than it may differ in. Of two similar sets the one
+  that ends first then has a signature that the other has too.
+* *Frequent features* (a boilerplate line, a family of a thousand near copies) stay out of these
+  partitions. A set whose other features don't add up signs all its partitions and, besides, once
+  more with every feature a first-level partition of its own, rarest last to come: any
+  ``n - ceil(t * n) + 1`` of them are enough. Which features count as frequent changes the
+  cost, not the result.
+
+Signatures travel packed, in blocks for each hash bucket; the number of sets that can share one
+is bounded by the frequency of the features in it. Signatures of frequent features, at most
+``max_frequent`` of them, may be shared by any number of sets; they travel one by one, and their
+least member is found by partial aggregation. Identical sets are one member for each task from the
+start and one in all after it.
+
+*Candidates*: in each group that shares a signature, every member meets the least one. Those
+that sizes and bitmaps of the sets don't rule out are verified, best supported first, and
+components are formed. Groups that still span components are compared in cells of bounded
+size by their bitmaps, and what these don't rule out is verified, the likeliest pairs of each
+two components first. Each round allows more pairs, until none is left: no cap, and no link lost.
+Verification compares the words of the texts, not hashes.
+
+Null or empty texts have no features and no links. A null id orders after all others; rows
+that share an id are separate documents (see ``with_nodes``). A component of rows without ids
+has a null one. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,16 +47,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import materialize, skew_join, text_or_empty, with_nodes
 from tidemark.llm.components import connected_components
-from tidemark.llm.hashing import absent, bitmap, mix, shingle_set, shingle_sets
+from tidemark.llm.hashing import bitmap, folded, mix, shingle_sets
 
 _U = np.uint64
-_LEVEL = 0x9FB21C651E98DF25
+_SALT = 0x9FB21C651E98DF25
 _PART = _U(0xD6E8FEB86659FD93)
 _HOT = _U(0xA0761D6478BD642F)
-#: Sets below this size have the finest partitions, of single features.
-SMALL = 1024
+_SUB = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Upper size of the first band; each further one is four times as high.
+SMALL = 16
 
 
 class Signer:
@@ -63,50 +70,92 @@ class Signer:
         self.order = np.argsort(frequent)
         self.frequent = frequent[self.order]
 
-    def budget(self, n: int) -> int:
+    def budget(self, n: np.ndarray) -> np.ndarray:
         """How many elements a set of n may differ in from any partner."""
         return n * (self.den - self.num) // self.num
 
-    def levels(self, n: int) -> Iterator[int]:
-        """0: up to SMALL; then bands of a factor of four, each with twice its upper size in partitions."""
-        level, upper = 0, SMALL
-        while n >= upper:
-            level, upper = level + 1, upper * 4
-        yield level
-        if n * self.den >= self.num * upper:
-            yield level + 1
-
-    def sign(self, features: np.ndarray) -> np.ndarray:
-        n = len(features)
-        if n == 0:
-            return features
-        cold, hot = features, features[:0]
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, features), len(self.frequent) - 1)
-            is_hot = self.frequent[at] == features
-            if is_hot.any():
-                cold = features[~is_hot]
-                hot = features[is_hot][np.argsort(self.order[at[is_hot]])]
-        out = []
-        for level in self.levels(n):
-            salt = _U(_LEVEL * (level + 1) % 2**64)
-            # In partitions of one feature only a set's own differing features spoil any: a partner has at least num / den of it.
-            want = (n - -(-self.num * n // self.den) if level == 0 else self.budget(n)) + 1
-            if level == 0:
-                signed = mix(cold[:want] ^ salt)
-            elif len(cold):
-                part = cold >> _U(64 - (11 + 2 * level))
-                start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                signed = mix(np.add.reduceat(mix(cold), start)[:want] + part[start][:want] * _PART + salt)
-            else:
-                signed = cold
-            if len(signed) < want:
-                extra = mix(hot[: want - len(signed)] * _HOT + salt)
-                signed = np.concatenate((signed, extra))
-                if len(signed) < want:
-                    raise AssertionError("too few partitions for the guarantee")
-            out.append(signed)
-        return np.concatenate(out)
+    def _rank(self, features: np.ndarray) -> np.ndarray:
+        """Place among the frequent features, -1 for all others."""
+        if not len(self.frequent):
+            return np.full(len(features), -1)
+        at = np.minimum(np.searchsorted(self.frequent, features), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == features, self.order[at], -1)
+
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the set, signature, and whether it is of a frequent feature, for all sets together."""
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, _U)
+        owner = np.repeat(np.arange(len(sets)), size)
+        rank = self._rank(flat)
+        cold = rank < 0
+        out_owner, out_sig, out_hot = [], [], []
+        short = np.zeros(len(sets), bool)
+        level, upper, lower = 0, SMALL, 1
+        while len(size) and lower <= size.max() * self.den // self.num:
+            here = (size >= lower) & (size < upper) | (size < lower) & (size * self.den >= self.num * lower) & (size > 0)
+            if here.any():
+                take = here[owner] & cold
+                who, sig, missed = self._enumerate(flat[take], owner[take], self.budget(size) + 1, here, level, upper)
+                out_owner.append(who)
+                out_sig.append(sig)
+                out_hot.append(np.zeros(len(who), bool))
+                short |= missed
+            level, lower, upper = level + 1, upper, upper * 4
+        if short.any():
+            take = short[owner]
+            f, o, r = flat[take], owner[take], rank[take]
+            by = np.lexsort((r, o))  # -1, not frequent, comes first
+            f, o, r = f[by], o[by], r[by]
+            want = size - -(-self.num * size // self.den) + 1
+            start = np.searchsorted(o, np.arange(len(sets)))
+            keep = np.arange(len(o)) - start[o] < want[o]
+            out_owner.append(o[keep])
+            out_sig.append(mix(f[keep] ^ _HOT))
+            out_hot.append(r[keep] >= 0)
+        if not out_owner:
+            return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, bool)
+        return np.concatenate(out_owner), np.concatenate(out_sig), np.concatenate(out_hot)
+
+    @staticmethod
+    def _enumerate(f: np.ndarray, owner: np.ndarray, want: np.ndarray, here: np.ndarray, level: int, upper: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of one band: owners, signatures, and which sets have too few partitions."""
+        parts = max(16, upper // 4)
+        sub = (f >> _U(32)) * _U(3 * parts) >> _U(32)  # ascending within a set: partitions are ranges of the hashes
+        if not len(f):
+            return np.empty(0, np.int64), np.empty(0, _U), here.copy()
+        new = np.concatenate(([True], (sub[1:] != sub[:-1]) | (owner[1:] != owner[:-1])))
+        start = np.flatnonzero(new)
+        part_hash = np.add.reduceat(mix(f), start)  # of the elements in each second-level partition
+        sub, who = sub[start].astype(np.int64), owner[start]
+        first = sub // 3
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (who[1:] != who[:-1])))
+        row = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        first, who = first[start], who[start]
+        held = np.zeros((len(start), 3), _U)
+        held[row, sub % 3] = part_hash
+        filled = np.zeros((len(start), 3), bool)
+        filled[row, sub % 3] = True
+        places = np.minimum(filled.sum(axis=1), 2)
+        total = np.cumsum(places)
+        edge = np.searchsorted(who, np.arange(len(want) + 1))
+        before = np.concatenate(([0], total))[edge]  # places of all sets before
+        sofar = total - places - before[who]
+        missed = here & (before[1:] - before[:-1] < want)
+        use = sofar < want[who]
+        first, who, held, filled = first[use], who[use], held[use], filled[use]
+        owners, sigs = [], []
+        for k, (i, j) in enumerate(_PAIRS):
+            some = filled[:, i] | filled[:, j]
+            salt = _U((_SALT * (4 * level + k + 1)) % 2**64)
+            sigs.append(mix(mix(held[some, i] * _SUB[0] + held[some, j] * _SUB[1]) + first[some].astype(_U) * _PART + salt))
+            owners.append(who[some])
+        return np.concatenate(owners), np.concatenate(sigs), missed
+
+
+def _filled(df: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """With all the columns, those that are missing null."""
+    return df.assign(**{c: None for c in columns if c not in df.columns})[columns]
 
 
 def _two(features: np.ndarray) -> tuple[int, int]:
@@ -114,20 +163,27 @@ def _two(features: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = mix(features).sum(dtype=_U) + _U(len(features))
         b = mix(features ^ _HOT).sum(dtype=_U)
-    return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
+    return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _sets(batch: pd.DataFrame, size: int) -> Iterator[np.ndarray]:
-    """The feature set of each row, some hundred rows at a time."""
-    for k in range(0, len(batch), 256):
-        yield from shingle_sets(list(batch["body"].iloc[k : k + 256]), size)
+def _by_size(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a list of texts into stretches of about ``most`` bytes."""
+    i = 0
+    while i < len(texts):
+        j, total = i, 0
+        while j < len(texts) and (j == i or total + len(texts[j]) <= most):
+            total += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
 
 
-PROFILE = "id bigint, n bigint, h1 bigint, h2 bigint, bits binary, feature bigint, df bigint"
+PROFILE = "node bigint, id string, n bigint, h1 bigint, h2 bigint, bits binary, feature bigint, df bigint"
+_PROFILE = [c.split()[0] for c in PROFILE.split(", ")]
 
 
 def _profiles(size: int, local_df: int, chunk: int):
-    """For each row its set size and 128-bit name; and the features that occur in ``local_df``
+    """For each row its set size, 128-bit name and bitmap; and the features that occur in ``local_df``
     or more different sets among about ``chunk`` features of a task."""
 
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,102 +192,125 @@ def _profiles(size: int, local_df: int, chunk: int):
         total = 0
 
         def frequent() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
+            values.sort()
+            start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            counts = np.diff(np.append(start, len(values)))
             many = counts >= local_df
-            return pd.DataFrame({"id": None, "n": None, "h1": None, "h2": None, "bits": None, "feature": values[many].view(np.int64), "df": counts[many]})
+            return _filled(pd.DataFrame({"feature": values[start[many]].view(np.int64), "df": counts[many]}), _PROFILE)
 
         for batch in batches:
-            rows = []
-            for s in _sets(batch, size):
-                name = _two(s)
-                rows.append((len(s), *name, bitmap(s)))
-                if name not in seen:
-                    seen.add(name)
-                    held.append(s)
-                    total += len(s)
-            yield pd.DataFrame({"id": batch["id"], "n": [r[0] for r in rows], "h1": [r[1] for r in rows], "h2": [r[2] for r in rows], "bits": [r[3] for r in rows], "feature": None, "df": None})
-            if total >= chunk:
-                yield frequent()
-                held, seen, total = [], set(), 0
+            rows, texts = [], list(batch["body"])
+            for i, j in _by_size(texts, 1 << 20):
+                for s in shingle_sets(texts[i:j], size):
+                    name = _two(s)
+                    rows.append((len(s), *name, bitmap(s)))
+                    if len(s) and name not in seen:
+                        seen.add(name)
+                        held.append(s)
+                        total += len(s)
+                if total >= chunk:
+                    yield frequent()
+                    held, seen, total = [], set(), 0
+            out = pd.DataFrame(rows, columns=["n", "h1", "h2", "bits"])
+            yield _filled(out.assign(node=batch["node"].to_numpy(), id=list(batch["id"])), _PROFILE)
         if held:
             yield frequent()
 
     return profiles
 
 
-BLOCKS = "bucket int, node binary, size binary, owner binary, sig binary"
+#: Packed signatures of a bucket; or, with a null bucket, a signature of a frequent feature and its member.
+BLOCKS = "bucket int, node binary, size binary, owner binary, sig binary, one bigint, member bigint"
+_BLOCKS = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: int):
-    """Packed signatures by bucket. A set that a task has met before is signed once."""
-
-    def flush(held: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
-        sig = np.concatenate([h[2] for h in held])
-        owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[2]) for h in held])
-        node = np.array([h[0] for h in held], np.int64)
-        sizes = np.array([h[1] for h in held], np.uint32)
-        bucket = (sig % _U(buckets)).astype(np.int64)
+    """Packed signatures by bucket. A text that a task has met before is signed once."""
+
+    def flush(nodes: list[int], sizes: list[int], owner: np.ndarray, sig: np.ndarray, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        if hot.any():
+            yield _filled(pd.DataFrame({"one": sig[hot].view(np.int64), "member": node[owner[hot]]}), _BLOCKS)
+        owner, sig = owner[~hot], sig[~hot]
+        bucket = (sig % _U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket, owner, sig = bucket[order], owner[order], sig[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
         out = []
-        for b in range(buckets):
-            part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                who, local = np.unique(owner[part], return_inverse=True)
-                local = local.astype(np.uint16 if len(who) <= 65_536 else np.uint32)
-                out.append((b, node[who].tobytes(), sizes[who].tobytes(), local.tobytes(), sig[part].tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "node", "size", "owner", "sig"])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            who, local = np.unique(owner[a:b], return_inverse=True)
+            local = local.astype(np.uint16 if len(who) <= 65_536 else np.uint32)
+            out.append((int(bucket[a]), node[who].tobytes(), n[who].astype(np.uint32).tobytes(), local.tobytes(), sig[a:b].tobytes()))
+            if len(out) == 64:
+                yield _filled(pd.DataFrame(out, columns=_BLOCKS[:5]), _BLOCKS)
+                out = []
+        if out:
+            yield _filled(pd.DataFrame(out, columns=_BLOCKS[:5]), _BLOCKS)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from hashlib import blake2b
+
         signer = Signer(num, den, np.array(frequent.value, _U))
-        held: list[tuple[int, int, np.ndarray]] = []
-        seen: set[tuple[int, int]] = set()
+        nodes: list[int] = []
+        sizes: list[int] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        seen: set[bytes] = set()
         total = 0
         for batch in batches:
-            for node, s in zip(batch["id"], _sets(batch, size)):
-                if not len(s) or (name := _two(s)) in seen:
-                    continue
-                seen.add(name)
-                held.append((node, len(s), signer.sign(s)))
-                total += len(held[-1][2])
-                if total >= chunk:
-                    yield flush(held)
-                    held, total = [], 0
-            if len(seen) > 1_000_000:
+            fresh_nodes, texts = [], []
+            for node, text in zip(batch["node"], batch["body"]):
+                digest = blake2b(text.lower(), digest_size=16).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh_nodes.append(node)
+                    texts.append(text)
+            if len(seen) > 500_000:
                 seen.clear()
+            for i, j in _by_size(texts, 1 << 20):
+                sets = shingle_sets(texts[i:j], size)
+                owner, sig, hot = signer.sign(sets)
+                held.append((owner + len(nodes), sig, hot))
+                nodes += fresh_nodes[i:j]
+                sizes += [len(s) for s in sets]
+                total += len(sig)
+                if total >= chunk:
+                    yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
+                    nodes, sizes, held, total = [], [], [], 0
         if held:
-            yield flush(held)
+            yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
 
     return signatures
 
 
-#: Pairs: ``a < b`` and their support; else a group and a member of it.
-FOUND = "pair boolean, a bigint, b bigint, support bigint"
+#: Pairs ``a < b`` and their support; or the members of a group of three or more.
+FOUND = "a bigint, b bigint, support bigint, members array<bigint>"
 
 
 def _candidates(num: int, den: int):
-    """Of a bucket: pairs with each group's least member, and the members of groups of three or more."""
+    """Of a bucket: pairs with each group's least member, and the groups of three or more."""
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, sizes, sigs = [], [], []
         for node, size, owner, sig in zip(pdf["node"], pdf["size"], pdf["owner"], pdf["sig"]):
-            node, size, sig = np.frombuffer(node, np.int64), np.frombuffer(size, np.uint32), np.frombuffer(sig, _U)
+            node = np.frombuffer(node, np.int64)
             owner = np.frombuffer(owner, np.uint16 if len(node) <= 65_536 else np.uint32)
             nodes.append(node[owner])
-            sizes.append(size[owner])
-            sigs.append(sig)
-        node, size, sig = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(sigs)
-        del nodes, sizes, sigs
+            sizes.append(np.frombuffer(size, np.uint32)[owner])
+            sigs.append(np.frombuffer(sig, _U))
+        sig = np.concatenate(sigs)
         order = np.argsort(sig)
         s = sig[order]
         again = s[1:] == s[:-1]
         order = order[np.concatenate((again, [False])) | np.concatenate(([False], again))]
-        order = order[np.lexsort((node[order], sig[order]))]
-        s, v, n = sig[order], node[order], size[order].astype(np.int64)
+        node, size, sig = np.concatenate(nodes)[order], np.concatenate(sizes)[order].astype(np.int64), sig[order]
+        del nodes, sizes, sigs, s, again
+        order = np.lexsort((node, sig))
+        s, v, n = sig[order], node[order], size[order]
         fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))[: len(s)]
         s, v, n = s[fresh], v[fresh], n[fresh]
         if not len(s):
-            return pd.DataFrame({"pair": np.empty(0, bool), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "support": np.empty(0, np.int64)})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "support", "members")})
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         length = np.diff(np.append(start, len(s)))
         group = np.repeat(np.arange(len(start)), length)
@@ -241,15 +320,13 @@ def _candidates(num: int, den: int):
         by = np.lexsort((b, a))
         a, b = a[by], b[by]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
-        pairs = pd.DataFrame({"pair": np.ones(len(new), bool), "a": a[new], "b": b[new], "support": np.diff(np.append(new, len(a)))})
+        pairs = pd.DataFrame({"a": a[new], "b": b[new], "support": np.diff(np.append(new, len(a))), "members": None})
         # Groups with the same members are one.
         name = np.add.reduceat(mix(v.view(_U)), start) + length.astype(_U)
         _, first = np.unique(name, return_index=True)
-        keep = np.zeros(len(start), bool)
-        keep[first] = True
-        rows = (keep & (length >= 3))[group]
-        groups = pd.DataFrame({"pair": np.zeros(int(rows.sum()), bool), "a": name.view(np.int64)[group][rows], "b": v[rows], "support": np.zeros(int(rows.sum()), np.int64)})
-        return pd.concat([pairs, groups], ignore_index=True)
+        large = first[length[first] >= 3]
+        groups = pd.DataFrame({"a": None, "b": None, "support": None, "members": [v[start[g] : start[g] + length[g]] for g in large]})
+        return groups if not len(pairs) else pairs if not len(groups) else pd.concat([pairs, groups], ignore_index=True)
 
     return candidates
 
@@ -261,153 +338,256 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     def may(na: pd.Series, nb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q, v, w in zip(na, nb, x, y):
-            only_a, only_b = absent(v, w)
-            both = min(p - only_a, q - only_b)
+            v, w = np.frombuffer(v, _U), np.frombuffer(w, _U)
+            least = min(len(v), len(w))
+            v, w = folded(v[None, :], least)[0], folded(w[None, :], least)[0]
+            both = min(p - int(np.bitwise_count(v & ~w).sum()), q - int(np.bitwise_count(w & ~v).sum()))
             out.append(den * both >= num * (p + q - both))
         return pd.Series(out, dtype=bool)
 
-    at = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
-    sized = pairs.select("a", "b").join(at("b"), "b").join(at("a"), "a").filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
-    return sized.filter(may("na", "nb", "bitsa", "bitsb")).select("a", "b")
+    at = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
+    salted, lookup = _spread(pairs, at("a"))
+    sized = salted.join(at("b"), "b").join(lookup, ["a", "salt"]).filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
+    return sized.filter(may("na", "nb", "bitsa", "bitsb")).select(*pairs.columns)
+
+
+#: Pairs of one node in a join's group; the rows of nodes with more are salted.
+DEGREE = 512
+
+
+def _spread(pairs: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds a salt to the pairs of nodes ``a`` that have many, and repeats their rows in ``lookup`` for each salt."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEGREE).cast("int").alias("salts")).filter("salts > 1")
+    hubs = materialize(hubs, "join-hubs")
+    salted = skew_join(pairs, hubs, ["a"], "salts").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")), F.lit(0).cast("bigint"))).drop("salts")
+    wide = lookup.join(hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts"), F.lit(1)).cast("bigint") - 1))).drop("salts")
+    return salted, wide
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts' sets are similar enough, by their sets."""
+    """Those of ``pairs(a, b)`` whose sets are similar enough, word by word."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        held: dict[int, np.ndarray] = {}
-        room = 1_000_000
+        names: dict[bytes, int] = {}  # each word's number, so that equal numbers mean equal words
+        held: dict[int, set[tuple[int, ...]]] = {}
+        room = 200_000
 
-        def features(node: int, text: bytes) -> np.ndarray:
+        def shingles(node: int, text: bytes) -> set[tuple[int, ...]]:
             nonlocal room
             if node not in held:
-                if room < 0:
-                    held.clear()
-                    room = 1_000_000
-                held[node] = shingle_set(zstandard.decompress(text), size)
+                words = [names.setdefault(w, len(names)) for w in zstandard.decompress(text).lower().split()]
+                held[node] = set(zip(*[words[i:] for i in range(size)])) if len(words) >= size else {tuple(words)}
                 room -= len(held[node])
             return held[node]
 
         for batch in batches:
             good = []
             for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                p, q = features(a, x), features(b, y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(len(p) > 0 and den * both >= num * (len(p) + len(q) - both))
+                if room < 0:  # only between pairs: both sets of one need the same numbers
+                    held.clear()
+                    names.clear()
+                    room = 200_000
+                p, q = shingles(a, x), shingles(b, y)
+                both = len(p & q)
+                good.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.loc[good, ["a", "b"]]
 
-    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a")
+    at = lambda side: texts.select(F.col("node").alias(side), F.col("packed").alias(f"text_{side}"))
+    salted, lookup = _spread(pairs.select("a", "b"), at("a"))
+    joined = salted.join(at("b"), "b").join(lookup, ["a", "salt"]).select("a", "b", "text_a", "text_b")
     return joined.mapInPandas(check, "a bigint, b bigint")
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "packed": [packer.compress(t) for t in batch["body"]]})
+        yield pd.DataFrame({"node": batch["node"], "packed": [packer.compress(t) for t in batch["body"]]})
+
 
+#: Members of one side of a cell, about.
+CELL = 1024
 
-def ngram_jaccard_join(
+
+def _across(num: int, den: int, allowance: int):
+    """Of cells, in order: pairs between components that bitmaps don't rule out, the ``allowance`` likeliest of
+    each two components; and a row with ``cut`` where there were more."""
+
+    def compare(node: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        width = np.array([len(b) // 8 for b in bits])
+        left, right, miss = [], [], []
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w)
+            other = np.flatnonzero((width == w) | (width == 2 * w))
+            flat = np.stack([folded(np.frombuffer(bits[i], _U)[None, :], w)[0] for i in other])
+            at = {int(i): k for k, i in enumerate(other)}
+            for i in mine.tolist():
+                ok = np.flatnonzero((comp[other] != comp[i]) & (num * np.maximum(n[other], n[i]) <= den * np.minimum(n[other], n[i])) & ((side[other] != side[i]) | (side[i] == 0)) & ((width[other] != w) | (other > i)))
+                if not len(ok):
+                    continue
+                a, b = flat[at[i]], flat[ok]
+                x, y = np.bitwise_count(a & ~b).sum(axis=1).astype(np.int64), np.bitwise_count(~a & b).sum(axis=1).astype(np.int64)
+                both = np.minimum(n[i] - x, n[other[ok]] - y)
+                may = den * both >= num * (n[i] + n[other[ok]] - both)
+                if may.any():
+                    left.append(np.full(int(may.sum()), i))
+                    right.append(other[ok[may]])
+                    miss.append((x + y)[may])
+        if not left:
+            return None
+        left, right, miss = np.concatenate(left), np.concatenate(right), np.concatenate(miss)
+        p, q = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
+        by = np.lexsort((miss, q, p))
+        p, q = p[by], q[by]
+        start = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+        place = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))
+        keep = place < allowance
+        a, b = node[left[by]][keep], node[right[by]][keep]
+        return np.minimum(a, b), np.maximum(a, b), not keep.all()
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush(df: pd.DataFrame) -> pd.DataFrame:
+            got = []
+            for _, cell in df.groupby(["g", "cell"], sort=False):
+                if cell["component"].iloc[0] == cell["component"].iloc[-1] and cell["component"].nunique() == 1:
+                    continue
+                if (found := compare(cell["node"].to_numpy(), cell["component"].to_numpy(), cell["n"].to_numpy(), cell["side"].to_numpy(), list(cell["bits"]))) is not None:
+                    got.append(found)
+            a = np.concatenate([x[0] for x in got]) if got else np.empty(0, np.int64)
+            b = np.concatenate([x[1] for x in got]) if got else np.empty(0, np.int64)
+            out = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            out["cut"] = False
+            if any(x[2] for x in got):
+                out = pd.concat([out, pd.DataFrame({"a": [0], "b": [0], "cut": [True]})], ignore_index=True)
+            return out
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = (batch["g"] == batch["g"].iloc[-1]) & (batch["cell"] == batch["cell"].iloc[-1])
+            if last.all() and held and (held[-1]["g"].iloc[-1], held[-1]["cell"].iloc[-1]) == (batch["g"].iloc[0], batch["cell"].iloc[0]):
+                held.append(batch)
+                continue
+            done = pd.concat([*held, batch[~last]], ignore_index=True)
+            held = [batch[last]]
+            if len(done):
+                yield flush(done)
+        if held:
+            yield flush(pd.concat(held, ignore_index=True))
+
+    return across
+
+
+def similarity_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 5,
     num: int = 3,
     den: int = 4,
-    bucket_bytes: int = 2 << 20,
+    bucket_bytes: int = 8 << 20,
     max_frequent: int = 100_000,
-    centres_a_round: int = 32,
+    allowance: int = 8,
 ) -> DataFrame:
-    """``id, n_shingles, component_id`` for each row; documents link when the Jaccard similarity
-    of their n-gram sets is at least ``num / den``. ``bucket_bytes`` of text make a hash bucket;
-    ``max_frequent`` bounds the broadcast list of frequent features."""
+    """``node, id, n_shingles, component_id, kept`` for each row of ``docs``; documents link when the Jaccard
+    similarity of their n-gram sets is at least ``num / den``. One node of each component is ``kept``: the one
+    with the smallest id. ``bucket_bytes`` of text make a hash bucket; ``max_frequent`` bounds the broadcast
+    list of frequent features."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(text_or_empty(text_col), "UTF-8").alias("body"))
-    profile = materialize(rows.mapInPandas(_profiles(size, 3, 1_000_000), PROFILE), "join-profile")
-    members = profile.filter("df is null").select("id", "n", "h1", "h2", "bits")
+    rows, shared = with_nodes(docs, id_col, F.encode(text_or_empty(text_col), "UTF-8"))
+    # Ids go through pandas as strings: longs with nulls among them would become floats.
+    profile = materialize(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_profiles(size, 3, 1_000_000), PROFILE), "join-profile")
+    members = profile.filter("df is null").select("node", F.col("id").cast("bigint").alias("id"), "n", "h1", "h2", "bits")
     hot = profile.filter("df is not null").groupBy("feature").agg(F.sum("df").alias("df")).filter("df >= 6")
     hot = hot.orderBy(F.desc("df"), "feature").limit(max_frequent).orderBy("df", "feature").collect()
     frequent = spark.sparkContext.broadcast(np.array([r["feature"] for r in hot], np.int64).view(_U))
 
-    # One name for each distinct set: the least id that has it.
-    names = members.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    signed = rows.filter("id is not null")
+    # One name for each distinct set: the least node that has it.
+    filled = members.filter("n > 0")
+    names = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "join-names")
+    sketches = names.select(F.col("rep").alias("node"), "n", "bits")
+    named = skew_join(filled.select("node", "h1", "h2"), names.filter("copies > 1").select("h1", "h2", "rep", "copies"), ["h1", "h2"], "copies")
+    copies = materialize(named.filter("node <> rep").select("node", "rep").distinct(), "join-copies")
+
     buckets = max(16, int((docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("s")).first()["s"] or 0) // bucket_bytes))
-    blocks = signed.mapInPandas(_signatures(size, num, den, frequent, buckets, 500_000), BLOCKS)
-    found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(num, den), FOUND), "join-found")
+    blocks = rows.select("node", "body").mapInPandas(_signatures(size, num, den, frequent, buckets, 1_000_000), BLOCKS)
+    blocks = materialize(blocks, "join-blocks")
+    found = materialize(blocks.filter("bucket is not null").select(*_BLOCKS[:5]).groupBy("bucket").applyInPandas(_candidates(num, den), FOUND), "join-found")
 
     # Members that several tasks met go by their set's one name.
-    copies = members.filter("n > 0 and id is not null").join(names, ["h1", "h2"]).filter("id <> rep").select("id", "rep").distinct()
-    sketches = members.filter("n > 0 and id is not null").join(names.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "bits")
-    pairs = found.filter("pair").select("a", "b", "support")
-    for side in ("a", "b"):
-        pairs = pairs.join(copies.select(F.col("id").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-    pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
-    pairs = materialize(pairs, "join-pairs")
-    groups = found.filter("not pair").select(F.col("a").alias("group_id"), F.col("b").alias("id")).join(copies, "id", "left").select("group_id", F.coalesce("rep", "id").alias("id"))
+    def renamed(df: DataFrame, side: str) -> DataFrame:
+        return df.join(copies.select(F.col("node").alias(side), "rep"), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
 
-    pairs = pairs.join(_possible(pairs, sketches, num, den), ["a", "b"], "left_semi")
-    pairs = materialize(pairs, "join-possible")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(signed.mapInPandas(_pack, "id bigint, packed binary").join(involved, "id", "left_semi"), "join-texts")
+    ones = materialize(renamed(blocks.filter("bucket is null").select(F.col("one").alias("g"), F.col("member").alias("node")), "node").distinct(), "join-ones")
+    least = ones.groupBy("g").agg(F.min("node").alias("a"))  # at most one row for each frequent feature
+    stars = ones.join(F.broadcast(least), "g").select("a", F.col("node").alias("b"), F.lit(1).cast("bigint").alias("support"))
+    pairs = renamed(renamed(found.filter("members is null").select("a", "b", "support"), "a"), "b").unionByName(stars)
+    pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
+    pairs = materialize(_possible(pairs, sketches, num, den), "join-pairs")
+    groups = renamed(found.filter("members is not null").select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")), "node").unionByName(ones)
 
+    texts = materialize(_texts(pairs, rows), "join-texts")
     # The best supported pair of each node first; then what still joins different components.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a"))
+    best = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")), "join-best")
     links = materialize(_verify(best, texts, size, num, den), "join-links")
     labels = connected_components(links)
-    rest = _across(pairs, labels).join(best, ["a", "b"], "left_anti")
-    more = materialize(_verify(rest, texts, size, num, den), "join-links")
-    links, labels = _extend(links, more, labels)
+    rest = materialize(_apart(pairs, labels).join(best, ["a", "b"], "left_anti"), "join-rest")
+    if not rest.isEmpty():
+        links, labels = _extend(links, materialize(_verify(rest, texts, size, num, den), "join-links"), labels)
+    tried = pairs.select("a", "b")
 
-    # Groups that still span components: the next centres of each against all its members.
-    last = None
     while True:
-        at = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spans = at.groupBy("group_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
-        at = at.join(spans.select("group_id", "members"), "group_id").select("group_id", "id", "component", "members").distinct()
+        at = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
         at = materialize(at, "join-groups")
-        groups = at.select("group_id", "id")
-        # Of small groups every member is a centre at once, of large ones the next of each lane.
-        small = F.col("members") <= 2 * centres_a_round
-        lane = at.withColumn("lane", F.when(small, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(centres_a_round))))
-        if last is not None:
-            lane = lane.join(last, ["group_id", "lane"], "left").filter("last is null or id > last")
-        centres = materialize(lane.groupBy("group_id", "lane").agg(F.min(F.struct("id", "component")).alias("c")).select("group_id", "lane", "c.*"), "join-centres")
-        if centres.isEmpty():
+        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node") % (1 << 30)).alias("name")).filter("lo < hi")
+        spans = materialize(spans.groupBy("name", "members").agg(F.min("g").alias("g")).select("g", "members"), "join-spans")
+        if spans.isEmpty():
             break
-        moved = centres.select("group_id", "lane", F.col("id").alias("last"))
-        last = moved if last is None else materialize(moved.unionByName(last.join(moved, ["group_id", "lane"], "left_anti")), "join-last")
-        across = (
-            at.alias("m")
-            .join(centres.alias("c"), "group_id")
-            .filter("m.component <> c.component and (m.id < c.id or m.members > %d)" % (2 * centres_a_round))
-            .select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b"))
-            .distinct()
-            .join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        across = materialize(_possible(across, sketches, num, den), "join-across")
-        texts = _with_texts(across, texts, signed)
-        links, labels = _extend(links, materialize(_verify(across, texts, size, num, den), "join-links"), labels)
-
-    components = members.join(names, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    components = components.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return components.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """Texts of members that no pair of ``texts`` had yet are fetched as well."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    missing = materialize(ids.join(texts.select("id"), "id", "left_anti"), "join-missing")
-    if missing.isEmpty():
-        return texts
-    # Few are missing: the join comes first, so that only theirs reach Python.
-    return texts.unionByName(materialize(signed.join(missing, "id", "left_semi").mapInPandas(_pack, "id bigint, packed binary"), "join-texts"))
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        cells = skew_join(at, spans, ["g"], "members").filter("members is not null").withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
+        block, other = F.pmod(F.xxhash64("node"), F.col("cuts")), F.col("other")
+        cells = cells.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+        # A cell is a block against a block, sides 1 and 2, or a block against itself, side 0.
+        cells = cells.select("g", "node", "component", (F.least("block", other) * F.col("cuts") + F.greatest("block", other)).alias("cell"), F.when(F.col("block") == other, 0).when(F.col("block") < other, 1).otherwise(2).alias("side"))
+        cells = cells.join(sketches, "node").repartition("g", "cell").sortWithinPartitions("g", "cell")
+        new = materialize(cells.select("g", "cell", "node", "component", "n", "side", "bits").mapInPandas(_across(num, den, allowance), "a bigint, b bigint, cut boolean"), "join-across")
+        more = materialize(new.filter("not cut").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "join-more")
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            links, labels = _extend(links, materialize(_verify(more, materialize(_texts(more, rows), "join-texts"), size, num, den), "join-links"), labels)
+        if new.filter("cut").isEmpty():
+            break  # every pair across components was verified
+        groups = at.join(spans, "g", "left_semi").select("g", "node")
+        allowance *= 16
+
+    # Each set's component, then each row's.
+    sets = names.select("h1", "h2", "copies", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "copies", F.coalesce("component", "rep").alias("component"))
+    out = skew_join(members.select("node", "id", "n", "h1", "h2"), sets, ["h1", "h2"], "copies").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("node")))
+    if not shared:
+        return out.select("node", "id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("component") == F.col("node")).alias("kept"))
+    # Nodes of shared ids aren't ids: the smallest id of each component is looked up.
+    out = materialize(out, "join-rows")
+    ends = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"), F.count(F.lit(1)).alias("members"))
+    out = skew_join(out, materialize(ends.select("component", "component_id", F.col("first.node").alias("first"), "members"), "join-ends"), ["component"], "members")
+    return out.select("node", "id", F.col("n").alias("n_shingles"), "component_id", (F.col("node") == F.col("first")).alias("kept"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``id, n_shingles, component_id`` for each row, as ``similarity_classes`` finds them."""
+    return similarity_classes(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The packed texts of all nodes in ``pairs``. The join comes first, so that only theirs reach Python."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return rows.select("node", "body").join(involved, "node", "left_semi").mapInPandas(_pack, "node bigint, packed binary")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     out = pairs
     for side in ("a", "b"):

@@ -3,17 +3,17 @@
 Two sets whose Jaccard similarity is at least t differ in at most ``n * (1 - t) / t``
 elements, n being the size of either. PartEnum turns this into equality of signatures:
 
-* *Size bands* of a factor of four. A set whose partners can be in the next band signs in both,
+* *Size bands* of a factor of three. A set whose partners can be in the next band signs in both,
   so partners always meet in one band.
-* *First-level partitions* cut the domain of features in as many parts as the band's sets
-  have elements, over four. *Second-level partitions* cut each of them in three.
-* *Enumerated subsets*: for each first-level partition, a set has one signature for each pair of
-  its three second-level partitions, over all elements it has in the two. A pair without an
-  element gives none. A first-level partition with elements in two or three second-level
-  partitions must differ in two places, or none of its signatures is shared; with elements
-  in one, in one place. So a set signs first-level partitions, in the same order for all
-  sets, until the places add up to more than it may differ in. Of two similar sets the one
-  that ends first then has a signature that the other has too.
+* *First-level partitions* cut the domain of features in a sixth as many parts as the band's
+  largest sets have elements. *Second-level partitions* cut each of them in four.
+* *Enumerated subsets*: for each first-level partition, a set has one signature for each two of
+  its four second-level partitions (n2 = 4, k2 = 2), over all elements it has in the two. A subset
+  that holds fewer than two elements gives none, as single features are shared by chance.
+  How many second-level partitions must differ before none of a first-level partition's
+  signatures is left follows from its counts (``PLACES``). So a set signs first-level partitions, in
+  the same order for all sets, until these numbers add up to more than it may differ in. Of
+  two similar sets the one that ends first then has a signature that the other has too.
 * *Frequent features* (a boilerplate line, a family of a thousand near copies) stay out of these
   partitions. A set whose other features don't add up signs all its partitions and, besides, once
   more with every feature a first-level partition of its own, rarest last to come: any
@@ -40,6 +40,7 @@ has a null one. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,10 +56,22 @@ _U = np.uint64
 _SALT = 0x9FB21C651E98DF25
 _PART = _U(0xD6E8FEB86659FD93)
 _HOT = _U(0xA0761D6478BD642F)
-_SUB = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Upper size of the first band; each further one is four times as high.
-SMALL = 16
+_SUB = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+#: Upper size of the first band, and how many times as high each further one is.
+SMALL, BAND = 16, 3
+#: Second-level partitions of each first-level one; subsets of two of them are enumerated.
+PARTS, LEAST = 4, 2
+_SUBSETS = list(itertools.combinations(range(PARTS), 2))
+
+
+def _places(counts: tuple[int, ...]) -> int:
+    """The fewest second-level partitions with a change that leave no subset of ``LEAST`` elements as it was."""
+    signed = [s for s in _SUBSETS if sum(counts[i] for i in s) >= LEAST]
+    return next(k for k in range(PARTS + 1) if any(all(set(s) & set(hit) for s in signed) for hit in itertools.combinations(range(PARTS), k)))
+
+
+#: By the counts of a first-level partition, each at most ``LEAST``, as digits.
+PLACES = np.array([_places(c[::-1]) for c in itertools.product(range(LEAST + 1), repeat=PARTS)])
 
 
 class Signer:
@@ -100,7 +113,7 @@ class Signer:
                 out_sig.append(sig)
                 out_hot.append(np.zeros(len(who), bool))
                 short |= missed
-            level, lower, upper = level + 1, upper, upper * 4
+            level, lower, upper = level + 1, upper, upper * BAND
         if short.any():
             take = short[owner]
             f, o, r = flat[take], owner[take], rank[take]
@@ -119,35 +132,32 @@ class Signer:
     @staticmethod
     def _enumerate(f: np.ndarray, owner: np.ndarray, want: np.ndarray, here: np.ndarray, level: int, upper: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Signatures of one band: owners, signatures, and which sets have too few partitions."""
-        parts = max(16, upper // 4)
-        sub = (f >> _U(32)) * _U(3 * parts) >> _U(32)  # ascending within a set: partitions are ranges of the hashes
+        parts = -(-upper // 6)
+        sub = (f >> _U(32)) * _U(PARTS * parts) >> _U(32)  # ascending within a set: partitions are ranges of the hashes
         if not len(f):
             return np.empty(0, np.int64), np.empty(0, _U), here.copy()
-        new = np.concatenate(([True], (sub[1:] != sub[:-1]) | (owner[1:] != owner[:-1])))
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(np.concatenate(([True], (sub[1:] != sub[:-1]) | (owner[1:] != owner[:-1]))))
         part_hash = np.add.reduceat(mix(f), start)  # of the elements in each second-level partition
+        elements = np.diff(np.append(start, len(f)))
         sub, who = sub[start].astype(np.int64), owner[start]
-        first = sub // 3
+        first = sub // PARTS
         new = np.concatenate(([True], (first[1:] != first[:-1]) | (who[1:] != who[:-1])))
         row = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        first, who = first[start], who[start]
-        held = np.zeros((len(start), 3), _U)
-        held[row, sub % 3] = part_hash
-        filled = np.zeros((len(start), 3), bool)
-        filled[row, sub % 3] = True
-        places = np.minimum(filled.sum(axis=1), 2)
+        first, who = first[new], who[new]
+        held = np.zeros((len(first), PARTS), _U)
+        held[row, sub % PARTS] = part_hash
+        count = np.zeros((len(first), PARTS), np.int64)
+        count[row, sub % PARTS] = np.minimum(elements, LEAST)
+        places = PLACES[count @ (LEAST + 1) ** np.arange(PARTS)]
         total = np.cumsum(places)
-        edge = np.searchsorted(who, np.arange(len(want) + 1))
-        before = np.concatenate(([0], total))[edge]  # places of all sets before
-        sofar = total - places - before[who]
+        before = np.concatenate(([0], total))[np.searchsorted(who, np.arange(len(want) + 1))]  # places of all sets before
         missed = here & (before[1:] - before[:-1] < want)
-        use = sofar < want[who]
-        first, who, held, filled = first[use], who[use], held[use], filled[use]
+        use = total - places - before[who] < want[who]
+        first, who, held, count = first[use], who[use], held[use], count[use]
         owners, sigs = [], []
-        for k, (i, j) in enumerate(_PAIRS):
-            some = filled[:, i] | filled[:, j]
-            salt = _U((_SALT * (4 * level + k + 1)) % 2**64)
+        for k, (i, j) in enumerate(_SUBSETS):
+            some = count[:, i] + count[:, j] >= LEAST
+            salt = _U((_SALT * (len(_SUBSETS) * level + k + 1)) % 2**64)
             sigs.append(mix(mix(held[some, i] * _SUB[0] + held[some, j] * _SUB[1]) + first[some].astype(_U) * _PART + salt))
             owners.append(who[some])
         return np.concatenate(owners), np.concatenate(sigs), missed
@@ -220,8 +230,8 @@ def _profiles(size: int, local_df: int, chunk: int):
     return profiles
 
 
-#: Packed signatures of a bucket; or, with a null bucket, a signature of a frequent feature and its member.
-BLOCKS = "bucket int, node binary, size binary, owner binary, sig binary, one bigint, member bigint"
+#: Packed signatures of a bucket. Those of frequent features are in buckets beyond, and stay single rows after it.
+BLOCKS = "bucket int, node binary, size binary, owner binary, sig binary"
 _BLOCKS = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
@@ -231,7 +241,7 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
     def flush(nodes: list[int], sizes: list[int], owner: np.ndarray, sig: np.ndarray, hot: np.ndarray) -> Iterator[pd.DataFrame]:
         node, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
         if hot.any():
-            yield _filled(pd.DataFrame({"one": sig[hot].view(np.int64), "member": node[owner[hot]]}), _BLOCKS)
+            yield pd.DataFrame([(buckets + int(node[0] % buckets), node[owner[hot]].tobytes(), b"", b"", sig[hot].tobytes())], columns=_BLOCKS)
         owner, sig = owner[~hot], sig[~hot]
         bucket = (sig % _U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -243,10 +253,10 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
             local = local.astype(np.uint16 if len(who) <= 65_536 else np.uint32)
             out.append((int(bucket[a]), node[who].tobytes(), n[who].astype(np.uint32).tobytes(), local.tobytes(), sig[a:b].tobytes()))
             if len(out) == 64:
-                yield _filled(pd.DataFrame(out, columns=_BLOCKS[:5]), _BLOCKS)
+                yield pd.DataFrame(out, columns=_BLOCKS)
                 out = []
         if out:
-            yield _filled(pd.DataFrame(out, columns=_BLOCKS[:5]), _BLOCKS)
+            yield pd.DataFrame(out, columns=_BLOCKS)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
@@ -283,14 +293,18 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
     return signatures
 
 
-#: Pairs ``a < b`` and their support; or the members of a group of three or more.
+#: Pairs ``a < b`` and their support; the members of a group of three or more; or, without either, the
+#: signature ``a`` of a frequent feature and a member ``b``.
 FOUND = "a bigint, b bigint, support bigint, members array<bigint>"
 
 
-def _candidates(num: int, den: int):
+def _candidates(num: int, den: int, buckets: int):
     """Of a bucket: pairs with each group's least member, and the groups of three or more."""
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] >= buckets:
+            one, member = np.frombuffer(b"".join(pdf["sig"]), np.int64), np.frombuffer(b"".join(pdf["node"]), np.int64)
+            return pd.DataFrame({"a": one, "b": member, "support": None, "members": None})
         nodes, sizes, sigs = [], [], []
         for node, size, owner, sig in zip(pdf["node"], pdf["size"], pdf["owner"], pdf["sig"]):
             node = np.frombuffer(node, np.int64)
@@ -509,27 +523,28 @@ def similarity_classes(
 
     # One name for each distinct set: the least node that has it.
     filled = members.filter("n > 0")
-    names = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "join-names")
-    sketches = names.select(F.col("rep").alias("node"), "n", "bits")
+    names = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")), "join-names")
     named = skew_join(filled.select("node", "h1", "h2"), names.filter("copies > 1").select("h1", "h2", "rep", "copies"), ["h1", "h2"], "copies")
     copies = materialize(named.filter("node <> rep").select("node", "rep").distinct(), "join-copies")
 
     buckets = max(16, int((docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("s")).first()["s"] or 0) // bucket_bytes))
     blocks = rows.select("node", "body").mapInPandas(_signatures(size, num, den, frequent, buckets, 1_000_000), BLOCKS)
-    blocks = materialize(blocks, "join-blocks")
-    found = materialize(blocks.filter("bucket is not null").select(*_BLOCKS[:5]).groupBy("bucket").applyInPandas(_candidates(num, den), FOUND), "join-found")
+    found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(num, den, buckets), FOUND), "join-found")
 
     # Members that several tasks met go by their set's one name.
     def renamed(df: DataFrame, side: str) -> DataFrame:
         return df.join(copies.select(F.col("node").alias(side), "rep"), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
 
-    ones = materialize(renamed(blocks.filter("bucket is null").select(F.col("one").alias("g"), F.col("member").alias("node")), "node").distinct(), "join-ones")
+    ones = materialize(renamed(found.filter("members is null and support is null").select(F.col("a").alias("g"), F.col("b").alias("node")), "node").distinct(), "join-ones")
     least = ones.groupBy("g").agg(F.min("node").alias("a"))  # at most one row for each frequent feature
     stars = ones.join(F.broadcast(least), "g").select("a", F.col("node").alias("b"), F.lit(1).cast("bigint").alias("support"))
-    pairs = renamed(renamed(found.filter("members is null").select("a", "b", "support"), "a"), "b").unionByName(stars)
+    pairs = renamed(renamed(found.filter("support is not null").select("a", "b", "support"), "a"), "b").unionByName(stars)
     pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
-    pairs = materialize(_possible(pairs, sketches, num, den), "join-pairs")
+    pairs = materialize(pairs, "join-pairs")
     groups = renamed(found.filter("members is not null").select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")), "node").unionByName(ones)
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
+    sketches = materialize(filled.select("node", "n", "bits").join(involved, "node", "left_semi").dropDuplicates(["node"]), "join-sketches")
+    pairs = materialize(_possible(pairs, sketches, num, den), "join-pairs")
 
     texts = materialize(_texts(pairs, rows), "join-texts")
     # The best supported pair of each node first; then what still joins different components.

@@ -28,8 +28,8 @@ start and one in all after it.
 
 *Candidates*: in each group that shares a signature, every member meets the least one. Those
 that sizes and bitmaps of the sets don't rule out are verified, best supported first, and
-components are formed. Groups that still span components are compared in cells of bounded
-size by their bitmaps, and what these don't rule out is verified, the likeliest pairs of each
+components are formed. Groups that still span components, joined to families where they
+overlap, are compared in cells of bounded size by their bitmaps, and what these don't rule out is verified, the likeliest pairs of each
 two components first. Each round allows more pairs, until none is left: no cap, and no link lost.
 Verification compares the words of the texts, not hashes.
 
@@ -506,7 +506,7 @@ def similarity_classes(
     den: int = 4,
     bucket_bytes: int = 8 << 20,
     max_frequent: int = 100_000,
-    allowance: int = 8,
+    allowance: int = 16,
 ) -> DataFrame:
     """``node, id, n_shingles, component_id, kept`` for each row of ``docs``; documents link when the Jaccard
     similarity of their n-gram sets is at least ``num / den``. One node of each component is ``kept``: the one
@@ -559,11 +559,12 @@ def similarity_classes(
     while True:
         at = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
         at = materialize(at, "join-groups")
-        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node") % (1 << 30)).alias("name")).filter("lo < hi")
-        spans = materialize(spans.groupBy("name", "members").agg(F.min("g").alias("g")).select("g", "members"), "join-spans")
+        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.sum(F.xxhash64("node") % (1 << 30)).alias("name")).filter("lo < hi")
+        spans = materialize(spans.groupBy("name", "members").agg(F.min(F.struct("g", "least")).alias("x")).select("x.*", "members"), "join-spans")
         if spans.isEmpty():
             break
-        cells = skew_join(at, spans, ["g"], "members").filter("members is not null").withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
+        at = materialize(skew_join(at, spans, ["g"], "members").filter("members is not null"), "join-spanning")
+        cells = _families(at).withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
         block, other = F.pmod(F.xxhash64("node"), F.col("cuts")), F.col("other")
         cells = cells.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
         # A cell is a block against a block, sides 1 and 2, or a block against itself, side 0.
@@ -576,7 +577,7 @@ def similarity_classes(
             links, labels = _extend(links, materialize(_verify(more, materialize(_texts(more, rows), "join-texts"), size, num, den), "join-links"), labels)
         if new.filter("cut").isEmpty():
             break  # every pair across components was verified
-        groups = at.join(spans, "g", "left_semi").select("g", "node")
+        groups = at.select("g", "node")
         allowance *= 16
 
     # Each set's component, then each row's.
@@ -596,6 +597,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return similarity_classes(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
+def _families(at: DataFrame) -> DataFrame:
+    """``g, node, component, members`` to compare: near copies share hundreds of groups, so groups that hang together
+    are compared as one family where that is fewer rows, and one by one where it isn't."""
+    linked = connected_components(at.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("family_members")).withColumnRenamed("component", "family")
+    found = materialize(skew_join(linked.withColumnRenamed("component", "family"), sizes, ["family"], "family_members"), "join-families")
+    rows = at.join(found.withColumnRenamed("id", "node"), "node")
+    few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.first("family_members").alias("n")).filter(F.col("n") * F.ceil(F.col("n") / CELL) <= F.col("rows"))
+    rows = materialize(skew_join(rows, materialize(few, "join-few"), ["family"], "rows").drop("n"), "join-family-rows")
+    whole = rows.filter("rows is not null").select(F.col("family").alias("g"), "node", "component", F.col("family_members").alias("members")).distinct()
+    return whole.unionByName(rows.filter("rows is null").select("g", "node", "component", "members"))
+
+
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The packed texts of all nodes in ``pairs``. The join comes first, so that only theirs reach Python."""
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

@@ -34,9 +34,33 @@ def test_pipeline_equals_brute_force(spark, sf):
 
 def test_stages_keep_the_columns_and_odd_rows(spark, sf):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (None, "the and of with that from this", "en", "s", 1), (3, "", None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert out.filter("doc_id is null").count() == 1, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
     assert [s[0] for s in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding and decoding"]
+
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def kept(spark, stage, rows):
+    docs = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)], COLUMNS)
+    return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect()), key=str)
+
+
+def test_rows_that_share_an_id_are_kept_or_dropped_one_by_one(spark):
+    equal, similar = corpus_pipeline.one_of_equals, corpus_pipeline.one_of_similar
+    assert kept(spark, equal, [(None, "a"), (4, "A"), (None, "b")]) == [(4, "A"), (None, "b")]
+    assert kept(spark, equal, [(7, "a"), (7, "a")]) == [(7, "a")]
+    assert kept(spark, equal, [(9, "c"), (9, "b"), (10, "b")]) == [(10, "b"), (9, "c")]
+    a, b = "one two three four five six", "p q r s t u v"
+    assert kept(spark, similar, [(None, a), (4, a), (None, b)]) == [(4, a), (None, b)]
+    assert kept(spark, similar, [(7, a), (7, a), (8, None)]) == [(7, a), (8, None)]
+    assert kept(spark, similar, [(9, a), (9, b), (10, b + " ")]) == [(9, a), (9, b)]
+
+
+def test_no_label_drops_no_text(spark):
+    assert kept(spark, corpus_pipeline.known_language, [(1, "some words"), (None, "12"), (2, None), (2, "\u00e9")]) == [(1, "some words"), (2, "\u00e9")]

@@ -12,8 +12,8 @@ they are recognised, because the pair that they stand for is no longer there, an
 skipped. Decoding concatenates the vocabulary's strings, one blank between tokens, as
 a tokenizer without a decoder step does.
 
-Words repeat, so a task keeps two generations of a bounded cache; memory doesn't grow
-with the input. Spark partitions the rows; nothing is shuffled.
+Words repeat, so a task keeps two generations of a cache that is bounded by its number of
+entries and by their length; memory doesn't grow with the input. Spark partitions the rows; nothing is shuffled.
 
 A null or empty text has no tokens. Long texts are encoded whole.
 """
@@ -50,10 +50,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+#: Longer words aren't remembered.
+CACHED_CHARS = 64
+CACHE_WORDS = 200_000
+
+
 class BpeCodec:
     """``cache_words`` bounds each of two generations of remembered words; a full young one becomes the old one."""
 
-    def __init__(self, path: str, cache_words: int = 80_000):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -115,6 +120,8 @@ class BpeCodec:
         return self._keep(word, got)
 
     def _keep(self, key: str, got: tuple[int, str, str]) -> tuple[int, str, str]:
+        if len(key) > CACHED_CHARS:
+            return got
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = got
@@ -132,7 +139,7 @@ class BpeCodec:
 
     def _pieces(self, text: str) -> list[tuple[int, str, str]]:
         out: list[tuple[int, str, str]] = []
-        for part in self.cut.split(text) if "<|" in text and self.cut else (text,):
+        for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
             if part in self.special:
                 out.append((1, str(self.special[part]), part))
                 continue
@@ -163,16 +170,17 @@ class BpeCodec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> BpeCodec:
+def codec(path: str, cache_words: int = CACHE_WORDS) -> BpeCodec:
     """One codec and cache for each worker process."""
-    return BpeCodec(path)
+    return BpeCodec(path, cache_words)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``token_ids`` for each row."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``token_ids`` for each row.
+    ``cache_words`` trades a worker's memory for time."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = codec(path)
+        bpe = codec(path, cache_words)
         for batch in batches:
             rows = [bpe.digest(t) for t in batch["body"]]
             out = pd.DataFrame({"id": batch["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})

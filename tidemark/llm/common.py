@@ -92,17 +92,18 @@ def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
     return out.select(*rows.columns, *picked)
 
 
-def with_nodes(docs: DataFrame, id_col: str, body: Column) -> tuple[DataFrame, bool]:
-    """``node, id, body`` for each row, and whether any id is null or shared.
+def with_nodes(docs: DataFrame, id_col: str, body: Column, keep: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """``node, id, body`` (or ``node`` and the columns ``keep``) for each row, and whether any id is null or shared.
 
     A node names a row's document and takes its id where that is the id of one row only. Rows that share an id, or
     have none, get a number from a hash of id and body below all plausible ids; only equal rows share it.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body"))
-    shared = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null"), "shared-ids")
+    rows = docs.select(*(keep or []), F.col(id_col).cast("bigint").alias("__id"), body.alias("__body"))
+    out = keep or [F.col("__id").alias("id"), F.col("__body").alias("body")]
+    shared = materialize(rows.groupBy("__id").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1 or __id is null"), "shared-ids")
     if shared.isEmpty():
-        return rows.select(F.col("id").alias("node"), "id", "body"), False
-    marked = skew_join(rows, shared.filter("id is not null"), ["id"], "rows")
-    own = F.xxhash64("id", "body").bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62) - F.lit(1 << 61)
-    node = F.when(F.col("rows").isNotNull() | F.col("id").isNull(), own).otherwise(F.col("id"))
-    return marked.select(node.alias("node"), "id", "body"), True
+        return rows.select(F.col("__id").alias("node"), *out), False
+    marked = skew_join(rows, shared.filter("__id is not null"), ["__id"], "__rows")
+    own = F.xxhash64("__id", "__body").bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62) - F.lit(1 << 61)
+    node = F.when(F.col("__rows").isNotNull() | F.col("__id").isNull(), own).otherwise(F.col("__id"))
+    return marked.select(node.alias("node"), *out), True

@@ -340,7 +340,7 @@ def _candidates(num: int, den: int, buckets: int):
         _, first = np.unique(name, return_index=True)
         large = first[length[first] >= 3]
         groups = pd.DataFrame({"a": None, "b": None, "support": None, "members": [v[start[g] : start[g] + length[g]] for g in large]})
-        return groups if not len(pairs) else pairs if not len(groups) else pd.concat([pairs, groups], ignore_index=True)
+        return pd.concat([pairs.astype(object), groups.astype(object)], ignore_index=True)
 
     return candidates
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_path, text_or_empty
+from tidemark.llm.common import materialize, shared_path, skew_join, text_or_empty
 
 _EOL = "\r\n"
 
@@ -61,7 +61,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     keep = materialize(rows.filter(large).groupBy("sha1", "sha2").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-repeats")
     first = F.col("keep").isNull() | F.col("id").eqNullSafe(F.col("keep"))
     return (
-        rows.join(keep.drop("n"), ["sha1", "sha2"], "left")
+        skew_join(rows, keep, ["sha1", "sha2"], "n")
         .withColumn("refers_to", F.when(~first, F.col("keep")))
         .select("id", "url", F.when(first, F.col("payload")).alias("payload"), "sha1", "payload_bytes", F.when(first, "response").otherwise("revisit").alias("record_type"), "refers_to")
     )
@@ -232,7 +232,9 @@ class CaptureIndex:
                             rows, held = [], 0
                     yield _read_rows(rows)
 
-        lists = located.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "key"))).alias("r")).select("path", F.col("r.key").alias("keys"), F.col("r.offset").alias("offsets"), F.col("r.length").alias("lengths"))
+        # Ranges are small whatever the records they name, so their partitions aren't to be joined by size.
+        spread = located.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "path")
+        lists = spread.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "key"))).alias("r")).select("path", F.col("r.key").alias("keys"), F.col("r.offset").alias("offsets"), F.col("r.length").alias("lengths"))
         return lists.mapInPandas(ranges, "key string, id bigint, url string, record_type string, refers_to bigint, digest string, payload binary")
 
 
@@ -293,6 +295,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     back = materialize(back.select("id", "url", "record_type", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("n"), sha1("payload").alias("own")), "warc-back")
     # Rows of one id may repeat or differ: the digest says which of them a revisit names.
+    asked = back.filter("record_type = 'revisit'").groupBy("refers_to", "digest").agg(F.count(F.lit(1)).alias("revisits"))
     named = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("own").alias("digest"), F.col("n").alias("named_n"), F.col("own").alias("named_own")).distinct()
-    out = back.join(named, ["refers_to", "digest"], "left")
+    out = skew_join(back, materialize(asked.join(named, ["refers_to", "digest"]), "warc-named"), ["refers_to", "digest"], "revisits")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", "named_n").alias("payload_bytes"), F.coalesce("own", "named_own").alias("payload_digest"), "record_type", "refers_to", "url")

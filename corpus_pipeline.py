@@ -11,44 +11,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_documents
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import lower_ascii, materialize, skew_join, table, text_or_empty, with_nodes
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.jaccard_join import ngram_jaccard_join
+from tidemark.llm.jaccard_join import similarity_classes
 from tidemark.llm.language_id import predict_language, train_language_model
 from tidemark.llm.queries import tokenizer
 
 
-def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id, null included, is in ``ids``."""
-    kept = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what language identification rejects: no text, no letter, or a score hardly above chance."""
-    scored = predict_language(docs, train_language_model(docs), out=("__lang", "__score", "__rejected"))
+    """Drops what language identification rejects: no text, no letter, or a score hardly above chance.
+
+    Each row is judged alone, so repeated rows and shared or null ids stay as they are; long texts are read whole. Where
+    no row has a label there is no model to reject anything, and only rows without a letter go. An empty table stays empty.
+    """
+    model = train_language_model(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    scored = predict_language(docs, model, out=("__lang", "__score", "__rejected"))
     return scored.filter(~F.col("__rejected")).select(*docs.columns)
 
 
+def _one_each(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One row of each key: the first by all its columns. Keys that occur once, nearly all, aren't shuffled by their texts."""
+    repeated = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1"), "repeated-keys")
+    if repeated.isEmpty():
+        return rows.select(*columns)
+    marked = skew_join(rows, repeated, key, "__rows")
+    rest = marked.filter("__rows is not null").groupBy(*key).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+    return marked.filter("__rows is null").select(*columns).unionByName(rest)
+
+
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest id of texts that are equal but for the case of A-Z."""
-    return _semi(docs, exact_dedup(docs, keep="largest").filter("kept"))
+    """Keeps one row of texts that are equal but for the case of A-Z: the one with the largest id.
+
+    A null text equals an empty one; a null id orders before all others. Of rows with one id and equal texts the first by
+    all columns stays; rows with one id and different texts are different documents.
+    """
+    kept = exact_dedup(docs, keep="largest").filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__sha", F.sha2(lower_ascii(text_or_empty("text")), 256))
+    return _one_each(keyed.join(kept, ["__id", "__sha"], "left_semi"), ["__id", "__sha"], docs.columns)
+
+
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group linked by a 5-gram Jaccard similarity of 0.75 or more."""
-    return _semi(docs, ngram_jaccard_join(docs).filter("component_id is null or component_id = doc_id"))
+    """Keeps the row with the smallest id of each group linked by a 5-gram Jaccard similarity of 0.75 or more.
+
+    A null id orders after all others. Rows without words are linked with nothing and stay. Rows that share an id are
+    different documents, unless their texts are equal too; of those the first by all columns stays.
+    """
+    kept = materialize(similarity_classes(docs).filter("kept").select(F.col("node").alias("__node")).distinct(), "similar-kept")
+    nodes, shared = with_nodes(docs, "doc_id", F.encode(text_or_empty("text"), "UTF-8"), keep=docs.columns)
+    rows = nodes.withColumnRenamed("node", "__node").join(kept, "__node", "left_semi")
+    return _one_each(rows, ["__node"], docs.columns) if shared else rows.select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark.
+
+    Each row is judged alone by its whole text, so repeated rows and shared or null ids stay as they are. Null and empty
+    texts hold nothing and stay, as does every row if the benchmark is empty.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with their digests."""
-    return encode_documents(docs, tokenizer("word_bpe_49k.json"))
+    """Token ids of what is left, with their digests.
+
+    One row for each row, repeated ones and null ids too; a null or empty text has no tokens. The codec remembers fewer
+    words than alone, as workers of earlier stages still hold memory.
+    """
+    return encode_documents(docs, tokenizer("word_bpe_49k.json"), cache_words=80_000)
 
 
 STAGES = [

@@ -84,7 +84,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row for each row, repeated ones and null ids too; a null or empty text has no tokens. The codec remembers fewer
     words than alone, as workers of earlier stages still hold memory.
     """
-    return encode_documents(docs, tokenizer("word_bpe_49k.json"), cache_words=80_000)
+    return encode_documents(docs, tokenizer("word_bpe_49k.json"), cache_words=20_000)
 
 
 STAGES = [

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalogs, history, schedule, streams
+from tidemark.plans import catalogs, history, schedule, streams, verdicts
 
-_PARTS = (history, schedule, catalogs, streams)
+_PARTS = (history, schedule, catalogs, streams, verdicts)
 
 
 def queries():

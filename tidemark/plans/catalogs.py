@@ -229,7 +229,7 @@ _MATCH = f"""{_RESOLVE},
 ORACLES = {
     "title_normalize": f"""WITH d AS (SELECT doc_id AS id, translate(lower(string_split(text, chr(10))[1] || ' [Tag] #' || doc_id), '{text.ACCENTED}', '{text.BASE}') AS t FROM documents)
         SELECT id, {_SQ("translate(regexp_replace(regexp_replace(t, '[[:space:]]*#[^[:space:]]+[[:space:]]*$', ''), '[[][^]]*[]]', '', 'g'), '‐‑‒–‘’', '----''''''')")} AS title FROM d""".replace("'----'''''''", "'----' || chr(39) || chr(39)"),
-    "name_fold": f"SELECT doc_id AS id, {_FOLD.format('substr(text, 1, 200)')} AS folded FROM documents",
+    "name_fold": f"SELECT doc_id AS id, {_FOLD.format('text')} AS folded FROM documents",
     "comparable_name": f"""SELECT p_partkey AS id, array_to_string(list_transform(string_split({_FOLD.format("p_name")}, ' '),
         lambda x: CASE x WHEN 'COMPANY' THEN 'CO' WHEN 'SMALL' THEN 'LITTLE' WHEN 'SUPPLIER' THEN 'VENDOR' ELSE x END), ' ') AS comparable FROM part""",
     "name_parts": """SELECT c_custkey AS id, split_part(c_name, '#', 1) AS base, CASE WHEN c_custkey % 3 = 0 THEN 'Holo|x' ELSE '' END AS tags, split_part(c_name, '#', 2) AS number FROM customer""",
@@ -239,7 +239,7 @@ ORACLES = {
         (9, NULL, true), (10, NULL, true), (11, 500, false), (12, 10000, false), (13, NULL, true)) AS t(id, cents, drift)""",
     "strict_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) >= 10 AND day(o_orderdate) >= 10) THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "json_keys": "SELECT array_to_string(list_sort(list_distinct(json_keys(props))), ',') AS keys, CAST(props ->> 'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
-    "unnest_rows": "SELECT vec_id, slot, round(CAST(embedding[slot] AS DOUBLE), 6) AS value FROM embeddings, range(1, 9) AS s(slot) WHERE slot <= len(embedding)",
+    "unnest_rows": "SELECT vec_id, slot, round(CAST(embedding[slot] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS slot FROM embeddings)",
     "tree_depth": "SELECT * FROM (VALUES (67, 1::BIGINT, 1), (67, 2, 2), (67, 3, 3), (67, 4, 2)) AS t(tree_id, node_id, depth)",
     "resolve_sets": f"WITH {_RESOLVE} SELECT slug, shelf, kind, array_to_string(ids, ',') AS targets FROM res",
     "match_cards": f"""WITH {_MATCH} SELECT id, status, CASE WHEN status = 'confirmed' THEN local_id END AS number, CASE WHEN status = 'confirmed' THEN nullif(official, 0) END AS official,

@@ -5,12 +5,13 @@
   sorted by digest. Runs are Parquet files with min/max statistics and Bloom
   filters on the digest. Folding first means that a group of copies which holds a
   third of the corpus costs a handful of rows for each task.
-* *Compaction*: all runs merge into one level, range-partitioned and sorted by
-  digest, one entry for each digest. Entries keep the least and the greatest
+* *Compaction*: all runs merge into one level, hash-partitioned and sorted by digest
+  within each partition, one entry for each digest. Entries keep the least and the greatest
   identifier, so either end can be the row that stays.
 * *Hits*: rows whose digest occurs more than once are compared byte by byte with
   the text of the row that stays. Rows that differ from it in spite of an equal
-  digest leave the group and are grouped by their whole text.
+  digest leave the group and are grouped by their whole text. The heaviest digests reach
+  their rows by broadcast, and the hits of a group are dealt over as many tasks as its size asks for.
 
 Nulls: a null text counts as empty; a null id never becomes the kept id unless the
 group has no other. Rows repeated with the same id count separately and share their
@@ -26,9 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, materialize, shared_path, text_or_empty
+from tidemark.llm.common import lower_ascii, materialize, shared_path, skew_join, text_or_empty
 
 RUN_SCHEMA = "run string, digest binary, lo_id bigint, hi_id bigint, n bigint"
+#: Hits that are compared with one copy of the text that stays.
+HITS_A_SALT = 512
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
 
 
@@ -106,28 +109,30 @@ def exact_dedup(
     # Texts travel once; only those of hits are written.
     hit = F.col("n") > 1
     probed = materialize(
-        rows.join(entries, "digest").select("id", "digest", "keep_id", "n", F.when(hit, F.col("body")).alias("body"), F.sha2(F.col("body"), 256).alias("text_sha256")),
+        skew_join(rows, entries, ["digest"], "n").select("id", "digest", "keep_id", "n", F.when(hit, F.col("body")).alias("body"), F.sha2(F.col("body"), 256).alias("text_sha256"), F.when(hit, F.monotonically_increasing_id()).alias("dealt")),
         "dedup-probed",
     )
-    keepers = probed.filter(hit & F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keeper_body"))
-    hits = probed.filter(hit)
+    # A group's hits are salted by its size, and the text they are compared with is there once for each salt.
+    salts = F.ceil(F.col("n") / HITS_A_SALT).cast("bigint")
+    keepers = probed.filter(hit & F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keeper_body"), F.max("n").alias("n"))
+    keepers = keepers.select("digest", "keeper_body", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    hits = probed.filter(hit).withColumn("salt", F.pmod("dealt", salts))
     verified = materialize(
-        hits.join(keepers, "digest").select("id", "digest", "keep_id", "text_sha256", (F.col("body") == F.col("keeper_body")).alias("same"), F.when(F.col("body") != F.col("keeper_body"), F.col("body")).alias("body")),
+        hits.join(keepers, ["digest", "salt"]).select("id", "digest", "keep_id", "n", "text_sha256", (F.col("body") == F.col("keeper_body")).alias("same"), F.when(F.col("body") != F.col("keeper_body"), F.col("body")).alias("body")),
         "dedup-verified",
     )
     same = verified.filter("same")
     out = probed.filter(~hit).select("id", "keep_id", F.col("n").alias("group_size"), "text_sha256")
     other = verified.filter("not same")
     if other.isEmpty():
-        sizes = entries.filter(hit)
-        return _shape(out.unionByName(same.join(sizes.select("digest", F.col("n").alias("group_size")), "digest").select(*out.columns)), id_col)
+        return _shape(out.unionByName(same.withColumnRenamed("n", "group_size").select(*out.columns)), id_col)
 
     end = F.max if keep == "largest" else F.min
     lost = other.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
     sizes = entries.filter(hit).join(lost, "digest", "left").select("digest", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("group_size"))
     regrouped = other.groupBy("digest", "body").agg(end("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return _shape(
-        out.unionByName(same.join(sizes, "digest").select(*out.columns)).unionByName(other.drop("keep_id").join(regrouped, ["digest", "body"]).select(*out.columns)),
+        out.unionByName(skew_join(same, sizes, ["digest"], "group_size").select(*out.columns)).unionByName(other.drop("keep_id").join(regrouped, ["digest", "body"]).select(*out.columns)),
         id_col,
     )
 

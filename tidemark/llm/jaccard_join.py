@@ -176,6 +176,17 @@ def _two(features: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+#: Features of a task among which frequent ones are looked for.
+FREQUENT_AMONG = 1_000_000
+
+
+def _release() -> None:
+    """Hands back what Arrow holds of earlier batches: workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def _by_size(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Cuts of a list of texts into stretches of about ``most`` bytes."""
     i = 0
@@ -211,7 +222,7 @@ def _profiles(size: int, local_df: int, chunk: int):
 
         for batch in batches:
             rows, texts = [], list(batch["body"])
-            for i, j in _by_size(texts, 1 << 20):
+            for i, j in _by_size(texts, 1 << 19):
                 for s in shingle_sets(texts[i:j], size):
                     name = _two(s)
                     rows.append((len(s), *name, bitmap(s)))
@@ -222,6 +233,7 @@ def _profiles(size: int, local_df: int, chunk: int):
                 if total >= chunk:
                     yield frequent()
                     held, seen, total = [], set(), 0
+                    _release()
             out = pd.DataFrame(rows, columns=["n", "h1", "h2", "bits"])
             yield _filled(out.assign(node=batch["node"].to_numpy(), id=list(batch["id"])), _PROFILE)
         if held:
@@ -277,7 +289,7 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
                     texts.append(text)
             if len(seen) > 500_000:
                 seen.clear()
-            for i, j in _by_size(texts, 1 << 20):
+            for i, j in _by_size(texts, 1 << 19):
                 sets = shingle_sets(texts[i:j], size)
                 owner, sig, hot = signer.sign(sets)
                 held.append((owner + len(nodes), sig, hot))
@@ -287,6 +299,7 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
                 if total >= chunk:
                     yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
                     nodes, sizes, held, total = [], [], [], 0
+                    _release()
         if held:
             yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
 
@@ -305,6 +318,7 @@ def _candidates(num: int, den: int, buckets: int):
         if pdf["bucket"].iloc[0] >= buckets:
             one, member = np.frombuffer(b"".join(pdf["sig"]), np.int64), np.frombuffer(b"".join(pdf["node"]), np.int64)
             return pd.DataFrame({"a": one, "b": member, "support": None, "members": None})
+        _release()
         nodes, sizes, sigs = [], [], []
         for node, size, owner, sig in zip(pdf["node"], pdf["size"], pdf["owner"], pdf["sig"]):
             node = np.frombuffer(node, np.int64)
@@ -504,7 +518,7 @@ def similarity_classes(
     size: int = 5,
     num: int = 3,
     den: int = 4,
-    bucket_bytes: int = 8 << 20,
+    bucket_bytes: int = 4 << 20,
     max_frequent: int = 100_000,
     allowance: int = 16,
 ) -> DataFrame:
@@ -515,7 +529,7 @@ def similarity_classes(
     spark = docs.sparkSession
     rows, shared = with_nodes(docs, id_col, F.encode(text_or_empty(text_col), "UTF-8"))
     # Ids go through pandas as strings: longs with nulls among them would become floats.
-    profile = materialize(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_profiles(size, 3, 1_000_000), PROFILE), "join-profile")
+    profile = materialize(rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_profiles(size, 3, FREQUENT_AMONG), PROFILE), "join-profile")
     members = profile.filter("df is null").select("node", F.col("id").cast("bigint").alias("id"), "n", "h1", "h2", "bits")
     hot = profile.filter("df is not null").groupBy("feature").agg(F.sum("df").alias("df")).filter("df >= 6")
     hot = hot.orderBy(F.desc("df"), "feature").limit(max_frequent).orderBy("df", "feature").collect()
@@ -528,7 +542,7 @@ def similarity_classes(
     copies = materialize(named.filter("node <> rep").select("node", "rep").distinct(), "join-copies")
 
     buckets = max(16, int((docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("s")).first()["s"] or 0) // bucket_bytes))
-    blocks = rows.select("node", "body").mapInPandas(_signatures(size, num, den, frequent, buckets, 1_000_000), BLOCKS)
+    blocks = rows.select("node", "body").mapInPandas(_signatures(size, num, den, frequent, buckets, 300_000), BLOCKS)
     found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(num, den, buckets), FOUND), "join-found")
 
     # Members that several tasks met go by their set's one name.

@@ -167,6 +167,20 @@ def test_repeats_in_rows_with_one_id(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_in_different_texts_with_one_id(spark):
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, alone = some(250), [some(300 + 40 * i) for i in range(4)]
+    rows = [(7, alone[0] + shared), (7, shared + alone[1]), (None, alone[2]), (None, shared), (3, alone[3] + shared), (9, ""), (9, None), (8, alone[1])]
+    got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    # The null ids come first, and of them only one holds the shared passage; the second text of 7 stands before 8.
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == sorted(
+        [(-1, len(alone[2]), 0), (-1, 250, 0), (3, len(alone[3]) + 250, 250), (7, len(alone[0]) + 250, 250), (7, 250 + len(alone[1]), 250), (8, len(alone[1]), len(alone[1])), (9, 0, 0), (9, 0, 0)]
+    )
+    twice = remove_repeats(spark.createDataFrame([(5, shared)] * 3, DOCS)).collect()
+    assert sorted(r["n_removed"] for r in twice) == [0, 250, 250]
+
+
 def brute_leaks(text, items):
     from collections import Counter
 

@@ -31,7 +31,8 @@ spreads over all buckets. Texts travel once, to be cut, along with the lookup of
 the third rank, which reuses that exchange.
 
 Null texts count as empty. A null id orders before all others. Rows that share an id
-count as one document position by position. An empty table gives an empty result;
+are different documents; among them the order is fixed by a hash of their bytes, and of
+equal rows all but one are repeats of it. An empty table gives an empty result;
 other columns are ignored. Long texts are hashed in blocks; memory is bounded by a
 block, and for cutting by one text.
 """
@@ -349,12 +350,28 @@ def _cut(length: int, keep_text: bool):
     return cut
 
 
+def _numbered(rows: DataFrame) -> DataFrame | None:
+    """``id, doc, body`` with ids that differ and keep the order of the documents, if any id (now ``doc``) is shared.
+
+    The numbers follow a range sort by id, bytes and row, so that rows of one id are spread over tasks.
+    """
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return None
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("__hash", F.xxhash64("body")).withColumn("__row", F.monotonically_increasing_id())
+    by = ["id", "__hash", "__row"]
+    inorder = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return materialize(inorder.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("doc"), "body"), "suffix-numbered")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, seed: int = 32, bucket_bytes: int = 2 << 20, keep_text: bool = True) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``, the remaining
     bytes ``kept``, for each row of ``docs``."""
     if not 1 <= seed <= length or length < 2 * STRETCH or length - seed > 200:
         raise ValueError(f"1 <= seed <= length, length >= {2 * STRETCH} and length - seed <= 200 are needed")
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.encode(text_or_empty(text_col), "UTF-8").alias("body"))
+    numbered = _numbered(rows)
+    rows = rows if numbered is None else numbered.select("id", "body")
     total = rows.select(F.sum(F.octet_length("body")).alias("s")).first()["s"] or 0
     buckets = max(16, int(total // bucket_bytes))
     chunk = 200_000
@@ -373,4 +390,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
     out = zipped.join(lists(repeats, "lo", "cnt"), "id", "left").mapInPandas(_cut(length, keep_text), schema)
     out = materialize(out, "suffix-kept")
+    if numbered is not None:
+        columns = [F.col("doc").alias("id"), *out.columns[1:]]
+        out = out.join(numbered.select("id", "doc"), "id").select(columns)
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.language_id import UNKNOWN, fit, identify_languages
-from tidemark.llm.pii import KINDS, base_spans, find_pii, fit as fit_pii, luhn, redact, tokens
+from tidemark.llm.pii import KINDS, base_spans, find_pii, fit as fit_pii, luhn, redact, tokens, training_sample
 from tidemark.llm.warc import CaptureIndex, archive_round_trip, parse_records, plan_records, surt, write_archives
 
 PAGES = "page_id bigint, url string, html string"
@@ -122,3 +122,13 @@ def test_pii_query_columns(spark, model):
     assert got[2]["spans"] == "email:0:6,ip:7:14" and (got[2]["n_email"], got[2]["n_ip"]) == (1, 1)
     assert find_pii(df.limit(0), model).count() == 0
     assert np.isfinite(model.shape).all()
+
+
+def test_pii_sample_is_the_least_of_all_hashes(spark):
+    rows = [(i % 300 if i % 3 else None, f"call {i % 500} now") for i in range(3000)] + [(1, "no digit"), (2, None), (None, ""), (3, "7" * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    seen = {r["h"]: r["text"] for r in df.filter("text rlike '[0-9]' and length(text) <= 20").selectExpr("xxhash64(cast(doc_id as string), text, 17) as h", "text").collect()}
+    for n in (5, 40, 10_000):
+        got = [(r["h"], r["body"]) for r in training_sample(df, sample_rows=n, sample_bytes=20).collect()]
+        assert got == sorted(seen.items())[:n]
+    assert training_sample(df.limit(0)).count() == 0

@@ -15,8 +15,8 @@ without its prefix, an address cut short. Tokens outside base spans whose belief
 one kind reaches ``least_belief`` become added spans.
 
 Weights are trained here, by stochastic gradient descent on the pseudo-likelihood
-of the base labels in a bounded sample of documents (``sample_rows`` of at most
-``sample_bytes`` each, by a hash of the id); shape weights never see whether a
+of the base labels in a bounded sample of different documents (``sample_rows`` of at most
+``sample_bytes`` each, by a hash of id and text); shape weights never see whether a
 pattern matched.
 
 Nothing is shuffled; the broadcast weights have a fixed size. Null text counts as
@@ -310,11 +310,24 @@ def fit(texts: list[str], epochs: int = 5, rate: float = 0.3, decay: float = 1e-
     return SkipChainModel(shape, chain, max(skip, 1.0))
 
 
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1_000, sample_bytes: int = 20_000) -> DataFrame:
+    """``h, body``: of the different rows that have a token to label, the ``sample_rows`` least by a hash of id and text.
+
+    A bar first keeps about twice as many as are asked for, so that what travels is bounded whatever the
+    number of tasks; copies of a row, which have one hash, are one row from the task on.
+    """
+    usable = docs.filter(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= sample_bytes))
+    body = F.col(text_col).cast("string")
+    rows = usable.select(body.alias("body"), F.xxhash64(F.col(id_col).cast("string"), body, F.lit(17)).alias("h"))
+    known = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    if known > 4 * sample_rows:
+        rows = rows.filter(F.col("h") < F.lit(int(2**64 * 2 * sample_rows / known) - 2**63))
+    return rows.groupBy("h").agg(F.min("body").alias("body")).orderBy("h").limit(sample_rows)
+
+
 def train_pii_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1_000, sample_bytes: int = 20_000) -> SkipChainModel:
     """Fits on a bounded sample of documents that have a token to label."""
-    usable = docs.filter(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= sample_bytes))
-    rows = usable.select(F.col(text_col).cast("string").alias("body"), F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).alias("h"))
-    return fit([r["body"] for r in rows.orderBy("h", "body").limit(sample_rows).collect()])
+    return fit([r["body"] for r in training_sample(docs, id_col, text_col, sample_rows, sample_bytes).collect()])
 
 
 def listed(spans: list[Span]) -> str:

@@ -19,7 +19,7 @@ of the base labels in a bounded sample of different documents (``sample_rows`` o
 ``sample_bytes`` each, by a hash of id and text); shape weights never see whether a
 pattern matched.
 
-Nothing is shuffled; the broadcast weights have a fixed size. Null text counts as
+Texts are searched without a shuffle; the broadcast weights have a fixed size. Null text counts as
 empty: no spans. Texts are read whole. Other columns are ignored.
 """
 

@@ -130,6 +130,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def least_reachable(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components_hold_every_node(spark):
+    # 4 takes 1 as its parent; 2 has no smaller neighbour and nobody took it.
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame([(1, 4), (4, 1), (2, 4)], "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 4: 1}
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):

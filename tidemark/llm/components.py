@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             parents = materialize(jumped.select("id", F.coalesce("grand", "parent").alias("parent")), "cc-parents")
         found = parents.select("id", F.col("parent").alias("component"))
         if labels is None:
-            labels = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+            # Every b is in it; an a that no b chose as its least neighbour is a root as well.
+            roots = edges.select(F.col("a").alias("id")).distinct().join(found, "id", "left_anti")
+            labels = found.unionByName(roots.withColumn("component", F.col("id")))
         else:
             moved = labels.join(found.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
             labels = moved.select("id", F.coalesce("root", "component").alias("component"))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, extended_components
 from tidemark.llm.decontaminate import ItemIndex, decontaminate, find_leaks
 from tidemark.llm.hashing import bitmap, folded, shingle_set, shingle_sets, word_hashes
 from tidemark.llm.jaccard_join import Signer, ngram_jaccard_join, similarity_classes
@@ -151,6 +151,20 @@ def test_components_hold_every_node(spark):
     assert got == {1: 1, 2: 1, 4: 1}
 
 
+def test_components_grow_with_more_edges(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+    first, more = edges[:50], edges[50:]
+    table = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    whole = least_reachable(edges)
+    assert {r["id"]: r["component"] for r in connected_components(table(edges)).collect()} == whole
+    labels = connected_components(table(first))
+    got = {r["id"]: r["component"] for r in extended_components(labels, table(more)).collect()}
+    assert got == whole
+    assert {r["id"]: r["component"] for r in extended_components(connected_components(table([])), table(edges)).collect()} == whole
+    assert extended_components(labels, table([])).count() == labels.count()
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, skew_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         while True:
             up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
             jumped = parents.join(up, "parent", "left")
-            if jumped.filter("grand is not null").isEmpty():
+            parents = materialize(jumped.select("id", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")), "cc-parents")
+            if parents.filter("moved").isEmpty():
                 break
-            parents = materialize(jumped.select("id", F.coalesce("grand", "parent").alias("parent")), "cc-parents")
         found = parents.select("id", F.col("parent").alias("component"))
         if labels is None:
             # Every b is in it; an a that no b chose as its least neighbour is a root as well.
@@ -49,3 +49,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
+
+
+def extended_components(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels(id, component)`` of a graph after the edges ``more(a, b)`` came to it. Only edges between
+    different components are followed; nodes that ``labels`` lacks are components of their own before."""
+    roots = more.select("a", "b")
+    for side in ("a", "b"):
+        roots = roots.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    moved = connected_components(roots.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if moved.isEmpty():
+        return labels
+    # One component may hold most of the nodes, so its rows don't travel by it.
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    roots = moved.select(F.col("id").alias("component"), F.col("component").alias("root")).join(sizes, "component")
+    old = skew_join(labels, materialize(roots, "cc-roots"), ["component"], "members").select("id", F.coalesce("root", "component").alias("component"))
+    return materialize(old.unionByName(moved.join(labels.select("id"), "id", "left_anti")), "cc-labels")

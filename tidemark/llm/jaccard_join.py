@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, skew_join, text_or_empty, with_nodes
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, extended_components
 from tidemark.llm.hashing import bitmap, folded, mix, shingle_sets
 
 _U = np.uint64
@@ -387,6 +387,8 @@ def _spread(pairs: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds a salt to the pairs of nodes ``a`` that have many, and repeats their rows in ``lookup`` for each salt."""
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEGREE).cast("int").alias("salts")).filter("salts > 1")
     hubs = materialize(hubs, "join-hubs")
+    if hubs.isEmpty():
+        return pairs.withColumn("salt", F.lit(0)), lookup.withColumn("salt", F.lit(0))
     salted = skew_join(pairs, hubs, ["a"], "salts").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")), F.lit(0).cast("bigint"))).drop("salts")
     wide = lookup.join(hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts"), F.lit(1)).cast("bigint") - 1))).drop("salts")
     return salted, wide
@@ -567,7 +569,7 @@ def similarity_classes(
     labels = connected_components(links)
     rest = materialize(_apart(pairs, labels).join(best, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        links, labels = _extend(links, materialize(_verify(rest, texts, size, num, den), "join-links"), labels)
+        labels = extended_components(labels, materialize(_verify(rest, texts, size, num, den), "join-links"))
     tried = pairs.select("a", "b")
 
     while True:
@@ -588,7 +590,7 @@ def similarity_classes(
         more = materialize(new.filter("not cut").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "join-more")
         if not more.isEmpty():
             tried = tried.unionByName(more)
-            links, labels = _extend(links, materialize(_verify(more, materialize(_texts(more, rows), "join-texts"), size, num, den), "join-links"), labels)
+            labels = extended_components(labels, materialize(_verify(more, materialize(_texts(more, rows), "join-texts"), size, num, den), "join-links"))
         if new.filter("cut").isEmpty():
             break  # every pair across components was verified
         groups = at.select("g", "node")
@@ -612,16 +614,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _families(at: DataFrame) -> DataFrame:
-    """``g, node, component, members`` to compare: near copies share hundreds of groups, so groups that hang together
-    are compared as one family where that is fewer rows, and one by one where it isn't."""
-    linked = connected_components(at.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("family_members")).withColumnRenamed("component", "family")
-    found = materialize(skew_join(linked.withColumnRenamed("component", "family"), sizes, ["family"], "family_members"), "join-families")
-    rows = at.join(found.withColumnRenamed("id", "node"), "node")
-    few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.first("family_members").alias("n")).filter(F.col("n") * F.ceil(F.col("n") / CELL) <= F.col("rows"))
-    rows = materialize(skew_join(rows, materialize(few, "join-few"), ["family"], "rows").drop("n"), "join-family-rows")
-    whole = rows.filter("rows is not null").select(F.col("family").alias("g"), "node", "component", F.col("family_members").alias("members")).distinct()
-    return whole.unionByName(rows.filter("rows is null").select("g", "node", "component", "members"))
+    """``g, node, component, members`` to compare: near copies share hundreds of groups, so groups that overlap
+    are compared as one family where that is fewer rows, and one by one where it isn't.
+
+    A group goes by the least node among its members' groups, and once more by the least of those. Two steps bring
+    nearly all of a family of near copies together; what they leave apart is compared twice, none is lost.
+    """
+    named = at.select("g", "node", "component", "members", F.col("least").alias("family"))
+    for _ in range(2):
+        nearest = named.groupBy("node").agg(F.min("family").alias("near"))
+        nearer = named.select("g", "node", "members").join(nearest, "node").groupBy("g").agg(F.min("near").alias("family"), F.first("members").alias("weight"))
+        nearer = materialize(nearer, "join-families")
+        named = skew_join(at.select("g", "node", "component", "members"), nearer, ["g"], "weight").drop("weight")
+    rows = materialize(named, "join-family-rows")
+    once = materialize(rows.select("family", "node", "component").distinct(), "join-family-nodes")
+    sizes = once.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).join(sizes, "family").filter(F.col("n") * F.ceil(F.col("n") / CELL) <= F.col("rows"))
+    few = materialize(few, "join-few")
+    whole = skew_join(once, few, ["family"], "n").filter("n is not null").select(F.col("family").alias("g"), "node", "component", F.col("n").alias("members"))
+    single = skew_join(rows, few, ["family"], "rows").filter("rows is null").select("g", "node", "component", "members")
+    return whole.unionByName(single)
 
 
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -636,10 +648,3 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         out = out.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     return out.filter("ca <> cb").select("a", "b")
-
-
-def _extend(links: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    if more.isEmpty():
-        return links, labels
-    links = links.unionByName(more)
-    return links, connected_components(links)

@@ -3,11 +3,11 @@
 * *Distinct texts*: rows are grouped by the SHA-256 of their text; a group keeps the set of its contents, combined
   before it is shuffled, so that copies travel once for each task. A group with two contents would be a collision:
   it ends the job, it is never mixed up.
-* *Boundaries once*: of each distinct text the ends of its tokens are computed once and kept as an Elias-Fano list
-  (low bits packed, high bits unary, a directory of ones for each 512 bits), some five bits a token.
-* *Join back*: ``(id, digest)`` rows meet the index, each selects its two seeded cuts from the list by rank, without
-  unpacking it, and the pieces are put together by Spark. Texts are shuffled once. Groups of more than
-  ``rows_a_copy`` rows get a copy of their text for every so many rows, and the rows are dealt over the copies.
+* *Join back*: the ids of a digest meet its text; ids alone travel for it, so texts are shuffled once. Groups of more
+  than ``rows_a_copy`` rows get a copy of their text for every so many rows, and the rows are dealt over the copies.
+* *Boundaries once*: of each distinct text (and each further copy) the ends of its tokens are computed once and kept as
+  an Elias-Fano list (low bits packed, high bits unary, a directory of ones for each 512 bits), some five bits a token.
+  Each row selects its two seeded cuts from the list by rank, without unpacking it, and Spark puts the pieces together.
 
 A token is a run of other characters with the white space (blank, 09-0D) before it, or white space at the end.
 Null texts count as empty; an empty text, or one that holds a sentinel already, stays as it is (form ``plain``).
@@ -96,6 +96,11 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return sets.select("digest", F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(collision).alias("text"))
 
 
+def _members(keys: DataFrame, by: list[str]) -> DataFrame:
+    """The ids of each group, nulls too; groups are bounded."""
+    return keys.groupBy(*by).agg(F.collect_list(F.struct("id")).alias("ids"))
+
+
 def _seeds(seed: int, key: Column) -> list[Column]:
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)]
@@ -110,15 +115,17 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = materialize(docs.select(F.col(id_col).alias("id"), digest(text).alias("digest")), "fim-keys").withColumn("place", F.monotonically_increasing_id())
     index = distinct_texts(docs.select(digest(text).alias("digest"), text.alias("text")))
     heavy = materialize(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_a_copy), "fim-heavy")
-    listed = lambda df: df.withColumn("list", boundary_list("text"))
     if heavy.isEmpty():
-        met = keys.join(listed(index), "digest").select("id", "text", "list")
+        met = _members(keys, ["digest"]).join(index, "digest")
     else:
         marked = skew_join(keys, heavy, ["digest"], "rows")
         copies = lambda: F.ceil(F.col("rows") / rows_a_copy).cast("bigint")
-        wide = listed(index.join(heavy, "digest")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies() - 1)))
-        dealt = marked.filter("rows is not null").withColumn("copy", F.pmod("place", copies())).drop("rows")
-        met = marked.filter("rows is null").join(listed(index), "digest").select("id", "text", "list").unionByName(dealt.join(wide, ["digest", "copy"]).select("id", "text", "list"))
+        wide = index.join(heavy, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies() - 1)))
+        dealt = marked.filter("rows is not null").withColumn("copy", F.pmod("place", copies()))
+        met = _members(marked.filter("rows is null"), ["digest"]).join(index, "digest").select("ids", "text")
+        met = met.unionByName(_members(dealt, ["digest", "copy"]).join(wide, ["digest", "copy"]).select("ids", "text"))
+    # Python between an exchange and a join would cost the texts a second exchange, so lists come after the join.
+    met = met.withColumn("list", boundary_list("text")).select(F.explode("ids").alias("id"), "text", "list").withColumn("id", F.col("id.id"))
     h = _seeds(seed, F.col("id"))
     n = F.col("list.n")
     held = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)

@@ -15,6 +15,7 @@ from tidemark.llm.fill_in_middle import fill_in_middle, restore
 from tidemark.llm.jaccard_join import ngram_jaccard_join
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.pii import find_pii, train_pii_model
+from tidemark.llm.quality import classify_quality
 from tidemark.llm.sharding import shard_rows
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
@@ -76,6 +77,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -17,6 +17,7 @@ from tidemark.llm.language_id import identify_languages
 from tidemark.llm.pii import find_pii, train_pii_model
 from tidemark.llm.quality import classify_quality
 from tidemark.llm.sharding import shard_rows
+from tidemark.llm.spelling import corrupt, spelling_groups
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.warc import archive_round_trip
@@ -72,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), change=corrupt(199))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle(table(spark, sf_dir, "documents"), seed=42)
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))

@@ -70,23 +70,18 @@ def token_ends(text: str) -> np.ndarray:
     return np.append(ends, len(points)) if len(points) and white[-1] else ends
 
 
-@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("ends", T.BinaryType())]))
-def boundary_list(texts: pd.Series) -> pd.DataFrame:
-    ends = [token_ends(t) for t in texts]
-    return pd.DataFrame({"n": [len(e) for e in ends], "ends": [EliasFano.encode(e) for e in ends]})
+_LONGS = T.ArrayType(T.LongType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-def boundaries_at(lists: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """The offsets after so many tokens; nulls where there is no list."""
+@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("a", _LONGS), T.StructField("b", _LONGS)]))
+def seeded_cuts(texts: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.DataFrame:
+    """The number of tokens of each text, and for each of its rows the offsets of the two cuts that two numbers choose."""
     out = []
-    for data, i, j in zip(lists, first, second):
-        if data is None:
-            out.append((None, None))
-        else:
-            ends = EliasFano(data)
-            out.append(tuple(ends[int(k) - 1] if k > 0 else 0 for k in (i, j)))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("Int64")
+    for text, h1, h2 in zip(texts, firsts, seconds):
+        ends = EliasFano(EliasFano.encode(token_ends(text)))
+        ranks = np.sort(np.stack([h1, h2]) % (ends.n + 1), axis=0)
+        out.append((ends.n, *[[ends[k - 1] if k else 0 for k in row] for row in ranks.tolist()]))
+    return pd.DataFrame(out, columns=["n", "a", "b"])
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
@@ -125,19 +120,19 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met = _members(marked.filter("rows is null"), ["digest"]).join(index, "digest").select("ids", "text")
         met = met.unionByName(_members(dealt, ["digest", "copy"]).join(wide, ["digest", "copy"]).select("ids", "text"))
     # Python between an exchange and a join would cost the texts a second exchange, so lists come after the join.
-    met = met.withColumn("list", boundary_list("text")).select(F.explode("ids").alias("id"), "text", "list").withColumn("id", F.col("id.id"))
+    first, second = F.transform("ids", lambda x: _seeds(seed, x["id"])[0]), F.transform("ids", lambda x: _seeds(seed, x["id"])[1])
+    met = met.withColumn("cuts", seeded_cuts("text", first, second)).select("text", F.col("cuts.n").alias("n"), F.explode(F.arrays_zip(F.col("ids.id").alias("id"), F.col("cuts.a").alias("a"), F.col("cuts.b").alias("b"))).alias("row")).select("text", "n", "row.*")
     h = _seeds(seed, F.col("id"))
-    n = F.col("list.n")
     held = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
     form = F.when((F.col("text") == "") | held | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm_rate, "spm").otherwise("psm")
-    rows = met.select("id", "text", "list", form.alias("form"), F.least(h[0] % (n + 1), h[1] % (n + 1)).alias("lo"), F.greatest(h[0] % (n + 1), h[1] % (n + 1)).alias("hi"))
-    rows = rows.withColumn("cut", boundaries_at(F.when(F.col("form") != "plain", F.col("list.ends")), "lo", "hi"))
-    a, b = F.col("cut.a").cast("int"), F.col("cut.b").cast("int")
+    rows = met.withColumn("form", form)
+    a, b = F.col("a").cast("int"), F.col("b").cast("int")
     prefix, middle, suffix = F.substring("text", F.lit(1), a), F.substring("text", a + 1, b - a), F.substring("text", b + 1, F.lit((1 << 31) - 1))
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     spm = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
     output = F.when(F.col("form") == "plain", F.col("text")).when(F.col("form") == "spm", spm).otherwise(psm)
-    return rows.select(F.col("id").alias(id_col), n.alias("n"), "form", F.col("cut.a").alias("prefix_chars"), (F.col("cut.b") - F.col("cut.a")).alias("middle_chars"), output.alias("output"))
+    cut = F.col("form") != "plain"
+    return rows.select(F.col("id").alias(id_col), "n", "form", F.when(cut, F.col("a")).alias("prefix_chars"), F.when(cut, F.col("b") - F.col("a")).alias("middle_chars"), output.alias("output"))
 
 
 def restore(output: Column, form: Column) -> Column:

@@ -10,33 +10,54 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_CHART = "map<string, array<array<bigint>>>"
+from tidemark.sources.strict_json import Drift, read_census, read_chart, strict_object
+
+_POINTS = T.ArrayType(T.StructType([T.StructField("tier", T.StringType()), T.StructField("ms", T.LongType()), T.StructField("cents", T.IntegerType())]))
+_LISTS = T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
+
+
+def _read(function, out: T.DataType):
+    """A UDF of JSON text that gives what ``function`` reads, and the reason where it is drift."""
+
+    @F.pandas_udf(T.StructType([T.StructField("got", out), T.StructField("reason", T.StringType())]))
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            try:
+                rows.append((function(text), None))
+            except Drift as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["got", "reason"])
+
+    return read
+
+
+def utc_day(ms: Column) -> Column:
+    """The UTC day of epoch milliseconds, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(ms / F.lit(86_400_000)).cast("int"))
 
 
 def chart_rows(pages: DataFrame, key: str, chart_json: str, series: dict[str, str]) -> DataFrame:
     """``key, tier, day, cents, reason``: a JSON object of series of ``[epoch milliseconds, cents]`` as rows.
 
-    An unknown series makes the page drift: one row with the reason and no facts. So does a chart that isn't there."""
-    p = pages.select(F.col(key), F.from_json(F.col(chart_json), _CHART).alias("chart"))
-    known = F.create_map(*[F.lit(x) for kv in series.items() for x in kv])
-    strange = F.array_sort(F.array_except(F.map_keys("chart"), F.lit(list(series))))
-    reason = F.when(F.col("chart").isNull(), "no chart").when(F.size(strange) > 0, F.concat(F.lit("unknown series: "), F.array_join(strange, ",")))
-    p = p.withColumn("reason", reason)
-    good = p.filter("reason is null").select(key, F.explode("chart").alias("name", "points")).select(key, known[F.col("name")].alias("tier"), F.explode("points").alias("point"))
-    good = good.select(key, "tier", F.to_date(F.timestamp_millis(F.col("point")[0])).alias("day"), F.col("point")[1].alias("cents"), F.lit(None).cast("string").alias("reason"))
+    A page whose chart isn't there, isn't JSON, has an unknown series or a point that isn't two whole numbers is drift:
+    one row with the reason and no facts. Days are UTC days."""
+    names = [f.name for f in _POINTS.elementType.fields]
+    read = _read(lambda t: [dict(zip(names, p)) for p in read_chart(None if t is None else strict_object(t, "chart"), series)], _POINTS)
+    p = pages.select(F.col(key), read(F.col(chart_json)).alias("c"))
+    good = p.select(key, F.explode("c.got").alias("p")).select(key, "p.tier", utc_day(F.col("p.ms")).alias("day"), F.col("p.cents").cast("bigint").alias("cents"), F.lit(None).cast("string").alias("reason"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("tier", "string"), ("day", "date"), ("cents", "bigint"))]
-    return good.unionByName(p.filter("reason is not null").select(key, *none, "reason"))
+    return good.unionByName(p.filter("c.reason is not null").select(key, *none, "c.reason"))
 
 
 def population(json: Column, graders: list[str]) -> Column:
     """``struct(counts, reason)`` of a census object: null counts where there is none, an empty array for a grader that
-    is missing, a reason for one that is unknown."""
-    found = F.from_json(json, "map<string, array<int>>")
-    strange = F.array_sort(F.array_except(F.map_keys(found), F.lit(graders)))
-    counts = F.struct(*[F.coalesce(found[g], F.array().cast("array<int>")).alias(g) for g in graders])
-    bad = F.size(strange) > 0
-    return F.struct(F.when(found.isNotNull() & ~bad, counts).alias("counts"), F.when(bad, F.concat(F.lit("unknown graders: "), F.array_join(strange, ","))).alias("reason"))
+    is missing, a reason for one that is unknown and for what isn't an object of lists of whole numbers."""
+    p = _read(lambda t: read_census(None if t is None else strict_object(t, "census"), graders), _LISTS)(json)
+    counts = F.struct(*[p["got"][g].alias(g) for g in graders])
+    return F.struct(F.when(p["got"].isNotNull(), counts).alias("counts"), p["reason"].alias("reason"))
 
 
 def kind_verdict(labels: Column, genre: Column, known: list[str], word: str) -> Column:

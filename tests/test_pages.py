@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import detail, markup, visit_page
+from tidemark.streaming import visits
 
 LAYOUT = visit_page.Layout(
     series={"used": "Raw", "cib": "Seven", "graded": "Nine"}, graders=("psa", "cgc"), sources=("bay", "house"), known_labels=("Raw", "Nine", "Grade 9.5"), image=r"images\.example\.com/([a-z0-9]+)/"
@@ -106,3 +107,30 @@ def test_cents(text, expected):
         assert visit_page.cents(text, "x") == expected
     except visit_page.Drift:
         assert expected == "drift"
+
+
+def test_a_failed_visit_leaves_nothing_and_its_replay_all(spark, tmp_path):
+    html = page(rows=row() + row("bay-2", price="7"))
+    captures = spark.createDataFrame([(1, "2024-01-01", html), (2, "2024-01-01", page(chart=None)), (1, "2024-01-02", html.replace(", 120]", ", 130]"))], "id bigint, at string, html string").withColumn("at", F.col("at").cast("timestamp"))
+    store = visits.VisitStore(spark, str(tmp_path / "s"), "id", "at")
+    sink, whole = visits.visit_sink(store, LAYOUT), store["visits"].write
+
+    def breaks(rows, batch):
+        whole(rows, batch)
+        raise OSError("disk full")
+
+    store["visits"].write = breaks
+    with pytest.raises(OSError, match="disk full"):
+        sink(captures, 0)
+    assert all(t.read().count() == 0 for t in store.tables.values()) and store["sales"].written(0).count() == 2
+    store["visits"].write = whole
+    sink(captures, 0)
+    sink(captures, 0)  # a batch may come again after its marker, too
+    counts = {name: t.read().count() for name, t in store.tables.items()}
+    assert counts == {"prices": 2, "census": 2, "sales": 2, "visits": 3}
+    got = {(r["id"], r["at"].day): (r["verdict"], r["reason"], r["new_prices"], r["new_cells"], r["new_sales"]) for r in store["visits"].read().collect()}
+    assert got == {(1, 1): ("ok", None, 1, 2, 2), (1, 2): ("ok", None, 1, 0, 0), (2, 1): ("drift", "no chart", 0, 0, 0)}
+    rolled = page(rows=row("bay-3") + row("bay-4"))
+    sink(spark.createDataFrame([(1, "2024-01-03", rolled)], "id bigint, at string, html string").withColumn("at", F.col("at").cast("timestamp")), 1)
+    last = store["visits"].read().filter("at = timestamp'2024-01-03'").first()
+    assert last["at_cap"] and last["new_sales"] == 2 and last["new_prices"] == 1  # back to 120

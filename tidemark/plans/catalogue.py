@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalogs, history, schedule, streams, verdicts
+from tidemark.plans import catalogs, history, schedule, streams, verdicts, visits
 
-_PARTS = (history, schedule, catalogs, streams, verdicts)
+_PARTS = (history, schedule, catalogs, streams, verdicts, visits)
 
 
 def queries():

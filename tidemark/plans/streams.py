@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import folds
-from tidemark.plans.common import table
+from tidemark.plans.common import scratch, table
 from tidemark.plans.schedule import ORACLES as _SCHEDULE
 from tidemark.streaming import visits
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _batches(spark: SparkSession, sf_dir: str, columns: list, name: str, parts: int = 4, order: str = "ts") -> DataFrame:
     """The events in ``parts`` files, in time order, read as a stream of one file at a time."""
     path = scratch(spark, name)

@@ -10,44 +10,119 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidemark.operators.coverage import at_cap_buckets, overlap, page_margins
 from tidemark.operators.history import change_only_plan, dedup_append, latest_by_key
+from tidemark.sources.detail import utc_day
+from tidemark.sources.visit_page import Layout, census_facts, judged_pages
 
 
 class BatchTable:
-    """Append-only output of micro-batches in one folder, read through its markers."""
+    """Append-only output of micro-batches in one folder, read through its markers.
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    Tables that are committed together share the folder of markers. Both folders exist from the start: batch -1 is empty."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, committed: str | None = None):
+        self.spark, self.path, self.schema, self.committed = spark, path, schema, committed or f"{path}/committed"
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/rows/batch=-1")
+        spark.createDataFrame([], "batch bigint").write.mode("ignore").parquet(f"{self.committed}/marker=-1")
 
     def write(self, rows: DataFrame, batch: int) -> None:
         rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
 
     def commit(self, batch: int) -> None:
-        self.spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/committed/batch={batch}")
+        self.spark.range(1).select(F.lit(batch).cast("bigint").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.committed}/marker={batch}")
+
+    def written(self, batch: int) -> DataFrame:
+        """Rows of a batch, committed or not."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows/batch={batch}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Rows of committed batches; none before the first. A batch reads those ``before`` it: it may come again after
+        its own marker, and must then find the table as it was."""
+        done = self.spark.read.schema("batch bigint").parquet(self.committed).select("batch").distinct()
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.path}/rows")
+        if before is not None:
+            rows, done = rows.filter(F.col("batch") < before), done.filter(F.col("batch") < before)
+        return rows.join(done, "batch", "left_semi").drop("batch")
+
+
+class VisitStore:
+    """The outputs of visits, each an append-only table, committed by one marker for all."""
+
+    SCHEMAS = {
+        "prices": "{key} bigint, {at} timestamp, tier string, month date, cents int",
+        "census": "{key} bigint, {at} timestamp, grader string, grade int, population int",
+        "sales": "{key} bigint, {at} timestamp, source string, source_id string, sold_on date, tier string, cents int, listed_cents int, title string",
+        "visits": "{key} bigint, {at} timestamp, verdict string, reason string, image string, title string, links int, new_prices bigint, new_cells bigint, new_sales bigint, at_cap boolean",
+    }
+
+    def __init__(self, spark: SparkSession, path: str, key: str, at: str):
+        self.key, self.at = key, at
+        schema = lambda text: spark.createDataFrame([], text.format(key=key, at=at)).schema
+        self.tables = {name: BatchTable(spark, f"{path}/{name}", schema(text), f"{path}/committed") for name, text in self.SCHEMAS.items()}
+
+    def __getitem__(self, name: str) -> BatchTable:
+        return self.tables[name]
+
+    def commit(self, batch: int) -> None:
+        self.tables["visits"].commit(batch)
+
 
-    def read(self) -> DataFrame:
-        """Rows of committed batches; none before the first."""
-        empty = self.spark.createDataFrame([], self.schema)
+def visit_sink(store: VisitStore, layout: Layout, html: str = "html") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: each page is parsed once, its verdict decides, and all outputs are committed together.
+
+    Prices and census cells are kept where they change (an unknown one counts as 0), sales once for ever by their natural
+    key, and every page leaves a visit with what it added. ``at_cap`` says that of some tier nothing that was held before
+    is on the page any more. Pages that are drift or rejected leave a visit with its reason and nothing else. Of points of
+    one month the last counts. A page may be in a batch several times; its captures are taken in the order of time, but
+    ``at_cap`` is judged for them together.
+    """
+    key, at = store.key, store.at
+
+    def run(batch: DataFrame, number: int) -> None:
+        judged = judged_pages(batch.select(key, at, html), layout, html).persist()
         try:
-            done = self.spark.read.parquet(f"{self.path}/committed").select("batch").distinct()
-            rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.path}/rows")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" in str(e):
-                return empty
-            raise
-        return rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")
+            points = judged.filter("verdict = 'ok'").select(key, at, F.posexplode("page.chart").alias("pos", "p"))
+            points = points.groupBy(key, at, F.col("p.tier").alias("tier"), utc_day(F.col("p.ms")).alias("month")).agg(F.max_by("p.cents", "pos").alias("cents"))
+            store["prices"].write(changes(points, store["prices"].read(number), [key, "tier", "month"], at, "cents"), number)
+            store["census"].write(changes(census_facts(judged, key, at), store["census"].read(number), [key, "grader", "grade"], at, "population"), number)
+            held = store["sales"].read(number)
+            on_page = judged.filter("verdict = 'ok'").select(key, at, F.posexplode("page.sales").alias("pos", "s")).select(key, at, "pos", "s.*")
+            store["sales"].write(dedup_append(held, on_page, ["source", "source_id"], [F.col(c) for c in (at, key, "pos")]), number)
+            # What the append met is the evidence, so it is read back before the marker is set.
+            new = {name: store[name].written(number) for name in ("prices", "census", "sales")}
+            before = held.join(on_page.select(key).distinct(), key, "left_semi")
+            margins = page_margins(on_page, overlap(before, before.unionByName(new["sales"]), [key, "tier"]), [key], "tier", ["source", "source_id"], "pos")
+            capped = at_cap_buckets(margins, [key], "tier").select(key, F.lit(True).alias("at_cap"))
+            visits = judged.select(key, at, "verdict", "reason", "page.image", "page.title", "page.links").join(capped, key, "left").na.fill(False, ["at_cap"])
+            for name, column in (("prices", "new_prices"), ("census", "new_cells"), ("sales", "new_sales")):
+                visits = visits.join(new[name].groupBy(key, at).agg(F.count(F.lit(1)).alias(column)), [key, at], "left").na.fill(0, [column])
+            store["visits"].write(visits, number)
+            store.commit(number)
+        finally:
+            judged.unpersist()
+
+    return run
+
+
+def changes(new: DataFrame, held: DataFrame, keys: list[str], at: str, value: str, default=0) -> DataFrame:
+    """Rows of ``new`` whose value isn't the one before: the key's earlier row of ``new``, or the newest one held."""
+    latest = latest_by_key(held, keys, at, value).join(new.select(*keys).distinct(), keys, "left_semi")
+    rows = new.select(*keys, at, value).withColumn("__new", F.lit(True)).unionByName(latest.select(*keys, at, value).withColumn("__new", F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy("__new", at)
+    return rows.withColumn("__last", F.lag(value, 1, default).over(w)).filter(F.col("__new") & (F.col("__last") != F.col(value))).drop("__new", "__last")
 
 
 def append_new(table: BatchTable, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends rows whose natural key the table doesn't hold, ever."""
 
     def run(batch: DataFrame, number: int) -> None:
-        new = dedup_append(table.read(), batch, keys, [F.col(c) for c in order])
+        new = dedup_append(table.read(number), batch, keys, [F.col(c) for c in order])
         table.write(new, number)
         table.commit(number)
 
@@ -59,7 +134,7 @@ def append_changes(table: BatchTable, keys: list[str], at: str, value: str) -> C
 
     def run(batch: DataFrame, number: int) -> None:
         newest = latest_by_key(batch, keys, at, value)
-        table.write(change_only_plan(newest, latest_by_key(table.read(), keys, at, value), keys, value), number)
+        table.write(change_only_plan(newest, latest_by_key(table.read(number), keys, at, value), keys, value), number)
         table.commit(number)
 
     return run
@@ -89,21 +164,3 @@ def fold_stream(events: DataFrame, machine, key: str, order: list[str], kind: st
         yield pd.concat([rows, pd.DataFrame(got, columns=names)], axis=1)
 
     return events.groupBy(key).applyInPandasWithState(run, out_schema, "state string", "append", "NoTimeout")
-
-
-def visit_batch(tables: dict[str, BatchTable], parse: Callable[[DataFrame], DataFrame], facts: Callable[[DataFrame], dict[str, tuple[DataFrame, list[str], list[Column]]]]) -> Callable[[DataFrame, int], None]:
-    """Pages in, facts out: parsed once, drift and rejections kept apart, each fact table deduplicated, all committed
-    after everything is written."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        parsed = parse(batch).persist()
-        try:
-            tables["failures"].write(parsed.filter("verdict <> 'ok'"), number)
-            for name, (rows, keys, order) in facts(parsed.filter("verdict = 'ok'")).items():
-                tables[name].write(dedup_append(tables[name].read(), rows, keys, order), number)
-            for t in tables.values():
-                t.commit(number)
-        finally:
-            parsed.unpersist()
-
-    return run

@@ -575,8 +575,9 @@ def similarity_classes(
     while True:
         at = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
         at = materialize(at, "join-groups")
-        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.sum(F.xxhash64("node") % (1 << 30)).alias("name")).filter("lo < hi")
-        spans = materialize(spans.groupBy("name", "members").agg(F.min(F.struct("g", "least")).alias("x")).select("x.*", "members"), "join-spans")
+        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("name"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("again")).filter("lo < hi")
+        # Groups with the same members are one; 128 bits and their number tell different ones apart.
+        spans = materialize(spans.groupBy("name", "again", "members").agg(F.min(F.struct("g", "least")).alias("x")).select("x.*", "members"), "join-spans")
         if spans.isEmpty():
             break
         at = materialize(skew_join(at, spans, ["g"], "members").filter("members is not null"), "join-spanning")

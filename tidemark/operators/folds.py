@@ -3,7 +3,7 @@
 The batch form folds each key's ordered events in one group, batch by batch of an
 Arrow stream, so a long history never sits in memory at once; the stream form keeps
 the same state between micro-batches. Both call the same ``step``. Machines that
-need no fold (streaks, breakers) are windows.
+need no fold (streaks) are windows; the breaker, one global order, is a segmented scan.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timing import sentence_days
+from tidemark.storage import written
 
 
 @dataclass
@@ -128,15 +129,38 @@ def quarantine_state(events: DataFrame, keys: list[str], at: str, order: list[Co
     return latest.select(*keys, "s.*").withColumn("joined", F.col("streak") == 3)
 
 
-def same_key_breaker(events: DataFrame, key: str, at: str, order: list[str], failed: Column, scope: str, threshold: int = 3) -> DataFrame:
-    """Adds ``run`` and ``tripped``: consecutive failures of one key, reset by any success of any key.
-
-    ``scope`` is the lane that breaks (a worker, a day of one); each scope is one sequence in one task, so
-    choose it such that a sequence stays small."""
-    lanes = [scope]
-    w = Window.partitionBy(*lanes).orderBy(*order)
-    e = events.withColumn("__fail", failed)
-    new = ~F.col("__fail") | F.coalesce(~F.lag("__fail").over(w), F.lit(True)) | (F.lag(key).over(w) != F.col(key))
-    e = e.withColumn("__run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*lanes, "__run").orderBy(*order)
-    return e.withColumn("run", F.when(F.col("__fail"), F.row_number().over(inside)).otherwise(0)).withColumn("tripped", F.col("run") >= threshold).drop("__fail", "__run")
+def same_key_breaker(events: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 3, slices: int | None = None) -> DataFrame:
+    """Adds ``run`` and ``tripped``: consecutive failures of one key over all events in one global order, reset by any
+    success of any key.
+
+    A segmented scan. Events are dealt into slices of the order by range; each slice counts its runs alone. A table with one
+    row for each slice says how its last run goes on: only slices that are one run from end to end hand on the run they were
+    given, so the lengths to carry are sums over islands of such slices. They are added to the first run of the next
+    slice. The order must be total; a null ``failed`` is a success, a null key is a key. ``slices`` is the number of
+    ranges, by default Spark's; the carried table, as many rows, is the only thing that one task sees whole.
+    """
+    bad = F.coalesce(failed, F.lit(False))
+    parts = events.withColumn("__bad", bad)
+    parts = parts.repartitionByRange(slices, *order) if slices else parts.repartitionByRange(*order)
+    # Ranges are sampled, so they are written down before anything is counted by them.
+    e = written(parts.withColumn("__slice", F.spark_partition_id()), "breaker-slices")
+    w = Window.partitionBy("__slice").orderBy(*order)
+    same = F.coalesce(F.lag("__bad").over(w) & F.col("__bad") & F.lag(key).over(w).eqNullSafe(F.col(key)), F.lit(False))
+    e = e.withColumn("__island", F.sum((~same).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("__slice", "__island").orderBy(*order)
+    e = e.withColumn("__run", F.when(F.col("__bad"), F.row_number().over(inside)).otherwise(0).cast("bigint"))
+    at = F.struct(*order)
+    ends = e.groupBy("__slice").agg(
+        F.max("__island").alias("islands"), F.min_by("__bad", at).alias("first_bad"), F.min_by(F.struct(key), at).alias("first_key"),
+        F.max_by("__run", at).alias("last_run"), F.max_by("__bad", at).alias("last_bad"), F.max_by(F.struct(key), at).alias("last_key"),
+    )
+    line = Window.orderBy("__slice")
+    goes_on = F.coalesce(F.lag("last_bad").over(line) & F.col("first_bad") & F.lag("last_key").over(line).eqNullSafe(F.col("first_key")), F.lit(False))
+    ends = ends.withColumn("goes_on", goes_on)
+    ends = ends.withColumn("chain", F.sum((~(F.col("goes_on") & (F.col("islands") == 1))).cast("bigint")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    # A slice of one run that goes on adds its length to the chain; any other starts a chain with its own last run.
+    ends = ends.withColumn("carried_out", F.sum("last_run").over(Window.partitionBy("chain").orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = ends.select("__slice", F.when(F.col("goes_on"), F.lag("carried_out").over(line)).otherwise(0).alias("__carried"))
+    out = e.join(carried, "__slice")
+    run = F.col("__run") + F.when((F.col("__island") == 1) & F.col("__bad"), F.col("__carried")).otherwise(0)
+    return out.withColumn("run", run).withColumn("tripped", F.col("run") >= threshold).select(*events.columns, "run", "tripped")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,17 @@ def same_map(a: Column, b: Column) -> Column:
 def recovered(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys that left a set between two snapshots."""
     return before.select(key).distinct().join(after.select(key), key, "left_anti")
+
+
+def membership_pulse(rows: DataFrame, at: str, key: str) -> DataFrame:
+    """``at, key, value`` of a set that is taken whole at certain times: 1 for each member at each time, and one 0 at the
+    next time for each that left.
+
+    ``rows(at, key)``; a row with a null key says that the set was taken, so that empty sets count as well. Times are
+    few, members may be many: one shuffle by key, and a member's times are matched against the next time taken."""
+    taken = rows.select(at).distinct()
+    following = taken.select(at, F.lead(at).over(Window.orderBy(at)).alias("__next"))
+    members = rows.filter(F.col(key).isNotNull()).select(at, key).distinct()
+    seen = members.join(F.broadcast(following), at).withColumn("__then", F.lead(at).over(Window.partitionBy(key).orderBy(at)))
+    left = seen.filter(F.col("__next").isNotNull() & ~F.coalesce(F.col("__then") == F.col("__next"), F.lit(False)))
+    return members.select(at, key, F.lit(1).alias("value")).unionByName(left.select(F.col("__next").alias(at), key, F.lit(0).alias("value")))

@@ -80,9 +80,9 @@ def quarantine_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def same_key_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 2).withColumn("day", F.col("ts").cast("date"))
-    out = folds.same_key_breaker(e, "key", "ts", ["ts", "event_id"], F.col("event_type").isin("error", "click"), "day")
-    return out.filter("run > 0").select("event_id", "key", F.col("run").cast("bigint").alias("run"), "tripped")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 2).alias("key"), "event_type")
+    out = folds.same_key_breaker(e, "key", ["ts", "event_id"], F.col("event_type").isin("error", "click"))
+    return out.filter("run > 0").select("event_id", "key", "run", "tripped")
 
 
 QUERIES = {f.__name__: f for f in (priority_score, candidate_pool, visit_choice, burn_due, at_risk, benched, gone_probe_due, set_siblings, set_contagion, corpus_stats, aimd_delay, alert_cooldown, bench_slot, quarantine_state, same_key_breaker)}
@@ -133,8 +133,9 @@ ORACLES = {
     "quarantine_state": """WITH e AS (SELECT *, event_type IN ('error', 'click') AS bad, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         l AS (SELECT user_id, max(ts) AS ts, max(k) - coalesce(max(k) FILTER (WHERE NOT bad), 0) AS streak FROM e GROUP BY user_id)
         SELECT user_id, ts, streak, CASE WHEN streak >= 3 THEN least(power(2, least(streak - 3, 5)), 30.0) END AS sentence_days, streak = 3 AS joined FROM l""",
-    "same_key_breaker": """WITH RECURSIVE e AS (SELECT event_id, user_id % 2 AS key, CAST(ts AS DATE) AS day, event_type IN ('error', 'click') AS bad, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events),
-        f AS (SELECT *, CASE WHEN bad THEN 1 ELSE 0 END::BIGINT AS run FROM e WHERE k = 1
-              UNION ALL SELECT e.*, CASE WHEN NOT e.bad THEN 0 WHEN f.bad AND f.key = e.key THEN f.run + 1 ELSE 1 END FROM f JOIN e ON e.day = f.day AND e.k = f.k + 1)
-        SELECT event_id, key, run, run >= 3 AS tripped FROM f WHERE run > 0""",
+    "same_key_breaker": """WITH e AS (SELECT event_id, ts, user_id % 2 AS key, event_type IN ('error', 'click') AS bad FROM events),
+        n AS (SELECT *, coalesce(bad AND lag(bad) OVER w AND key = lag(key) OVER w, false) AS same FROM e WINDOW w AS (ORDER BY ts, event_id)),
+        i AS (SELECT *, count(*) FILTER (WHERE NOT same) OVER (ORDER BY ts, event_id) AS island FROM n),
+        r AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY ts, event_id) AS run FROM i)
+        SELECT event_id, key, run, run >= 3 AS tripped FROM r WHERE bad""",
 }

@@ -43,8 +43,59 @@ def stream_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.read().select("event_id", F.round("delay", 6).alias("delay"), "failures", "paused")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup_append, stream_aimd)}
+def _in_rounds(spark: SparkSession, rows: DataFrame, rounds: int, number, name: str, run) -> None:
+    """Writes the rows of each round to a folder and lets ``run`` stream what is new there: a micro-batch a round."""
+    path = scratch(spark, name)
+    for r in range(rounds):
+        rows.filter(number == r).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
+
+
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as requests: those of a user within six hours share a flight, over micro-batches of ten days."""
+    requests = table(spark, sf_dir, "events").filter("event_type = 'click'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    first = F.lit("2024-01-01").cast("timestamp")
+    number = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(first)) / (10 * 86_400))
+    state, out = scratch(spark, "flights-state"), None
+
+    def run(stream: DataFrame) -> None:
+        nonlocal out
+        flown = visits.single_flights(stream.withWatermark("ts", "0 seconds"), "user_id", "ts", "event_id", 6 * 3600)
+        out = out or visits.BatchTable(spark, scratch(spark, "flights"), flown.schema)
+
+        def sink(batch: DataFrame, n: int) -> None:
+            out.write(batch, n)
+            out.commit(n)
+
+        visits.replay(flown, sink, state)
+
+    _in_rounds(spark, requests, 4, number, "requests", run)
+    return out.read().select("event_id", "user_id", F.col("flight").cast("bigint").alias("flight"), "served", "coalesced")
+
+
+def recovered_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with an error, taken every third day: 1 while in the set, one 0 after leaving it, over five micro-batches."""
+    sweep = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 3).cast("int")
+    events = table(spark, sf_dir, "events").select(sweep.alias("sweep"), F.when(F.col("event_type") == "error", F.col("user_id")).alias("user_id"))
+    # Of every fifth sweep nobody is in the set, but it was taken.
+    sets = events.select("sweep", F.when(F.col("sweep") % 5 != 4, F.col("user_id")).alias("user_id")).distinct()
+    out = visits.BatchTable(spark, scratch(spark, "pulse"), spark.createDataFrame([], "sweep int, user_id bigint, value int").schema)
+    state = scratch(spark, "pulse-state")
+    _in_rounds(spark, sets, 5, F.floor(F.col("sweep") / 2), "sets", lambda stream: visits.replay(stream, visits.pulse_sink(out, "sweep", "user_id"), state))
+    return out.read().filter("value is not null")
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup_append, stream_aimd, request_stream, recovered_pulse)}
 ORACLES = {
     "stream_dedup_append": "SELECT DISTINCT user_id % 40 AS source, CAST(trunc(value) AS BIGINT) AS source_id FROM events",
     "stream_aimd": _SCHEDULE["aimd_delay"],
+    "request_stream": """WITH RECURSIVE e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'),
+        f AS (SELECT user_id, min(ts) AS began FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(e.ts) FROM f JOIN e ON e.user_id = f.user_id AND e.ts >= f.began + INTERVAL '6' HOUR GROUP BY e.user_id, f.began),
+        m AS (SELECT e.*, began FROM e ASOF JOIN (SELECT DISTINCT * FROM f) f ON e.user_id = f.user_id AND e.ts >= f.began),
+        n AS (SELECT *, row_number() OVER (PARTITION BY user_id, began ORDER BY ts, event_id::VARCHAR)::INT AS served FROM m)
+        SELECT event_id, user_id, first_value(event_id) OVER (PARTITION BY user_id, began ORDER BY served) AS flight, served, served > 1 AS coalesced FROM n""",
+    "recovered_pulse": """WITH s AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS sweep, event_type, user_id FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-31'),
+        i AS (SELECT DISTINCT sweep, user_id FROM s WHERE event_type = 'error' AND sweep % 5 <> 4), t AS (SELECT sweep, lead(sweep) OVER (ORDER BY sweep) AS following FROM (SELECT DISTINCT sweep FROM s))
+        SELECT sweep::INT AS sweep, user_id, 1 AS value FROM i
+        UNION ALL SELECT following::INT, user_id, 0 FROM i JOIN t USING (sweep) WHERE following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i j WHERE j.sweep = following AND j.user_id = i.user_id)""",
 }

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.coverage import at_cap_buckets, overlap, page_margins
 from tidemark.operators.history import change_only_plan, dedup_append, latest_by_key
+from tidemark.operators.sync import membership_pulse
 from tidemark.sources.detail import utc_day
 from tidemark.sources.visit_page import Layout, census_facts, judged_pages
 
@@ -50,6 +51,11 @@ class BatchTable:
             rows, done = rows.filter(F.col("batch") < before), done.filter(F.col("batch") < before)
         return rows.join(done, "batch", "left_semi").drop("batch")
 
+    def newest(self, before: int) -> DataFrame:
+        """Rows of the newest committed batch before one; no other batch is read."""
+        last = self.spark.read.schema("batch bigint").parquet(self.committed).filter(F.col("batch") < before).agg(F.max("batch")).first()[0]
+        return self.written(-1 if last is None else last)
+
 
 class VisitStore:
     """The outputs of visits, each an append-only table, committed by one marker for all."""
@@ -164,3 +170,61 @@ def fold_stream(events: DataFrame, machine, key: str, order: list[str], kind: st
         yield pd.concat([rows, pd.DataFrame(got, columns=names)], axis=1)
 
     return events.groupBy(key).applyInPandasWithState(run, out_schema, "state string", "append", "NoTimeout")
+
+
+def pulse_sink(table: BatchTable, at: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: sets taken whole become pulses, 1 for each member and one 0 for each that has left.
+
+    The state is the newest set of the table itself: of batches before, only the newest is read.
+    ``table(at, key, value)`` keeps a row with a null key for each time, so that an empty set is remembered too. Times must
+    come in order across batches; a batch may hold several, and times that were taken before are ignored."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        held = table.newest(number)
+        last = held.agg(F.max(at)).first()[0]  # one value
+        before = held.filter(F.col(at) == F.lit(last)).filter("value = 1 or value is null").select(at, key)
+        new = batch.select(at, key) if last is None else batch.select(at, key).filter(F.col(at) > F.lit(last))
+        if new.isEmpty():
+            return  # nothing was taken, so the newest batch still holds the state
+        pulses = membership_pulse(before.unionByName(new), at, key).join(new.select(at).distinct(), at, "left_semi")
+        taken = new.select(at).distinct().select(at, F.lit(None).cast(table.schema[key].dataType).alias(key), F.lit(None).cast("int").alias("value"))
+        table.write(pulses.unionByName(taken), number)
+        table.commit(number)
+
+    return run
+
+
+FLIGHT = "flight string, served int, coalesced boolean"
+
+
+def single_flights(requests: DataFrame, key: str, at: str, request: str, seconds: float) -> DataFrame:
+    """A stream of requests, each with the flight that serves it: the first of a key opens a flight of so many
+    seconds, requests within it ride along (``coalesced``), the next one opens another.
+
+    State by key is the open flight, kept between micro-batches. A timer at its end, in event time, drops it; whether a
+    request rides along is decided by its own time, so a late timer changes nothing. ``served`` counts the flight's
+    requests so far. ``requests`` needs a watermark on ``at``; a key's requests come in order across batches, and
+    within one they are sorted. A request exactly at the end opens a new flight.
+    """
+    columns = [key, at, request]
+    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns) + ", " + FLIGHT
+
+    def run(key_value, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values([at, request], ignore_index=True)
+        flight, ends, served = state.get if state.exists else (None, 0, 0)
+        out = []
+        # Whole microseconds since 1970.
+        for name, t in zip(rows[request].astype(str), rows[at].astype("datetime64[us]").astype("int64").tolist()):
+            rides = flight is not None and t < ends
+            if not rides:
+                flight, ends, served = name, t + int(seconds * 1_000_000), 0
+            served += 1
+            out.append((flight, served, rides))
+        state.update((flight, ends, served))
+        state.setTimeoutTimestamp(max(ends // 1_000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.concat([rows, pd.DataFrame(out, columns=["flight", "served", "coalesced"])], axis=1)
+
+    return requests.select(*columns).groupBy(key).applyInPandasWithState(run, schema, "flight string, ends bigint, served int", "append", "EventTimeTimeout")

@@ -85,13 +85,26 @@ def test_dangling_alias_is_refused(spark):
         resolve.resolve_groups(groups, catalog, aliases, F.lit("main"), "p", "m")
 
 
+def test_alias_only_shelf_never_falls_back_to_names(spark):
+    groups = spark.createDataFrame([("far-a", "Known"), ("far-b", "Known"), ("near", "Known"), ("wall", "Known")], "slug string, name string")
+    catalog = spark.createDataFrame([("g", "Known", True)], "group_id string, name string, physical boolean")
+    far = spark.createDataFrame([("j", 5, True), ("k", 5, False)], "group_id string, official int, physical boolean")
+    none = spark.createDataFrame([], "slug string, targets array<string>")
+    shelf = F.when(F.col("slug").startswith("far"), "far").when(F.col("slug") == "wall", "x").otherwise("main")
+    go = lambda target: resolve.resolve_groups(groups, catalog, none, shelf, "p", "m", alias_only=resolve.AliasShelf("far", far, spark.createDataFrame([("far-a", [target]), ("near", ["j"])], none.schema)))
+    assert rows(go("j").select("slug", "kind", F.array_join("target_ids", ","))) == [("far-a", "mapped", "j"), ("far-b", "unmapped", ""), ("near", "mapped", "g"), ("wall", "unmapped", "")]
+    for dangling in ("k", "nowhere"):
+        with pytest.raises(ValueError, match="aliases of far"):
+            go(dangling)
+
+
 def test_across_scripts(spark):
     members = spark.createDataFrame([(1, "s", "x #01"), (2, "s", "x #01"), (3, "s", "x #9"), (4, "s", "x")], "id int, slug string, name string")
     mapping = spark.createDataFrame([("s", "mapped", ["g"])], "slug string, kind string, target_ids array<string>")
     refs = spark.createDataFrame([("g", "g-1", "1", "ピカ")], "group_id string, member_id string, local_id string, name string")
     tags = spark.createDataFrame([(1, [25]), (2, [7])], "id int, ids array<int>")
     ref_tags = spark.createDataFrame([("g-1", [25])], "member_id string, ids array<int>")
-    got = resolve.match_across_scripts(members, mapping, refs, tags, ref_tags)
+    got = resolve.match_across_scripts(members, mapping, refs, spark.createDataFrame([("g", 9)], "group_id string, official int"), tags, ref_tags)
     assert rows(got.select("id", "status")) == [(1, "confirmed"), (2, "name_mismatch"), (3, "number_not_found"), (4, "no_number")]
 
 

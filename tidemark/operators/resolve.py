@@ -6,6 +6,8 @@ two candidates are never a guess; Spark broadcasts them while they are small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,38 @@ def dangling_aliases(aliases: DataFrame, catalog: DataFrame) -> DataFrame:
     return aliases.select("slug", F.explode("targets").alias("target")).join(catalog.filter("physical").select(F.col("group_id").alias("target")), "target", "left_anti")
 
 
-def resolve_groups(groups: DataFrame, catalog: DataFrame, aliases: DataFrame, shelf: Column, promo_slug: str, franchise: str, open_shelf: str = "main") -> DataFrame:
+@dataclass(frozen=True)
+class AliasShelf:
+    """A shelf whose groups are found in a catalog of their own, by alias only: a hit or an honest miss, never a name."""
+
+    name: str
+    catalog: DataFrame
+    aliases: DataFrame
+
+
+def _refuse_dangling(aliases: DataFrame, catalog: DataFrame, what: str) -> None:
+    if bad := dangling_aliases(aliases, catalog).limit(5).collect():
+        raise ValueError(f"{what} name groups that the catalog lacks: {[(r['slug'], r['target']) for r in bad]}")
+
+
+def resolve_groups(groups: DataFrame, catalog: DataFrame, aliases: DataFrame, shelf: Column, promo_slug: str, franchise: str, open_shelf: str = "main", alias_only: AliasShelf | None = None) -> DataFrame:
     """``slug, shelf, kind, target_ids``: the shelf's wall, the promo pool, an alias, a unique name, or unmapped.
 
-    ``groups(slug, name)``, ``catalog(group_id, name, physical)``, ``aliases(slug, targets)``. A dangling alias is an error."""
-    bad = dangling_aliases(aliases, catalog).limit(5).collect()
-    if bad:
-        raise ValueError(f"aliases name groups that the catalog lacks: {[(r['slug'], r['target']) for r in bad]}")
+    ``groups(slug, name)``, ``catalog(group_id, name, physical)``, ``aliases(slug, targets)``. A dangling alias is an error.
+    Groups of the ``alias_only`` shelf are mapped by its aliases into its catalog and by nothing else; without it they are
+    walled like those of any other shelf."""
+    _refuse_dangling(aliases, catalog, "aliases")
     names = unique_by(catalog.filter("physical").select("group_id", group_name(F.col("name"), franchise).alias("__name")), "__name", "group_id")
     g = groups.select("slug", "name", shelf.alias("shelf"), group_name(F.col("name"), franchise).alias("__name"))
     g = g.join(aliases.select("slug", "targets"), "slug", "left").join(names, "__name", "left")
     walled, promo = F.col("shelf") != open_shelf, F.col("slug") == promo_slug
-    kind = F.when(walled, "unmapped").when(promo, "promo_pool").when(F.col("targets").isNotNull() | F.col("group_id").isNotNull(), "mapped").otherwise("unmapped")
-    ids = F.when(~walled & ~promo, F.coalesce("targets", F.when(F.col("group_id").isNotNull(), F.array("group_id"))))
-    return g.select("slug", "shelf", kind.alias("kind"), F.coalesce(ids, F.array().cast("array<string>")).alias("target_ids"))
+    found = F.when(~walled, F.coalesce("targets", F.when(F.col("group_id").isNotNull(), F.array("group_id"))))
+    if alias_only is not None:
+        _refuse_dangling(alias_only.aliases, alias_only.catalog, f"aliases of {alias_only.name}")
+        g = g.join(alias_only.aliases.select("slug", F.col("targets").alias("__own")), "slug", "left")
+        found = F.when(F.col("shelf") == alias_only.name, F.col("__own")).otherwise(found)
+    kind = F.when(~walled & promo, "promo_pool").when(found.isNotNull(), "mapped").otherwise("unmapped")
+    return g.select("slug", "shelf", kind.alias("kind"), F.coalesce(F.when(kind == "mapped", found), F.array().cast("array<string>")).alias("target_ids"))
 
 
 def sibling_groups(catalog: DataFrame, suffixes: dict[str, str]) -> DataFrame:
@@ -54,11 +74,21 @@ def promo_groups(catalog: DataFrame, ending: str) -> DataFrame:
     return unique_by(promos, "prefix", "group_id")
 
 
-def _few(df: DataFrame, column: str, most: int = 1_000) -> list[str]:
-    rows = df.select(column).limit(most + 1).collect()
+def _few(df: DataFrame, *columns: str, most: int = 1_000) -> list[tuple]:
+    rows = df.select(*columns).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} values of {column}")
-    return sorted(r[0] for r in rows)
+        raise ValueError(f"more than {most} rows of {columns}")
+    return sorted(tuple(r) for r in rows)
+
+
+VERDICT = ["status", "number", "official", "group_id", "member_id", "name"]
+
+
+def _evidence(out: DataFrame, key: str) -> DataFrame:
+    """The verdict's columns: the agreeing hit of a confirmed one, the first hit of a mismatch, else nulls."""
+    confirmed = F.col("status") == "confirmed"
+    hit = F.when(confirmed, F.col("good")).when(F.col("status") == "name_mismatch", F.col("first"))
+    return out.select(key, "status", F.when(confirmed, F.col("good.local_id")).alias("number"), F.when(confirmed, F.nullif(F.col("good.official"), F.lit(0))).alias("official"), hit["group_id"].alias("group_id"), hit["member_id"].alias("member_id"), hit["ref_name"].alias("name"))
 
 
 def match_members(members: DataFrame, mapping: DataFrame, catalog_members: DataFrame, catalog: DataFrame, siblings: DataFrame, promos: DataFrame, synonyms: dict[str, str], key: str = "id") -> DataFrame:
@@ -66,72 +96,88 @@ def match_members(members: DataFrame, mapping: DataFrame, catalog_members: DataF
 
     ``members(key, slug, name)``; ``catalog_members(group_id, member_id, local_id, name)``. Routed groups (siblings and
     promos that the number's prefix names) are tried first, then the mapped ones; within the first of both that holds
-    the number, one agreeing name confirms, several are ambiguous, none is a mismatch with the first hit as evidence."""
+    the number, one agreeing name confirms, several are ambiguous, none is a mismatch with the first hit as evidence.
+
+    One pass over the members: a group's siblings are gathered beside it, so a member meets its group once, unfolds its
+    routes, meets the catalog by group and number, and is judged in one aggregation. Promo groups are few, and refused
+    if they are not."""
+    few = _few(promos, "prefix", "group_id")
+    promo_of = F.create_map(*[F.lit(x) for pair in few for x in pair]) if few else F.lit(None).cast("map<string,string>")
+    targets = mapping.select("slug", "kind", F.posexplode_outer("target_ids").alias("pos", "group_id"))
+    beside = siblings.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "sibling_id"))).alias("siblings"))
+    routes = targets.join(beside, "group_id", "left").groupBy("slug").agg(F.first("kind").alias("kind"), F.collect_list(F.when(F.col("group_id").isNotNull(), F.struct("pos", "group_id", "siblings"))).alias("targets"))
     parts = name_parts(F.col("name"))
-    m = members.join(mapping, "slug", "left").select(key, F.coalesce("kind", F.lit("unmapped")).alias("kind"), "target_ids", parts["number"].alias("number"), comparable_name(parts["base"], synonyms).alias("__base"))
-    m = m.withColumn("prefix", alpha_prefix(F.col("number"))).withColumn("__canonical", canonical_number(F.col("number")))
-    open_members = m.filter("number is not null and kind <> 'unmapped'")
-    mapped = open_members.filter("kind = 'mapped'").select("*", F.posexplode("target_ids").alias("__pos", "group_id"))
-    pool = open_members.filter("kind = 'promo_pool'")
-    cols = [key, "__canonical", "__base", "tier", "ord", "group_id"]
-    at = lambda df, tier, order, group: df.select(key, "__canonical", "__base", F.lit(tier).alias("tier"), order.alias("ord"), F.col(group).alias("group_id"))
-    routes = (
-        at(mapped.join(siblings, ["group_id", "prefix"]), 0, F.col("__pos") * 2, "sibling_id")
-        .unionByName(at(mapped.withColumnRenamed("group_id", "__own").join(promos, "prefix"), 0, F.col("__pos") * 2 + 1, "group_id"))
-        .unionByName(at(mapped, 1, F.col("__pos") * 2, "group_id"))
-        .unionByName(at(pool.filter("prefix <> ''").join(promos, "prefix"), 0, F.lit(0), "group_id"))
-        # A bare number may be any era's; the promo groups are few, and refused if they are not.
-        .unionByName(at(pool.filter("prefix = ''").withColumn("group_id", F.explode(F.lit(_few(promos, "group_id")))), 0, F.lit(0), "group_id"))
-        .select(*cols)
+    m = members.join(routes, "slug", "left").select(key, F.coalesce("kind", F.lit("unmapped")).alias("kind"), "targets", parts["number"].alias("member_number"), comparable_name(parts["base"], synonyms).alias("__base"))
+    m = m.withColumn("prefix", alpha_prefix(F.col("member_number"))).withColumn("__canonical", canonical_number(F.col("member_number")))
+    route = lambda tier, ord_, group: F.struct(F.lit(tier).alias("tier"), ord_.cast("int").alias("ord"), group.alias("group_id"))
+    promo = promo_of[F.col("prefix")]
+    mapped = F.concat(
+        F.transform("targets", lambda t: route(0, t["pos"] * 2, t["siblings"][F.col("prefix")])),
+        F.transform("targets", lambda t: route(0, t["pos"] * 2 + 1, promo)),
+        F.transform("targets", lambda t: route(1, t["pos"] * 2, t["group_id"])),
     )
+    # A bare number may be any era's.
+    every = F.array(*[route(0, F.lit(0), F.lit(g)) for g in sorted({g for _, g in few})]) if few else F.array().cast("array<struct<tier:int,ord:int,group_id:string>>")
+    pool = F.when(F.col("prefix") == "", every).otherwise(F.array(route(0, F.lit(0), promo)))
+    chosen = F.when(F.col("member_number").isNull(), F.lit(None)).when(F.col("kind") == "mapped", mapped).when(F.col("kind") == "promo_pool", pool)
+    m = m.withColumn("route", F.explode_outer(F.filter(chosen, lambda r: r["group_id"].isNotNull()))).select(key, "kind", "member_number", "__canonical", "__base", "route.*")
     refs = catalog_members.select("group_id", "member_id", "local_id", F.col("name").alias("ref_name"), canonical_number(F.col("local_id")).alias("__canonical"), comparable_name(F.col("name"), synonyms).alias("__ref"))
-    hits = routes.join(refs, ["group_id", "__canonical"]).join(catalog.select("group_id", "official"), "group_id")
+    refs = refs.join(catalog.select("group_id", "official"), "group_id")
+    hits = m.join(refs, ["group_id", "__canonical"], "left")
+    found = F.col("member_id").isNotNull()
     row = F.struct("ord", "group_id", "member_id", "local_id", "ref_name", "official")
-    agrees = F.col("__base") == F.col("__ref")
-    tiers = hits.groupBy(key, "tier").agg(F.count_if(agrees).alias("agreeing"), F.min(F.when(agrees, row)).alias("good"), F.min(row).alias("first"))
-    best = tiers.groupBy(key).agg(F.min_by(F.struct("agreeing", "good", "first"), "tier").alias("b")).select(key, "b.*")
-    out = m.select(key, "kind", "number").join(best, key, "left")
+    agrees = found & (F.col("__base") == F.col("__ref"))
+    tier = lambda t: F.struct(F.count_if(agrees & (F.col("tier") == t)).alias("agreeing"), F.min(F.when(agrees & (F.col("tier") == t), row)).alias("good"), F.min(F.when(found & (F.col("tier") == t), row)).alias("first"))
+    out = hits.groupBy(key).agg(F.first("kind").alias("kind"), F.first("member_number").alias("member_number"), tier(0).alias("t0"), tier(1).alias("t1"))
+    best = F.when(F.col("t0.first").isNotNull(), F.col("t0")).otherwise(F.col("t1"))
+    out = out.select(key, "kind", "member_number", best["agreeing"].alias("agreeing"), best["good"].alias("good"), best["first"].alias("first"))
     status = (
-        F.when(F.col("number").isNull(), "no_number")
+        F.when(F.col("member_number").isNull(), "no_number")
         .when(F.col("kind") == "unmapped", "unmapped_set")
-        .when(F.col("agreeing").isNull(), "number_not_found")
+        .when(F.col("first").isNull(), "number_not_found")
         .when(F.col("agreeing") == 1, "confirmed")
         .when(F.col("agreeing") > 1, "ambiguous")
         .otherwise("name_mismatch")
     )
-    out = out.withColumn("status", status)
-    evidence = F.when(F.col("status") == "confirmed", F.col("good")).when(F.col("status") == "name_mismatch", F.col("first"))
-    confirmed = F.col("status") == "confirmed"
-    return out.select(
-        key,
-        "status",
-        F.when(confirmed, F.col("good.local_id")).alias("number"),
-        F.when(confirmed, F.nullif(F.col("good.official"), F.lit(0))).alias("official"),
-        evidence["group_id"].alias("group_id"),
-        evidence["member_id"].alias("member_id"),
-        evidence["ref_name"].alias("name"),
-    )
+    return _evidence(out.withColumn("status", status), key)
 
 
-def match_across_scripts(members: DataFrame, mapping: DataFrame, catalog_members: DataFrame, tags: DataFrame, ref_tags: DataFrame, key: str = "id") -> DataFrame:
-    """Number matches guarded by shared tags instead of names: ``key, status, member_id``.
+def match_across_scripts(members: DataFrame, mapping: DataFrame, catalog_members: DataFrame, catalog: DataFrame, tags: DataFrame, ref_tags: DataFrame, key: str = "id") -> DataFrame:
+    """Number matches guarded by shared tags instead of names, for groups of another catalog: the same columns as
+    ``match_members``.
 
-    ``tags(key, ids)`` and ``ref_tags(member_id, ids)`` are arrays of entity ids."""
+    ``tags(key, ids)`` and ``ref_tags(member_id, ids)`` are arrays of entity ids. A member without tags, or whose hits all
+    name no entity, has nobody to vouch for it (``no_guard``); one agreeing hit confirms, several are ambiguous, and where
+    some hit names another entity the first one, in the order of the mapping, is evidence of a mismatch."""
     number = name_parts(F.col("name"))["number"]
-    m = members.join(mapping.filter("kind = 'mapped'"), "slug").select(key, number.alias("number"), F.explode("target_ids").alias("group_id"), canonical_number(number).alias("__canonical"))
-    refs = catalog_members.select("group_id", "member_id", canonical_number(F.col("local_id")).alias("__canonical")).join(ref_tags.withColumnRenamed("ids", "__ref_ids"), "member_id", "left")
-    hits = m.join(refs, ["group_id", "__canonical"]).join(tags.withColumnRenamed("ids", "__ids"), key, "left")
-    agree = F.coalesce(F.arrays_overlap("__ids", "__ref_ids"), F.lit(False))
-    per = hits.groupBy(key).agg(
-        F.count_if(agree).alias("agreeing"), F.min(F.when(agree, F.col("member_id"))).alias("good"), F.min("member_id").alias("first"),
-        F.max(F.coalesce(F.size("__ids") > 0, F.lit(False))).alias("tagged"), F.max(F.coalesce(F.size("__ref_ids") > 0, F.lit(False))).alias("named"),
+    targets = F.when(F.col("kind") == "mapped", F.col("target_ids"))
+    m = members.join(mapping, "slug", "left").select(key, F.coalesce("kind", F.lit("unmapped")).alias("kind"), number.alias("member_number"), targets.alias("targets"), canonical_number(number).alias("__canonical"))
+    m = m.select(key, "kind", "member_number", "__canonical", F.posexplode_outer("targets").alias("ord", "group_id"))
+    refs = catalog_members.select("group_id", "member_id", "local_id", F.col("name").alias("ref_name"), canonical_number(F.col("local_id")).alias("__canonical"))
+    refs = refs.join(ref_tags.withColumnRenamed("ids", "__ref_ids"), "member_id", "left").join(catalog.select("group_id", "official"), "group_id")
+    hits = m.join(refs, ["group_id", "__canonical"], "left").join(tags.withColumnRenamed("ids", "__ids"), key, "left")
+    found = F.col("member_id").isNotNull()
+    some = lambda c: found & F.coalesce(F.size(c) > 0, F.lit(False))
+    agree = found & F.coalesce(F.arrays_overlap("__ids", "__ref_ids"), F.lit(False))
+    row = F.struct("ord", "group_id", "member_id", "local_id", "ref_name", "official")
+    out = hits.groupBy(key).agg(
+        F.first("kind").alias("kind"), F.first("member_number").alias("member_number"), F.count_if(agree).alias("agreeing"), F.min(F.when(agree, row)).alias("good"), F.min(F.when(found, row)).alias("first"),
+        F.max(some("__ids")).alias("tagged"), F.max(some("__ref_ids")).alias("named"),
     )
-    out = m.select(key, "number").distinct().join(per, key, "left")
     status = (
-        F.when(F.col("number").isNull(), "no_number").when(F.col("agreeing").isNull(), "number_not_found").when(~F.col("tagged"), "no_guard")
+        F.when(F.col("member_number").isNull(), "no_number").when(F.col("kind") != "mapped", "unmapped_set").when(F.col("first").isNull(), "number_not_found").when(~F.col("tagged"), "no_guard")
         .when(F.col("agreeing") == 1, "confirmed").when(F.col("agreeing") > 1, "ambiguous").when(F.col("named"), "name_mismatch").otherwise("no_guard")
     )
-    return out.withColumn("status", status).select(key, "status", F.when(F.col("status") == "confirmed", F.col("good")).when(F.col("status") == "name_mismatch", F.col("first")).alias("member_id"))
+    return _evidence(out.withColumn("status", status), key)
+
+
+def match_shelves(members: DataFrame, mapping: DataFrame, shelf: str, near: dict, far: dict, key: str = "id") -> DataFrame:
+    """Verdicts of all members, each by its group's shelf: those of ``shelf`` across scripts, in their own catalog, all others
+    by name. ``near`` and ``far`` are the further arguments of ``match_members`` and ``match_across_scripts``."""
+    routed = members.join(mapping.select("slug", "shelf"), "slug", "left")
+    there = F.coalesce(F.col("shelf") == shelf, F.lit(False))
+    here = match_members(routed.filter(~there).drop("shelf"), mapping, key=key, **near)
+    return here.unionByName(match_across_scripts(routed.filter(there).drop("shelf"), mapping, key=key, **far))
 
 
 def coverage_crosstab(verdicts: DataFrame, shelf: str, status: str, statuses: list[str]) -> DataFrame:

@@ -118,6 +118,39 @@ def _matched(spark, sf_dir):
     return resolve.match_members(members, _resolved(spark, sf_dir), refs, catalog, siblings, promos, {"LITTLE": "SMALL"}).join(members.select("id", "slug"), "id")
 
 
+# Brands below Brand#1 but for Brand#1 itself are a shelf with a catalog of its own, in another script, reached by alias only.
+FAR_CATALOG = [("j0", 100, True), ("j1", 0, True), ("j2", 300, True), ("j3", 50, False)]
+FAR_ALIASES = [("Brand#11", ["j0", "j1"]), ("Brand#12", ["j1"]), ("Brand#13", ["j2", "j0"]), ("Brand#14", ["j2"]), ("Brand#15", ["j0", "j1", "j2"])]
+FAR_WORDS = {"red": 1, "small": 2, "blue": 3, "hot": 4, "old": 5}
+
+
+def _two_catalogs(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    word = F.create_map(*[F.lit(x) for pair in FAR_WORDS.items() for x in pair])[F.split("p_name", " ")[0]]
+    ids = F.when(word.isNotNull(), F.array(word)).otherwise(F.array().cast("array<int>"))
+    number = F.when(F.col("p_partkey") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" #"), F.lpad((F.col("p_partkey") % 50).cast("string"), 3, "0")))
+    members = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("slug"), F.concat(F.col("p_name"), number).alias("name"))
+    # Every twentieth part is a member of the far catalog as well.
+    far = p.filter("p_partkey % 20 = 0").select(F.concat(F.lit("j"), (F.col("p_partkey") / 20 % 3).cast("int").cast("string")).alias("group_id"), F.concat(F.lit("j-"), F.col("p_partkey").cast("string")).alias("member_id"), F.col("p_size").cast("string").alias("local_id"), F.reverse("p_name").alias("name"), ids.alias("ids"))
+    catalog = spark.createDataFrame(FAR_CATALOG, "group_id string, official int, physical boolean")
+    shelf = text.shelf(F.col("slug"), [("prefix", "Brand#2", "walled"), ("prefix", "Brand#1", "far")], "main")
+    brands = p.select(F.col("p_brand").alias("slug"), F.col("p_brand").alias("name")).distinct()
+    mapping = resolve.resolve_groups(brands, _catalog(spark), spark.createDataFrame(ALIASES, "slug string, targets array<string>"), shelf, "Brand#8", "maker", alias_only=resolve.AliasShelf("far", catalog, spark.createDataFrame(FAR_ALIASES, "slug string, targets array<string>")))
+    tags = p.filter("p_partkey % 6 <> 0").select(F.col("p_partkey").alias("id"), ids.alias("ids"))
+    near = {"catalog_members": spark.createDataFrame(MEMBERS, "group_id string, member_id string, local_id string, name string"), "catalog": _catalog(spark), "siblings": resolve.sibling_groups(_catalog(spark), {"TG": "TRAINER SHELF"}), "promos": resolve.promo_groups(_catalog(spark), "BLACK PROMOS"), "synonyms": {}}
+    there = {"catalog_members": far.drop("ids"), "catalog": catalog, "tags": tags, "ref_tags": far.filter("size(ids) > 0").select("member_id", "ids")}
+    return mapping, members, near, there
+
+
+def two_catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_catalogs(spark, sf_dir)[0].select("slug", "shelf", "kind", F.array_join("target_ids", ",").alias("targets"))
+
+
+def match_two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping, members, near, there = _two_catalogs(spark, sf_dir)
+    return resolve.match_shelves(members, mapping, "far", near, there)
+
+
 def match_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).drop("slug")
 
@@ -192,7 +225,7 @@ def vocabulary_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.novelty(p, "page_id", "names").select("page_id", F.array_join("fresh", ",").alias("fresh"))
 
 
-QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, resolve_sets, match_cards, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
+QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, resolve_sets, match_cards, two_catalog_sets, match_two_catalogs, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
 
 _SQ = lambda x: "regexp_replace(trim(regexp_replace({}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')), ' +', ' ', 'g')".format(x)
 _FOLD = f"upper(trim(regexp_replace(translate({{}}, '{text.NAME_ACCENTED}', '{text.NAME_BASE}'), '[^A-Za-z0-9]+', ' ', 'g')))"
@@ -245,6 +278,24 @@ ORACLES = {
     "match_cards": f"""WITH {_MATCH} SELECT id, status, CASE WHEN status = 'confirmed' THEN local_id END AS number, CASE WHEN status = 'confirmed' THEN nullif(official, 0) END AS official,
         CASE WHEN status IN ('confirmed', 'name_mismatch') THEN group_id END AS group_id, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN member_id END AS member_id,
         CASE WHEN status IN ('confirmed', 'name_mismatch') THEN name END AS name FROM vd""",
+    "two_catalog_sets": f"""WITH {_RESOLVE}, far AS (SELECT * FROM (VALUES {_STRINGS(FAR_ALIASES)}) AS t(slug, own))
+        SELECT slug, CASE WHEN slug LIKE 'Brand#1%' THEN 'far' ELSE shelf END AS shelf, CASE WHEN slug NOT LIKE 'Brand#1%' THEN kind WHEN own IS NOT NULL THEN 'mapped' ELSE 'unmapped' END AS kind,
+               CASE WHEN slug NOT LIKE 'Brand#1%' THEN array_to_string(ids, ',') ELSE coalesce(array_to_string(own, ','), '') END AS targets FROM res LEFT JOIN far USING (slug)""",
+    "match_two_catalogs": f"""WITH {_MATCH.replace("WHEN 1 THEN 'TG0' || (p_partkey % 5) WHEN 2 THEN 's7' ELSE (p_partkey % 50)::VARCHAR END", "ELSE lpad((p_partkey % 50)::VARCHAR, 3, '0') END").replace("CASE x WHEN 'LITTLE' THEN 'SMALL' ELSE x END", "x")},
+        fal AS (SELECT * FROM (VALUES {_STRINGS(FAR_ALIASES)}) AS t(slug, own)), fc AS (SELECT * FROM (VALUES {_STRINGS(FAR_CATALOG)}) AS t(group_id, official, physical)),
+        wid AS (SELECT * FROM (VALUES {_STRINGS([(k, v) for k, v in FAR_WORDS.items()])}) AS t(word, wid)),
+        pw AS (SELECT p_partkey AS id, p_brand AS slug, p_name, p_size, wid FROM part LEFT JOIN wid ON word = split_part(p_name, ' ', 1)),
+        fr AS (SELECT 'j' || (id // 20 % 3) AS group_id, 'j-' || id AS member_id, p_size::VARCHAR AS local_id, reverse(p_name) AS name, wid AS rid FROM pw WHERE id % 20 = 0),
+        fm AS (SELECT id, unnest(own) AS group_id, generate_subscripts(own, 1) AS pos, (id % 50)::VARCHAR AS num, CASE WHEN id % 6 <> 0 THEN wid END AS mid FROM pw JOIN fal USING (slug) WHERE id % 9 <> 0),
+        fh AS (SELECT fm.*, member_id, local_id, name, official, rid, coalesce(rid = mid, false) AS agrees FROM fm JOIN fr ON fr.group_id = fm.group_id AND local_id = num JOIN fc ON fc.group_id = fm.group_id),
+        fg AS (SELECT id, count(*) FILTER (WHERE agrees) AS n, max(mid) IS NOT NULL AS tagged, max(rid) IS NOT NULL AS named FROM fh GROUP BY id),
+        fp AS (SELECT * FROM fh QUALIFY row_number() OVER (PARTITION BY id ORDER BY agrees DESC, pos, member_id) = 1),
+        fv AS (SELECT pw.id, CASE WHEN pw.id % 9 = 0 THEN 'no_number' WHEN own IS NULL THEN 'unmapped_set' WHEN n IS NULL THEN 'number_not_found' WHEN NOT tagged THEN 'no_guard' WHEN n = 1 THEN 'confirmed' WHEN n > 1 THEN 'ambiguous'
+                      WHEN named THEN 'name_mismatch' ELSE 'no_guard' END AS status, local_id, official, group_id, member_id, name FROM pw LEFT JOIN fal USING (slug) LEFT JOIN fg USING (id) LEFT JOIN fp USING (id) WHERE slug LIKE 'Brand#1%'),
+        allv AS (SELECT id, status, local_id, official, group_id, member_id, name FROM vd WHERE slug NOT LIKE 'Brand#1%' UNION ALL SELECT * FROM fv)
+        SELECT id, status, CASE WHEN status = 'confirmed' THEN local_id END AS number, CASE WHEN status = 'confirmed' THEN nullif(official, 0) END AS official,
+               CASE WHEN status IN ('confirmed', 'name_mismatch') THEN group_id END AS group_id, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN member_id END AS member_id,
+               CASE WHEN status IN ('confirmed', 'name_mismatch') THEN name END AS name FROM allv""",
     "coverage_crosstab": f"""WITH {_MATCH} SELECT slug, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATUSES)},
         round(count(*) FILTER (WHERE status = 'confirmed') * 100.0 / count(*), 2) AS confirmed_pct FROM vd GROUP BY ROLLUP (slug)""",
     "dictionary_tagging": """WITH w AS (SELECT p_partkey AS id, p_name, p_name = 'blue bolt' OR suffix(p_name, 'gear') AS no, replace(' ' || p_name || ' ', ' red widget ', ' @ ') AS t FROM part),

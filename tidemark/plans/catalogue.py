@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalogs, history, schedule, streams, verdicts, visits
+from tidemark.plans import catalogs, history, schedule, streams, verdicts, visits, walks
 
-_PARTS = (history, schedule, catalogs, streams, verdicts, visits)
+_PARTS = (history, schedule, catalogs, streams, verdicts, visits, walks)
 
 
 def queries():

@@ -618,16 +618,10 @@ def _families(at: DataFrame) -> DataFrame:
     """``g, node, component, members`` to compare: near copies share hundreds of groups, so groups that overlap
     are compared as one family where that is fewer rows, and one by one where it isn't.
 
-    A group goes by the least node among its members' groups, and once more by the least of those. Two steps bring
-    nearly all of a family of near copies together; what they leave apart is compared twice, none is lost.
+    A group goes by its least node. Nearly all groups of near copies have one of a few least nodes, those of its first
+    members; members of several families are compared in each, so none is lost, and no group is sent around to be named.
     """
-    named = at.select("g", "node", "component", "members", F.col("least").alias("family"))
-    for _ in range(2):
-        nearest = named.groupBy("node").agg(F.min("family").alias("near"))
-        nearer = named.select("g", "node", "members").join(nearest, "node").groupBy("g").agg(F.min("near").alias("family"), F.first("members").alias("weight"))
-        nearer = materialize(nearer, "join-families")
-        named = skew_join(at.select("g", "node", "component", "members"), nearer, ["g"], "weight").drop("weight")
-    rows = materialize(named, "join-family-rows")
+    rows = at.select("g", "node", "component", "members", F.col("least").alias("family"))
     once = materialize(rows.select("family", "node", "component").distinct(), "join-family-nodes")
     sizes = once.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).join(sizes, "family").filter(F.col("n") * F.ceil(F.col("n") / CELL) <= F.col("rows"))

@@ -11,15 +11,16 @@ def cap_classification(rows: DataFrame, keys: list[str], stream: str, position:
 
     Distinct rows; under ``full_page`` of them *recomposed*; *bulk* if runs of consecutive positions (gaps up to
     ``run_gap``, at least ``run_rows`` long) hold half of them, or one price and one day each do; else *organic*."""
-    distinct = rows.select(*keys, stream, position, price, day, *row_id).dropDuplicates([*keys, *row_id, price, day])
+    # One exchange by key; what comes after it, distinct rows and windows, stays with it.
+    distinct = rows.select(*keys, stream, position, price, day, *row_id).repartition(*keys).dropDuplicates([*keys, *row_id, price, day])
     w = Window.partitionBy(*keys, stream).orderBy(position, *row_id, price, day)
-    gap = F.col(position) - F.lag(position).over(w)
-    placed = distinct.filter(F.col(position).isNotNull()).withColumn("__new", F.coalesce((gap > run_gap).cast("int"), F.lit(0)))
-    runs = placed.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    in_runs = runs.groupBy(*keys, stream, "__run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= run_rows).groupBy(*keys).agg(F.sum("n").alias("run_rows"))
-    most = lambda col, name: distinct.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias(name))
-    total = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    out = total.join(in_runs, keys, "left").join(most(price, "price_rows"), keys).join(most(day, "day_rows"), keys).na.fill(0, ["run_rows"])
+    placed = F.col(position).isNotNull()
+    new = placed & F.coalesce(F.col(position) - F.lag(position).over(w) > run_gap, F.lit(True))
+    runs = distinct.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(*keys, *by))
+    sized = runs.select(*keys, placed.alias("__placed"), counted(stream, "__run", placed).alias("__in_run"), counted(price).alias("__price"), counted(day).alias("__day"))
+    in_runs = F.coalesce(F.sum(F.when(F.col("__placed") & (F.col("__in_run") >= run_rows), 1)), F.lit(0))
+    out = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), in_runs.alias("run_rows"), F.max("__price").alias("price_rows"), F.max("__day").alias("day_rows"))
     bulk = (2 * F.col("run_rows") >= F.col("rows")) | ((2 * F.col("price_rows") >= F.col("rows")) & (2 * F.col("day_rows") >= F.col("rows")))
     return out.withColumn("cap_class", F.when(F.col("rows") < full_page, "recomposed").when(bulk, "bulk").otherwise("organic"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import resolve, sync, tagging
+from tidemark.operators import resolve, sync, tagging, top
 from tidemark.plans.common import table
 from tidemark.sources import documents, pages
 
@@ -76,11 +76,54 @@ def unnest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", (F.col("pos") + 1).cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-_TREE = '{"species":{"url":"https://x/species/1/"},"evolves_to":[{"species":{"url":"https://x/species/2/"},"evolves_to":[{"species":{"url":"https://x/species/3"},"evolves_to":[]}]},{"species":{"url":"https://x/species/4/"},"evolves_to":[]}]}'
+#: Customers as species, seven to a chain: the first is the root, two follow it, each with two more. Texts and trouble by id; the
+#: same text on both engines.
+SPECIES = """
+    SELECT c_custkey AS id, c_custkey DIV 7 AS chain, c_custkey % 7 AS place, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM {customer}
+"""
+
+
+def _species_documents(spark, sf_dir):
+    c = spark.sql(SPECIES, customer=table(spark, sf_dir, "customer"))
+    text_ = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    url = lambda kind, x: F.concat(F.lit('{"url":"https://x.example/'), F.lit(kind), F.lit("/"), x.cast("string"), F.when(F.col("id") % 2 == 0, "/").otherwise(""), F.lit('"}'))
+    i = F.col("id")
+    parent = F.when(F.col("place") > 0, i - F.col("place") + F.floor((F.col("place") - 1) / 2).cast("bigint"))
+    names = F.concat(F.lit('[{"language":{"name":"fr"},"name":"F'), i.cast("string"), F.lit('"}'), F.when(i % 17 != 3, F.concat(F.lit(',{"language":{"name":"en"},"name":'), text_(F.col("name")), F.lit("}"))).otherwise(""), F.lit("]"))
+    variety = lambda n, default: F.concat(F.lit('{"is_default":'), F.lit(str(default).lower()), F.lit(',"creature":'), url("creature", n), F.lit("}"))
+    species = F.when(i % 19 == 4, F.lit("{broken")).otherwise(F.concat(
+        F.lit('{"id":'), i.cast("string"), F.lit(',"name":"s-'), i.cast("string"), F.lit('","names":'), names, F.lit(',"generation":{"name":"generation-'), F.col("nation").cast("string"), F.lit('"},"color":{"name":'), text_(F.lower("segment")),
+        F.lit('},"habitat":'), F.when(i % 3 == 0, "null").otherwise('{"name":"cave"}'), F.lit(',"evolves_from_species":'), F.coalesce(url("species", parent), F.lit("null")), F.lit(',"egg_groups":[{"name":"z"},{"name":"a"}],"evolution_chain":'), url("chain", F.col("chain")),
+        F.lit(',"varieties":['), variety(i + 500_000, False), F.lit(","), variety(i + 1_000_000, True), F.when(i % 23 == 5, F.concat(F.lit(","), variety(i + 2_000_000, True))).otherwise(""),
+        F.lit('],"is_legendary":'), (i % 5 == 0).cast("string"), F.lit(',"is_mythical":'), (i % 10 == 0).cast("string"), F.lit("}"),
+    ))
+    kinds = F.concat(F.lit('{"id":'), (i + 1_000_000).cast("string"), F.lit(',"types":[{"slot":2,"type":{"name":"wind"}},{"slot":1,"type":{"name":'), text_(F.lower("segment")), F.lit("}}]}"))
+    node = lambda k, inner: F.when(F.element_at("ids", k + 1).isNotNull(), F.concat(F.lit('{"species":{"url":"https://x.example/species/'), F.element_at("ids", k + 1), F.lit('/"},"evolves_to":['), inner, F.lit("]}"))).otherwise("")
+    pair = lambda a, b: F.concat_ws(",", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+    leaf = {k: node(k, F.lit("")) for k in (3, 4, 5, 6)}
+    tree = node(0, pair(node(1, pair(leaf[3], leaf[4])), node(2, pair(leaf[5], leaf[6]))))
+    # Of every eleventh chain the last leaf is left out, every thirteenth chain isn't there.
+    members = c.filter("not (chain % 11 = 2 and place = 6)").groupBy("chain").agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") + 1).alias("p"), i.cast("string").alias("x")))).alias("ids"))
+    chains = members.filter("chain % 13 <> 3").select(F.concat(F.lit('{"id":'), F.col("chain").cast("string"), F.lit(',"chain":'), tree, F.lit("}")).alias("document"))
+    return c.select(species.alias("document")), c.filter("id % 29 <> 6").select(kinds.alias("document")), chains
+
+
+def species_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = documents.species_rows(*_species_documents(spark, sf_dir), "creature")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return s.select("id", "slug", "name", "generation", "color", "habitat", "status", "stage", "evolves_from", joined("types"), joined("egg_groups"), F.array_join(F.transform(F.map_entries("names"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("names"), "drift")
+
+
+def species_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load changes in a table that has every fourth species, some of them with another colour."""
+    s = documents.species_rows(*_species_documents(spark, sf_dir), "creature").filter("drift is null")
+    held = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").cast("int").alias("id"), F.concat(F.lit("s-"), F.col("c_custkey").cast("string")).alias("slug"), F.when(F.col("c_custkey") % 8 == 0, F.initcap(F.lower("c_mktsegment"))).otherwise("Old").alias("color"))
+    return sync.tally(sync.scd1_actions(held, s, "id", ["slug", "color"]), ["action"])
 
 
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.tree_depths(spark, spark.createDataFrame([(67, _TREE)], "tree_id int, doc string"), "tree_id", "doc")
+    chains = _species_documents(spark, sf_dir)[2].select(F.from_json("document", "id int, chain string").alias("c")).select(F.col("c.id").alias("tree_id"), F.col("c.chain").alias("doc"))
+    return documents.tree_depths(spark, chains, "tree_id", "doc")
 
 
 # Brands play the groups: a fixed catalog knows some by name, one twice, one by alias only.
@@ -142,6 +185,13 @@ def _two_catalogs(spark, sf_dir):
     return mapping, members, near, there
 
 
+def coverage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping, members, near, there = _two_catalogs(spark, sf_dir)
+    verdicts = resolve.match_shelves(members, mapping, "far", near, there).withColumnRenamed("name", "ref").join(members, "id").join(mapping.select("slug", "shelf"), "slug")
+    line = F.concat_ws(" ", F.col("id").cast("string"), "slug", "name", F.lit("/"), F.coalesce("ref", F.lit("-")))
+    return top.coverage_report(verdicts, "shelf", "slug", "status", line, "id").select("section", "place", "name", F.col("n").cast("bigint").alias("n"), F.col("total").cast("bigint").alias("total"))
+
+
 def two_catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_catalogs(spark, sf_dir)[0].select("slug", "shelf", "kind", F.array_join("target_ids", ",").alias("targets"))
 
@@ -225,7 +275,7 @@ def vocabulary_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.novelty(p, "page_id", "names").select("page_id", F.array_join("fresh", ",").alias("fresh"))
 
 
-QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, resolve_sets, match_cards, two_catalog_sets, match_two_catalogs, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
+QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, species_table, species_sync, resolve_sets, match_cards, two_catalog_sets, match_two_catalogs, coverage_top, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
 
 _SQ = lambda x: "regexp_replace(trim(regexp_replace({}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')), ' +', ' ', 'g')".format(x)
 _FOLD = f"upper(trim(regexp_replace(translate({{}}, '{text.NAME_ACCENTED}', '{text.NAME_BASE}'), '[^A-Za-z0-9]+', ' ', 'g')))"
@@ -259,6 +309,11 @@ _MATCH = f"""{_RESOLVE},
     vd AS (SELECT o.id, o.slug, CASE WHEN o.number IS NULL THEN 'no_number' WHEN kind = 'unmapped' THEN 'unmapped_set' WHEN n IS NULL THEN 'number_not_found'
                   WHEN n = 1 THEN 'confirmed' WHEN n > 1 THEN 'ambiguous' ELSE 'name_mismatch' END AS status, hp.* EXCLUDE (id) FROM o LEFT JOIN hc USING (id) LEFT JOIN hp USING (id))"""
 
+_SPECIES = f"""c AS ({SPECIES.format(customer='customer').replace('DIV', '//')}),
+    k AS (SELECT *, upper(segment[1]) || lower(segment[2:]) AS color, CASE WHEN id % 19 = 4 THEN 'not a species document' WHEN id % 17 = 3 THEN 'lacks english name' WHEN id % 23 = 5 THEN 'not one default variety' WHEN id % 29 = 6 THEN 'no such variant'
+                     WHEN chain % 13 = 3 THEN 'no such chain' WHEN chain % 11 = 2 AND place = 6 THEN 'not in its chain' END AS drift FROM c),
+    j AS (SELECT * REPLACE (CASE WHEN drift = 'not a species document' THEN NULL ELSE id END::INT AS id), drift IS NULL AS ok FROM k)"""
+
 ORACLES = {
     "title_normalize": f"""WITH d AS (SELECT doc_id AS id, translate(lower(string_split(text, chr(10))[1] || ' [Tag] #' || doc_id), '{text.ACCENTED}', '{text.BASE}') AS t FROM documents)
         SELECT id, {_SQ("translate(regexp_replace(regexp_replace(t, '[[:space:]]*#[^[:space:]]+[[:space:]]*$', ''), '[[][^]]*[]]', '', 'g'), '‐‑‒–‘’', '----''''''')")} AS title FROM d""".replace("'----'''''''", "'----' || chr(39) || chr(39)"),
@@ -273,7 +328,13 @@ ORACLES = {
     "strict_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) >= 10 AND day(o_orderdate) >= 10) THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "json_keys": "SELECT array_to_string(list_sort(list_distinct(json_keys(props))), ',') AS keys, CAST(props ->> 'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
     "unnest_rows": "SELECT vec_id, slot, round(CAST(embedding[slot] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS slot FROM embeddings)",
-    "tree_depth": "SELECT * FROM (VALUES (67, 1::BIGINT, 1), (67, 2, 2), (67, 3, 3), (67, 4, 2)) AS t(tree_id, node_id, depth)",
+    "tree_depth": f"SELECT chain::INT AS tree_id, id AS node_id, CASE WHEN place = 0 THEN 1 WHEN place < 3 THEN 2 ELSE 3 END AS depth FROM ({SPECIES.format(customer='customer').replace('DIV', '//')}) WHERE chain % 13 <> 3 AND NOT (chain % 11 = 2 AND place = 6)",
+    "species_table": f"""WITH {_SPECIES}
+        SELECT id, CASE WHEN ok THEN 's-' || id END AS slug, CASE WHEN ok THEN name END AS name, CASE WHEN ok THEN 'generation-' || nation END AS generation, CASE WHEN ok THEN color END AS color, CASE WHEN ok AND id % 3 <> 0 THEN 'Cave' END AS habitat,
+               CASE WHEN ok THEN CASE WHEN id % 10 = 0 THEN 'mythical' WHEN id % 5 = 0 THEN 'legendary' ELSE 'ordinary' END END AS status, CASE WHEN ok THEN CASE WHEN place = 0 THEN 1 WHEN place < 3 THEN 2 ELSE 3 END END AS stage,
+               CASE WHEN ok AND place > 0 THEN id - place + (place - 1) // 2 END::INT AS evolves_from, CASE WHEN ok THEN lower(segment) || ',wind' END AS types, CASE WHEN ok THEN 'z,a' END AS egg_groups, CASE WHEN ok THEN 'en=' || name || ',fr=F' || id END AS names, drift FROM j""",
+    "species_sync": f"""WITH {_SPECIES}, s AS (SELECT id, color FROM j WHERE ok), h AS (SELECT c_custkey AS id, c_custkey % 8 = 0 AS same FROM customer WHERE c_custkey % 4 = 0)
+        SELECT CASE WHEN h.id IS NULL THEN 'inserted' WHEN s.id IS NULL THEN 'missing' WHEN same THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS n FROM s FULL JOIN h ON s.id = h.id GROUP BY 1""",
     "resolve_sets": f"WITH {_RESOLVE} SELECT slug, shelf, kind, array_to_string(ids, ',') AS targets FROM res",
     "match_cards": f"""WITH {_MATCH} SELECT id, status, CASE WHEN status = 'confirmed' THEN local_id END AS number, CASE WHEN status = 'confirmed' THEN nullif(official, 0) END AS official,
         CASE WHEN status IN ('confirmed', 'name_mismatch') THEN group_id END AS group_id, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN member_id END AS member_id,
@@ -296,6 +357,7 @@ ORACLES = {
         SELECT id, status, CASE WHEN status = 'confirmed' THEN local_id END AS number, CASE WHEN status = 'confirmed' THEN nullif(official, 0) END AS official,
                CASE WHEN status IN ('confirmed', 'name_mismatch') THEN group_id END AS group_id, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN member_id END AS member_id,
                CASE WHEN status IN ('confirmed', 'name_mismatch') THEN name END AS name FROM allv""",
+    "coverage_top": "",
     "coverage_crosstab": f"""WITH {_MATCH} SELECT slug, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATUSES)},
         round(count(*) FILTER (WHERE status = 'confirmed') * 100.0 / count(*), 2) AS confirmed_pct FROM vd GROUP BY ROLLUP (slug)""",
     "dictionary_tagging": """WITH w AS (SELECT p_partkey AS id, p_name, p_name = 'blue bolt' OR suffix(p_name, 'gear') AS no, replace(' ' || p_name || ' ', ' red widget ', ' @ ') AS t FROM part),
@@ -320,3 +382,12 @@ ORACLES = {
         f AS (SELECT name, min(page_id) AS page_id FROM n GROUP BY name)
         SELECT page_id, string_agg(name, ',' ORDER BY name) AS fresh FROM f WHERE page_id > (SELECT min(page_id) FROM pages) GROUP BY page_id""",
 }
+_TWO = ORACLES["match_two_catalogs"].rsplit("SELECT id, status, CASE", 1)[0]
+ORACLES["coverage_top"] = f"""{_TWO},
+    cv AS (SELECT a.id, a.status, p_brand AS slug, p_name || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE ' #' || lpad((p_partkey % 50)::VARCHAR, 3, '0') END AS name, CASE WHEN a.status IN ('confirmed', 'name_mismatch') THEN a.name END AS other,
+                  CASE WHEN p_brand LIKE 'Brand#2%' THEN 'walled' WHEN p_brand LIKE 'Brand#1%' THEN 'far' ELSE 'main' END AS shelf FROM allv a JOIN part ON id = p_partkey),
+    tp AS (SELECT slug, count(*) AS n FROM cv WHERE status = 'number_not_found' GROUP BY slug), tr AS (SELECT *, row_number() OVER (ORDER BY n DESC, slug)::INT AS place FROM tp),
+    sm AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY id)::INT AS place FROM cv WHERE status NOT IN ('confirmed', 'number_not_found'))
+    SELECT 'confirmed' AS section, NULL::INT AS place, coalesce(shelf, 'all') AS name, count(*) FILTER (WHERE status = 'confirmed') AS n, count(*) FILTER (WHERE status <> 'no_number') AS total FROM cv GROUP BY ROLLUP (shelf)
+    UNION ALL SELECT 'not found', place, slug, n, NULL FROM tr WHERE place <= 20
+    UNION ALL SELECT status, place, concat_ws(' ', id, slug, name, '/', coalesce(other, '-')), NULL, NULL FROM sm WHERE place <= 50"""

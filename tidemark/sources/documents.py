@@ -103,3 +103,42 @@ def tree_depths(spark: SparkSession, trees: DataFrame, tree_id: str, document: s
         """,
         trees=trees.select(F.col(tree_id).alias("tree"), F.col(document).alias("document")),
     ).withColumnRenamed("tree", tree_id)
+
+
+def species_rows(species: DataFrame, variants: DataFrame, chains: DataFrame, entity: str) -> DataFrame:
+    """Species out of three tables of JSON documents (one column ``document`` each), joined by the ids that end URLs.
+
+    * ``species``: as ``SPECIES_DOC`` with ``is_legendary`` and ``is_mythical``; ``variants``: ``TYPE_DOC``; ``chains``:
+      ``{id, chain: {species: {url}, evolves_to: [...]}}``, nested to any depth.
+    * The default variety gives the types, in the order of slots; the chain gives the stage, 1 at its root. Both are
+      looked up by id, so a chain of thousands and a chain of one cost the same join.
+    * ``status`` is mythical before legendary before ordinary.
+    * ``drift`` says what is wrong: not JSON, a required field that lacks, no or more than one default variety, a variant or
+      chain that isn't there, or a chain that doesn't name the species. Such rows keep their id and have no facts.
+    """
+    schema = SPECIES_DOC.format(entity=entity) + ", is_legendary boolean, is_mythical boolean"
+    s = species.select("document", F.from_json("document", schema).alias("s")).select("document", "s.*")
+    default = F.filter("varieties", lambda v: F.coalesce(v["is_default"], F.lit(False)))
+    url = F.when(F.size(default) == 1, F.get(default, F.lit(0))[entity]["url"])
+    chain_id = trailing_id(F.col("evolution_chain.url"), strict=False).cast("int")
+    s = s.withColumns({"__variety": trailing_id(url, strict=False).cast("int"), "chain_id": chain_id})
+    types = variants.select(F.from_json("document", TYPE_DOC).alias("t")).select(F.col("t.id").alias("__variety"), F.transform(F.array_sort("t.types"), lambda t: t["type"]["name"]).alias("types"))
+    trees = chains.select(F.from_json("document", "id int, chain string").alias("c")).select("c.*").filter("chain is not null")
+    stages = tree_depths(species.sparkSession, trees, "id", "chain").groupBy(F.col("id").alias("chain_id"), F.col("node_id").cast("int").alias("id")).agg(F.min("depth").alias("stage"))
+    held = trees.select(F.col("id").alias("chain_id"), F.lit(True).alias("__chain")).distinct()
+    s = s.join(types, "__variety", "left").join(held, "chain_id", "left").join(stages, ["chain_id", "id"], "left")
+    english = F.get(F.filter("names", lambda n: n["language"]["name"] == "en"), F.lit(0))["name"]
+    lacks = [F.when(F.col(c).isNull(), c) for c in ("id", "name", "names", "generation", "color", "egg_groups", "evolution_chain", "varieties", "is_legendary", "is_mythical")]
+    missing = F.array_compact(F.array(*lacks, F.when(F.col("names").isNotNull() & english.isNull(), "english name")))
+    drift = (
+        F.when(F.size(missing) == len(lacks), "not a species document").when(F.size(missing) > 0, F.concat(F.lit("lacks "), F.array_join(missing, ","))).when(F.size(default) != 1, "not one default variety")
+        .when(F.col("types").isNull(), "no such variant").when(F.col("__chain").isNull(), "no such chain").when(F.col("stage").isNull(), "not in its chain")
+    )
+    status = F.when(F.col("is_mythical"), "mythical").when(F.col("is_legendary"), "legendary").otherwise("ordinary")
+    facts = {
+        "slug": F.col("name"), "name": english, "generation": F.col("generation.name"), "color": F.initcap("color.name"), "habitat": F.initcap("habitat.name"), "status": status, "stage": F.col("stage"),
+        "evolves_from": trailing_id(F.col("evolves_from_species.url"), strict=False).cast("int"), "types": F.col("types"), "egg_groups": F.transform("egg_groups", lambda g: g["name"]),
+        "names": F.map_from_entries(F.transform(F.array_sort(F.transform("names", lambda n: F.struct(n["language"]["name"].alias("language"), n["name"].alias("name")))), lambda n: F.struct(n["language"], n["name"]))),
+    }
+    s = s.withColumn("drift", drift)
+    return s.select("id", *[F.when(F.col("drift").isNull(), c).alias(k) for k, c in facts.items()], "drift")

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, sync
+from tidemark.operators import folds, sync, verdicts
 from tidemark.streaming import visits
 
 
@@ -76,3 +76,20 @@ def test_flights_end_by_their_own_time_and_go_on_over_batches(spark, tmp_path):
         1: ("1", 1, False), 2: ("1", 2, True), 4: ("1", 3, True), 5: ("1", 4, True), 6: ("6", 1, False), 3: ("3", 1, False), 7: ("7", 1, False),
         8: ("8", 1, False), 9: ("9", 1, False), 10: ("8", 2, True), 11: ("11", 1, False),
     }
+
+
+@pytest.mark.parametrize("most", [1, 3, 10])
+def test_rolling_quota_is_greedy_in_one_order(spark, most):
+    rnd = random.Random(most)
+    start = datetime.datetime(2024, 1, 1)
+    rows = sorted((start + datetime.timedelta(seconds=rnd.randrange(0, 400)), i) for i in range(60))
+    rows += [(rows[0][0] + datetime.timedelta(seconds=50), 100), (rows[-1][0], 101)]
+    rows.sort()
+    before, passed = [start - datetime.timedelta(seconds=s) for s in (20, 49, 50, 51)], []
+    for at, i in rows:
+        recent = [t for t in [*before, *[p[0] for p in passed]] if t > at - datetime.timedelta(seconds=50)]
+        if len(recent) < most:
+            passed.append((at, i))
+    df = spark.createDataFrame(rows, "at timestamp, id bigint").repartition(3)
+    assert verdicts.within_quota(df, "at", ["at", "id"], before, most, 50) == passed
+    assert verdicts.within_quota(df.limit(0), "at", ["at", "id"], [], most, 50) == []

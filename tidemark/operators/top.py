@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +18,22 @@ def first_of_each(rows: DataFrame, group: str, order: list[str], most: int, room
     anew, which costs rows, not results. A null group is a group."""
     columns = rows.columns
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
         for batch in batches:
-            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            schema = batch.schema
+            # Arrow's own types: nulls among whole numbers don't make them floats.
+            both = pa.Table.from_batches([batch]).to_pandas(types_mapper=pd.ArrowDtype)
+            both = both if held is None else pd.concat([held, both], ignore_index=True)
             both = both.sort_values([group, *order], na_position="first", kind="stable", ignore_index=True)
             held = both[both.groupby(group, dropna=False, sort=False).cumcount() < most]
             if len(held) >= room:
-                yield held
+                yield from pa.Table.from_pandas(held, schema, preserve_index=False).to_batches()
                 held = None
         if held is not None:
-            yield held
+            yield from pa.Table.from_pandas(held, schema, preserve_index=False).to_batches()
 
-    kept = rows.mapInPandas(keep, rows.schema)
+    kept = rows.mapInArrow(keep, rows.schema)
     w = Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select(*columns, "place")
 

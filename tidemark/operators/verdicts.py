@@ -6,6 +6,8 @@ is a top-k before any numbering.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +39,75 @@ def apply_visits(states: DataFrame, visits: DataFrame, now: Column, near_margin:
     return states.join(v, key, "left").select(*cols, edge.alias("newly_at_cap"))
 
 
+def gone_candidates(missing: DataFrame, walks: DataFrame, now: Column | None = None) -> DataFrame:
+    """``missing`` with ``verdict`` before any quota: healed, no_verdict or gone. Whether a walk still lists a key is judged at
+    ``now``, or at each row's own ``at``."""
+    proved = F.coalesce("completed", F.lit(False)) & (F.coalesce("seen", F.lit(0)) > 0)
+    listed = F.coalesce(F.col("last_seen_at") >= (F.col("at") if now is None else now), F.lit(False))
+    verdict = F.when(~F.col("url").eqNullSafe(F.col("failing_url")), "healed").when(~proved | listed, "no_verdict").otherwise("gone")
+    return missing.join(walks, "set_id", "left").select(*missing.columns, verdict.alias("verdict"))
+
+
 def gone_verdicts(missing: DataFrame, walks: DataFrame, now: Column, gone_today: int = 0, most_a_day: int = 25) -> DataFrame:
     """``id, verdict`` for ``missing(id, set_id, failing_url, url, last_seen_at)``: keys whose page is away, as they
     are after ``walks(set_id, completed, seen)`` of their sets.
 
     A new address heals. An unfinished or empty walk proves nothing, nor does one that still lists the key. Else the key
-    is gone, until ``most_a_day`` verdicts of a day are used up, in the order of ids; beyond that there is none.
+    is gone, until ``most_a_day`` verdicts of a day are used up, in the order of ids; beyond that there is none. Where the
+    day's count is to be carried from batch to batch, see ``streaming.visits.gone_sink``.
     """
-    proved = F.coalesce("completed", F.lit(False)) & (F.coalesce("seen", F.lit(0)) > 0)
-    listed = F.coalesce(F.col("last_seen_at") >= now, F.lit(False))
-    judged = missing.join(walks, "set_id", "left").select("id", F.when(~F.col("url").eqNullSafe(F.col("failing_url")), "healed").when(~proved | listed, "no_verdict").otherwise("gone").alias("verdict"))
+    judged = gone_candidates(missing, walks, now).select("id", "verdict")
     first = judged.filter("verdict = 'gone'").orderBy("id").limit(max(0, most_a_day - gone_today)).select(F.col("id").alias("__id"))
     braked = judged.join(F.broadcast(first), F.col("id") == F.col("__id"), "left")  # at most most_a_day rows
     return braked.select("id", F.when((F.col("verdict") == "gone") & F.col("__id").isNull(), "no_verdict").otherwise(F.col("verdict")).alias("verdict"))
 
 
+def missing_suspects(visits: DataFrame, streaks: DataFrame, key: str, threshold: int = 3) -> DataFrame:
+    """Visits answered by a redirect whose strike would bench the key: ``visits(key, status, ...)`` with
+    ``streaks(key, failure_streak)`` before them; an unknown key has none."""
+    counted = visits.join(streaks.select(key, "failure_streak"), key, "left")
+    redirected = (F.col("status") >= 300) & (F.col("status") < 400)
+    return counted.filter(redirected & (F.coalesce("failure_streak", F.lit(0)) + 1 >= threshold)).drop("failure_streak")
+
+
+def within_quota(candidates: DataFrame, at: str, order: list[str], before: list, most: int, seconds: float) -> list:
+    """The order values of the candidates that a rolling quota lets through: one passes if fewer than ``most`` passed in the
+    ``seconds`` before it; one that passed just so long ago no longer counts. ``order`` is total and begins with ``at``, a
+    timestamp; ``before`` are the times of the last ones that passed.
+
+    A pass frees its place at a time that is known at once, so the next ``most`` passes are the first candidates after
+    the last ``most`` freed times. Each round asks for at most ``most`` candidates from each of these on, and settles
+    ``most`` passes; rounds are in proportion to passes, not to candidates, and only passes and their rivals are seen here.
+    """
+    span = datetime.timedelta(seconds=seconds)
+    passed, held = [], sorted(before)[-most:]
+    last: tuple | None = None
+    columns = F.struct(*order)
+    while True:
+        freed = [None] * (most - len(held)) + [t + span for t in held]
+        after = candidates if last is None else candidates.filter(columns > F.struct(*[F.lit(v).cast(candidates.schema[c].dataType).alias(c) for c, v in zip(order, last)]))
+        rivals = None
+        for t in sorted({t for t in freed if t is not None}):
+            part = after.filter(F.col(at) >= F.lit(t)).select(*order).orderBy(*order).limit(most)
+            rivals = part if rivals is None else rivals.unionByName(part)
+        if None in freed:
+            part = after.select(*order).orderBy(*order).limit(most)
+            rivals = part if rivals is None else rivals.unionByName(part)
+        rows = sorted({tuple(r) for r in rivals.collect()})  # at most most * most rows
+        settled = 0
+        for t in freed:
+            best = next((r for r in rows if (last is None or r > last) and (t is None or r[0] >= t)), None)
+            if best is None:
+                break
+            passed.append(best)
+            held.append(best[0])
+            last = best
+            settled += 1
+        held = held[-most:]
+        if settled < len(freed):
+            return passed
+
+
 def delisted_probe(states: DataFrame, now: Column, days: int = 1, most: int = 1) -> DataFrame:
     """Delisted keys to be asked again: never asked first, then the longest not asked."""
     due = F.col("delisted_probed_at").isNull() | (F.col("delisted_probed_at") < now - F.make_dt_interval(F.lit(days)))
@@ -96,17 +152,46 @@ def sample_rows(rows: DataFrame, most: int, seed: int, key: str = "id") -> DataF
 
 
 def canary(facts: DataFrame, tiers: list[str], deep_tier: str, least_months: int = 60, least_buckets: int = 3) -> DataFrame:
-    """``id, failures`` for ``facts(id, chart map<string, array>, has_population, sale_tiers array)`` of pages known to be
-    rich: named missing tiers, a shallow history, no population, too few sale buckets. An empty list is a pass."""
-    missing = F.array_except(F.lit(tiers), F.map_keys("chart"))
+    """``id, failures`` of pages known to be rich. An empty list is a pass.
+
+    ``facts(id, chart map<string, array>, has_population, sale_tiers array)``, and where they are known ``status``, the
+    HTTP status of a page that wasn't fetched, ``drift``, why it couldn't be read, and ``latest array<struct<tier, cents>>``,
+    its newest prices in the order of ``tiers``. A page that has a status or drift fails by that alone. Else each absent
+    tier is named, as are a history that is too short, an absent census, too few tiers with sales, and each two
+    neighbouring tiers, of those with a price that isn't zero, of which the higher one costs less."""
+    absent = F.array_except(F.lit(tiers), F.map_keys("chart"))
     months = F.size(F.col("chart")[deep_tier])
-    checks = F.array(
-        F.when(F.size(missing) > 0, F.concat(F.lit("chart tiers missing: "), F.array_join(missing, ", "))),
-        F.when(F.map_contains_key("chart", deep_tier) & (months < least_months), F.concat(F.lit("only "), months.cast("string"), F.lit(f" months of {deep_tier} history"))),
-        F.when(~F.col("has_population"), F.lit("population report missing")),
-        F.when(F.size(F.array_distinct("sale_tiers")) < least_buckets, F.lit(f"fewer than {least_buckets} sale buckets")),
-    )
-    return facts.select("id", F.array_compact(checks).alias("failures"))
+    checks = [
+        F.when(F.size(absent) > 0, F.concat(F.lit("no series for "), F.array_join(absent, ", "))),
+        F.when(F.map_contains_key("chart", deep_tier) & (months < least_months), F.concat(F.lit(f"{deep_tier} goes back "), months.cast("string"), F.lit(" months"))),
+        F.when(~F.col("has_population"), F.lit("no census")),
+        F.when(F.size(F.array_distinct("sale_tiers")) < least_buckets, F.lit(f"sales in under {least_buckets} tiers")),
+    ]
+    failures = F.array_compact(F.array(*checks))
+    if "latest" in facts.columns:
+        priced = F.filter("latest", lambda p: F.coalesce(p["cents"], F.lit(0)) > 0)
+        pairs = F.filter(F.arrays_zip(priced.alias("low"), F.slice(priced, 2, F.greatest(F.size(priced), F.lit(1))).alias("high")), lambda x: x["high"]["cents"] < x["low"]["cents"])
+        text = lambda x: F.concat(x["tier"], F.lit(" "), x["cents"].cast("string"))
+        failures = F.concat(failures, F.transform(pairs, lambda x: F.concat(text(x["low"]), F.lit(" above "), text(x["high"]))))
+    if "drift" in facts.columns:
+        failures = F.when(F.col("drift").isNotNull(), F.array(F.concat(F.lit("unreadable: "), F.col("drift")))).otherwise(failures)
+    if "status" in facts.columns:
+        failures = F.when(F.col("status").isNotNull(), F.array(F.concat(F.lit("status "), F.col("status").cast("string")))).otherwise(failures)
+    return facts.select("id", failures.alias("failures"))
+
+
+def page_canary(judged: DataFrame, key: str, tiers: list[str], deep_tier: str, status: Column | None = None, **least: int) -> DataFrame:
+    """The canary over judged pages (``sources.visit_page``): what their one parse gave is all it looks at. The newest price of a
+    tier is the last of its series."""
+    points = F.coalesce("page.chart", F.array().cast("array<struct<tier:string,ms:bigint,cents:int>>"))
+    series = lambda t: F.filter(points, lambda p: p["tier"] == t)
+    entries = F.filter(F.array(*[F.struct(F.lit(t).alias("tier"), series(t).alias("points")) for t in tiers]), lambda e: F.size(e["points"]) > 0)
+    facts = judged.select(
+        F.col(key).alias("id"), F.map_from_entries(entries).alias("chart"), F.col("page.census").isNotNull().alias("has_population"), F.coalesce(F.col("page.sales.tier"), F.array().cast("array<string>")).alias("sale_tiers"),
+        F.when(F.col("verdict") != "ok", F.col("reason")).alias("drift"), (F.lit(None).cast("int") if status is None else status).alias("status"),
+        F.transform(entries, lambda e: F.struct(e["tier"].alias("tier"), F.element_at(e["points"], -1)["cents"].alias("cents"))).alias("latest"),
+    )
+    return canary(facts, tiers, deep_tier, **least)
 
 
 OUTCOMES = {"parsed": 0, "http_error": 1, "parse_failed": 2, "not_a_card": 3}

@@ -51,13 +51,16 @@ def partition_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.tally(p, ["shelf"])
 
 
-_MONEY = ["$1,234.56", "", " ", " $7 ", "$1.2.3", "12", "$0.005", "$0.015", "$0.025", "99999999.99", "-3", "$$5", "1,0,0", "abc"]
+#: Prices of line items as pages write them, well and badly; the same text on both engines.
+MONEY = """SELECT l_orderkey, l_linenumber, cents, CASE l_orderkey % 11 WHEN 0 THEN concat('$', units, '.', pence) WHEN 1 THEN concat(' ', units, '.', pence, ' ') WHEN 2 THEN concat('$$', units) WHEN 3 THEN concat(units, '.') WHEN 4 THEN concat('.', pence, '5')
+        WHEN 5 THEN ' ' WHEN 6 THEN concat('-', units) WHEN 7 THEN concat('$', units, '.1.2') WHEN 8 THEN concat('1,', lpad(CAST(units % 1000 AS {string}), 3, '0'), '.', pence) WHEN 9 THEN concat(units, '0000000') ELSE '' END AS money, units, pence
+    FROM (SELECT *, CAST(floor(cents / 100) AS BIGINT) AS units, lpad(CAST(cents % 100 AS {string}), 2, '0') AS pence FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM {lineitem}))"""
 
 
 def money_to_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, m) for i, m in enumerate(_MONEY)], "id int, money string")
+    rows = spark.sql(MONEY.replace("{string}", "STRING"), lineitem=table(spark, sf_dir, "lineitem"))
     m = text.money_to_cents(F.col("money"))
-    return rows.select("id", m["cents"].alias("cents"), m["drift"].alias("drift"))
+    return rows.select("l_orderkey", "l_linenumber", m["cents"].alias("cents"), m["drift"].alias("drift"))
 
 
 def strict_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,8 +326,10 @@ ORACLES = {
     "name_parts": """SELECT c_custkey AS id, split_part(c_name, '#', 1) AS base, CASE WHEN c_custkey % 3 = 0 THEN 'Holo|x' ELSE '' END AS tags, split_part(c_name, '#', 2) AS number FROM customer""",
     "canonical_number": """SELECT c_custkey AS id, 'TG' || CASE WHEN length(c_custkey::VARCHAR) > 4 THEN substr(c_custkey::VARCHAR, 1, 4) ELSE c_custkey::VARCHAR END || '-' || (c_custkey % 7) AS number, 'TG' AS prefix FROM customer""",
     "partition_shelf": """SELECT CASE WHEN url LIKE 'https://m.%' THEN 'mobile' WHEN url LIKE 'http://blog.%' OR url LIKE 'https://blog.%' THEN 'blog' WHEN url LIKE '%spam%' THEN 'spam' ELSE 'main' END AS shelf, count(*) AS n FROM pages GROUP BY 1""",
-    "money_to_cents": """SELECT * FROM (VALUES (0, 123456, false), (1, NULL, false), (2, NULL, false), (3, 700, false), (4, NULL, true), (5, 1200, false), (6, 0, false), (7, 2, false), (8, 2, false),
-        (9, NULL, true), (10, NULL, true), (11, 500, false), (12, 10000, false), (13, NULL, true)) AS t(id, cents, drift)""",
+    "money_to_cents": f"""WITH m AS ({MONEY.replace("{string}", "VARCHAR").replace("{lineitem}", "lineitem")}),
+        v AS (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 11 WHEN 0 THEN cents WHEN 1 THEN cents WHEN 2 THEN units * 100 WHEN 3 THEN units * 100 WHEN 4 THEN CAST(round_even((pence || '5')::DECIMAL(10, 1) / 10, 0) AS BIGINT)
+                     WHEN 8 THEN (1000 + units % 1000) * 100 + pence::BIGINT WHEN 9 THEN CASE WHEN units * 1000000000 <= 2147483647 THEN units * 1000000000 END END AS c, l_orderkey % 11 IN (6, 7) OR (l_orderkey % 11 = 9 AND units * 1000000000 > 2147483647) AS drift FROM m)
+        SELECT l_orderkey, l_linenumber, c::INT AS cents, drift FROM v""",
     "strict_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) >= 10 AND day(o_orderdate) >= 10) THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "json_keys": "SELECT array_to_string(list_sort(list_distinct(json_keys(props))), ',') AS keys, CAST(props ->> 'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
     "unnest_rows": "SELECT vec_id, slot, round(CAST(embedding[slot] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS slot FROM embeddings)",
@@ -374,6 +379,9 @@ ORACLES = {
     "scd1_apply": """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 10 <> 4 THEN c_mktsegment END AS c_mktsegment FROM customer
         UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 = 5""",
     "set_details": """SELECT n_nationkey, CASE WHEN r_name IS NULL THEN 'pending' ELSE 'matched' END AS match_status, r_name AS series FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey % 2 = 0) ON n_regionkey = r_regionkey""",
+    "page_facts": """WITH t AS (SELECT *, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages)
+        SELECT page_id, CASE WHEN title = '' THEN 'drift' WHEN NOT regexp_matches(html, '<article[ >]') THEN 'rejected' ELSE 'ok' END AS verdict, CASE WHEN title = '' THEN 'no title' WHEN NOT regexp_matches(html, '<article[ >]') THEN 'no article' END AS reason,
+               replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links, len(regexp_extract_all(html, '<li[ >]'))::BIGINT AS labels, nullif(regexp_extract(html, '=[^{<]*([{][^{}]*[}])', 1), '') AS inline FROM t""",
     "page_fingerprint": """WITH n AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'class="([a-z-]+)"', 1))) AS c, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))) AS t FROM pages),
         j AS (SELECT page_id, '{"classes":[' || array_to_string(list_transform(c, lambda x: '"' || x || '"'), ',') || '],"tags":[' || array_to_string(list_transform(t, lambda x: '"' || x || '"'), ',') || ']}' AS names FROM n)
         SELECT page_id, names, sha256(names) AS hash FROM j""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import folds
+from tidemark.operators import folds, verdicts
 from tidemark.plans.common import scratch, table
 from tidemark.plans.schedule import ORACLES as _SCHEDULE
 from tidemark.streaming import visits
@@ -85,7 +85,25 @@ def recovered_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.read().filter("value is not null")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup_append, stream_aimd, request_stream, recovered_pulse)}
+def gone_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as redirects, those at the bench threshold as suspects: verdicts under a quota of ten in any 24 hours, over six
+    micro-batches of five days."""
+    i = F.col("event_id")
+    visits_ = table(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        i.alias("id"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 25).alias("set_id"), F.lit("/old").alias("failing_url"), F.when(i % 10 == 0, "/new").otherwise("/old").alias("url"),
+        F.when(i % 7 == 0, F.col("ts").cast("timestamp")).alias("last_seen_at"), F.when(i % 9 == 4, 404).otherwise(302).alias("status"),
+    )
+    streaks = table(spark, sf_dir, "events").filter("event_id % 3 > 0").select(i.alias("id"), (i % 5).cast("int").alias("failure_streak"))
+    suspects = verdicts.missing_suspects(visits_, streaks, "id").drop("status")
+    walks = table(spark, sf_dir, "nation").filter("n_nationkey <> 3").select(F.col("n_nationkey").alias("set_id"), (F.col("n_nationkey") % 4 != 1).alias("completed"), (F.col("n_nationkey") % 6).alias("seen"))
+    schema = spark.createDataFrame([], "id bigint, at timestamp, verdict string").schema
+    out, state = visits.BatchTable(spark, scratch(spark, "gone"), schema), scratch(spark, "gone-state")
+    number = F.floor(F.datediff("at", F.lit("2024-01-01")) / 5)
+    _in_rounds(spark, suspects, 6, number, "suspects", lambda stream: visits.replay(stream, visits.gone_sink(out, walks), state))
+    return out.read().select("id", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup_append, stream_aimd, request_stream, recovered_pulse, gone_stream)}
 ORACLES = {
     "stream_dedup_append": "SELECT DISTINCT user_id % 40 AS source, CAST(trunc(value) AS BIGINT) AS source_id FROM events",
     "stream_aimd": _SCHEDULE["aimd_delay"],
@@ -98,4 +116,12 @@ ORACLES = {
         i AS (SELECT DISTINCT sweep, user_id FROM s WHERE event_type = 'error' AND sweep % 5 <> 4), t AS (SELECT sweep, lead(sweep) OVER (ORDER BY sweep) AS following FROM (SELECT DISTINCT sweep FROM s))
         SELECT sweep::INT AS sweep, user_id, 1 AS value FROM i
         UNION ALL SELECT following::INT, user_id, 0 FROM i JOIN t USING (sweep) WHERE following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i j WHERE j.sweep = following AND j.user_id = i.user_id)""",
+    "gone_stream": """WITH RECURSIVE v AS (SELECT event_id AS id, ts AS tm, user_id % 25 AS set_id, event_id % 10 = 0 AS healed, event_id % 7 = 0 AS listed FROM events
+             WHERE event_type = 'error' AND event_id % 9 <> 4 AND event_id % 3 > 0 AND event_id % 5 >= 2),
+        j AS (SELECT v.*, CASE WHEN healed THEN 'healed' WHEN n_nationkey IS NULL OR n_nationkey = 3 OR n_nationkey % 4 = 1 OR n_nationkey % 6 = 0 OR listed THEN 'no_verdict' ELSE 'gone' END AS verdict FROM v LEFT JOIN nation ON n_nationkey = set_id),
+        c AS (SELECT id, tm, row_number() OVER (ORDER BY tm, id) AS k FROM j WHERE verdict = 'gone'),
+        q AS (SELECT k, id, [tm] AS held, true AS let FROM c WHERE k = 1
+              UNION ALL SELECT c.k, c.id, CASE WHEN len(list_filter(held, lambda x: x > c.tm - INTERVAL '1' DAY)) < 10 THEN list_append(list_filter(held, lambda x: x > c.tm - INTERVAL '1' DAY), c.tm) ELSE held END,
+                               len(list_filter(held, lambda x: x > c.tm - INTERVAL '1' DAY)) < 10 FROM q JOIN c ON c.k = q.k + 1)
+        SELECT j.id, CASE WHEN verdict = 'gone' AND NOT q.let THEN 'no_verdict' ELSE verdict END AS verdict FROM j LEFT JOIN q USING (id)""",
 }

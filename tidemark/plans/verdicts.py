@@ -153,8 +153,8 @@ ORACLES = {
         SELECT p_partkey AS id, p_brand AS brand, tags FROM part LEFT JOIN j ON j.id = p_partkey WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0""",
     "canary_failures": """WITH c AS (SELECT l_suppkey AS id, l_returnflag || l_linestatus AS mode, count(*) AS n FROM lineitem GROUP BY ALL),
         g AS (SELECT id, list(mode) AS modes, max(CASE WHEN mode = 'AF' THEN n END) AS af, count(*) AS k FROM c GROUP BY id)
-        SELECT id, concat_ws('; ', 'chart tiers missing: ' || array_to_string(list_filter(['AF', 'NF', 'NO', 'RF', 'XX'], lambda x: NOT list_contains(modes, x)), ', '),
-               CASE WHEN af < 150 THEN 'only ' || af || ' months of AF history' END, CASE WHEN id % 9 = 0 THEN 'population report missing' END, CASE WHEN least(k, id % 4 + 1) < 3 THEN 'fewer than 3 sale buckets' END) AS failures FROM g""",
+        SELECT id, concat_ws('; ', 'no series for ' || array_to_string(list_filter(['AF', 'NF', 'NO', 'RF', 'XX'], lambda x: NOT list_contains(modes, x)), ', '),
+               CASE WHEN af < 150 THEN 'AF goes back ' || af || ' months' END, CASE WHEN id % 9 = 0 THEN 'no census' END, CASE WHEN least(k, id % 4 + 1) < 3 THEN 'sales in under 3 tiers' END) AS failures FROM g""",
     "chart_points": """WITH o AS (SELECT o_custkey AS id, o_custkey % 50 = 7 AND o_orderkey % 2 = 0 AS odd, o_orderkey % 3 AS k, CAST(o_orderdate AS DATE) AS day, floor(o_totalprice)::BIGINT AS cents FROM orders),
         b AS (SELECT DISTINCT id FROM o WHERE odd)
         SELECT id, CASE k WHEN 0 THEN 'Ungraded' WHEN 1 THEN 'Nine' ELSE 'Ten' END AS tier, day, cents, NULL::VARCHAR AS reason FROM o WHERE id NOT IN (SELECT id FROM b)

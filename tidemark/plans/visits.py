@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import verdicts
 from tidemark.plans.common import scratch, table
-from tidemark.sources.visit_page import Layout
+from tidemark.sources.visit_page import Layout, judged_pages
 from tidemark.streaming import visits
 
 LAYOUT = Layout(series={"used": "Raw", "cib": "Seven"}, graders=("psa", "cgc"), sources=("bay", "house"), known_labels=("Raw", "Nine"), image=r"images\.example\.com/([a-z0-9]+)/")
@@ -74,7 +75,15 @@ def page_visit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__: f for f in (page_visits, page_visit_facts)}
+def page_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last round's pages as canaries; some weren't fetched."""
+    judged = judged_pages(detail_pages(spark, sf_dir).filter(F.col("round") == ROUNDS - 1), LAYOUT)
+    status = F.when(F.col("page_id") % 17 == 2, F.lit(503))
+    out = verdicts.page_canary(judged, "page_id", ["Raw", "Seven", "Ten"], "Raw", status, least_months=2, least_buckets=2)
+    return out.select(F.col("id").alias("page_id"), F.array_join("failures", "; ").alias("failures"))
+
+
+QUERIES = {f.__name__: f for f in (page_visits, page_visit_facts, page_canaries)}
 
 _JUDGED = f"""says AS ({SAYS.format(pages="pages")}),
     judged AS (SELECT *, CASE WHEN page_id % 23 = 3 THEN 'no chart' WHEN page_id % 23 = 5 THEN 'unknown series: odd' WHEN page_id % 23 = 7 THEN 'page.chart_data: the object never closes'
@@ -105,4 +114,8 @@ ORACLES = {
         SELECT page_id, round, 'prices' AS kind, tier || '|' || month AS name, cents::BIGINT AS value FROM prices
         UNION ALL SELECT page_id, round, 'census', 'psa|' || grade, population FROM census
         UNION ALL SELECT page_id, round, 'sales', concat_ws('|', source, source_id, '2024-01-05', tier, '999', title), cents FROM sales""",
+    "page_canaries": f"""WITH {_JUDGED}
+        SELECT page_id, CASE WHEN page_id % 17 = 2 THEN 'status 503' WHEN reason IS NOT NULL THEN 'unreadable: ' || reason
+               ELSE concat_ws('; ', 'no series for Ten', CASE WHEN page_id % 5 = 0 THEN 'no census' END, CASE WHEN label = '' OR page_id % 2 = 1 THEN 'sales in under 2 tiers' END,
+                              'Raw ' || (200 + 2 * (page_id % 2)) || ' above Seven 50') END AS failures FROM judged WHERE round = 2""",
 }

@@ -59,7 +59,24 @@ def walked_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "href", "name", (F.col("first_seen_at") == now()).alias("new"), (F.col("last_seen_at") == now()).alias("seen"))
 
 
-QUERIES = {f.__name__: f for f in (set_walks, walked_catalog)}
+def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories made of pages: their words link below /console/ inside the block, with repeats, and outside of it."""
+    p = table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    link = lambda slug, name: F.concat(F.lit('<li><a href="/console/'), slug, F.lit('">'), name, F.lit("</a>"))
+    text = lambda x: x.cast("string")
+    inside = F.concat(
+        F.lit("<ul>"), link(F.concat(F.lit("s"), text(i % 7)), F.lit(" First &amp; <i>last</i> ")), link(F.concat(F.lit("t&amp;"), text(i)), F.lit("Own")), link(F.concat(F.lit("s"), text(i % 7)), F.lit("Again")),
+        F.lit('<li><a href="/game/x">no</a>'), link(F.concat(F.lit("s"), text(i % 5)), F.lit("Fifth")), F.lit("</ul>"),
+    )
+    block = F.when(i % 13 == 4, inside).otherwise(F.concat(F.lit('<div id="home-page"><p>'), inside, F.lit("</div>")))
+    html = F.concat(link(F.lit("nav"), F.lit("Nav")), F.replace("html", F.lit("</body></html>"), F.lit("")), block, link(F.lit("foot"), F.lit("Foot")))
+    read = p.select("page_id", detail.block_links(html, "home-page", "/console/").alias("r"))
+    rows = read.select("page_id", F.posexplode_outer("r.links").alias("pos", "link"), F.col("r.reason").alias("reason"))
+    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link.slug", "link.name", "reason")
+
+
+QUERIES = {f.__name__: f for f in (set_walks, walked_catalog, category_links)}
 
 _WALKS = f"""c AS ({CHAIN.replace("{pages}", "pages").replace("{host}", "regexp_extract(url, '://([^/]*)', 1) || '-' || (page_id % 3)")}),
     q AS (SELECT *, place > 0 AND page_id % 31 = 5 AS missing, page_id % 29 = 3 AS drift, CASE WHEN next_id IS NULL AND (n = 1 OR first_id % 4 <> 1) THEN NULL WHEN next_id IS NULL THEN 0 ELSE place + 1 END AS onward, 2 + (next_id IS NOT NULL)::INT AS listed FROM c),
@@ -73,4 +90,7 @@ ORACLES = {
         a AS (SELECT host, step, 0 AS pos, page_id * 2 AS id, '/game/' || page_id AS href, 'Name & ' || page_id AS name FROM r UNION ALL SELECT host, step, 1, page_id * 2 + 1, '/game/b' || page_id, 'b' FROM r UNION ALL SELECT host, step, 2, next_id * 2, '/game/early', 'early' FROM r WHERE next_id IS NOT NULL),
         s AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY host DESC, step DESC, pos DESC) = 1), k AS (SELECT page_id * 2 AS id FROM pages WHERE page_id % 5 = 0)
         SELECT coalesce(s.id, k.id) AS id, coalesce(href, '/old') AS href, coalesce(name, 'old') AS name, k.id IS NULL AS new, s.id IS NOT NULL AS seen FROM s FULL JOIN k ON s.id = k.id""",
+    "category_links": """WITH l AS (SELECT page_id, unnest([{k: 0, slug: 's' || page_id % 7, name: 'First & last'}, {k: 1, slug: 't&' || page_id, name: 'Own'}, {k: 2, slug: 's' || page_id % 5, name: 'Fifth'}], recursive := true) FROM pages WHERE page_id % 13 <> 4),
+        u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id, slug ORDER BY k) = 1)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, slug, name, NULL::VARCHAR AS reason FROM u UNION ALL SELECT page_id, NULL, NULL, NULL, 'no block home-page' FROM pages WHERE page_id % 13 = 4""",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import markup
 from tidemark.sources.strict_json import Drift, read_census, read_chart, strict_object
 
 _POINTS = T.ArrayType(T.StructType([T.StructField("tier", T.StringType()), T.StructField("ms", T.LongType()), T.StructField("cents", T.IntegerType())]))
@@ -157,3 +158,30 @@ def listing(html: Column, row_prefix: str = "product-", link_prefix: str = "/gam
 def first_links(links: DataFrame, key: str, slug: str, name: str, position: str) -> DataFrame:
     """Of links to one slug on a page the first keeps its name."""
     return links.groupBy(key, slug).agg(F.min_by(name, position).alias(name), F.min(position).alias(position))
+
+
+def block_links(html: Column, block: str, prefix: str) -> Column:
+    """``struct(links array<struct<slug, name>>, reason)`` of a category page: its links below ``prefix`` within the element
+    whose id is ``block``, in document order; a slug that repeats keeps its first name. The rest of the page may link to
+    the same places and isn't looked at; a page without the block is drift. Slugs are kept as they are written, but for
+    character references."""
+
+    @F.pandas_udf(T.StructType([T.StructField("links", T.ArrayType(T.StructType([T.StructField("slug", T.StringType()), T.StructField("name", T.StringType())]))), T.StructField("reason", T.StringType())]))
+    def read(pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in pages:
+            try:
+                part = markup.parse(text or "").find("", id=block)
+                if part is None:
+                    out.append((None, f"no block {block}"))
+                    continue
+                links: dict[str, str] = {}
+                for a in part.find_all("a"):
+                    if a.attrs.get("href", "").startswith(prefix):
+                        links.setdefault(a.attrs["href"][len(prefix) :], a.text.strip())
+                out.append(([{"slug": k, "name": v} for k, v in links.items()], None))
+            except Exception as e:  # any parser error is drift, not a failed job
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["links", "reason"])
+
+    return read(html)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.operators.coverage import at_cap_buckets, overlap, page_margins
 from tidemark.operators.history import change_only_plan, dedup_append, latest_by_key
 from tidemark.operators.sync import membership_pulse
+from tidemark.operators.verdicts import gone_candidates, within_quota
 from tidemark.sources.detail import utc_day
 from tidemark.sources.visit_page import Layout, census_facts, judged_pages
 
@@ -228,3 +229,29 @@ def single_flights(requests: DataFrame, key: str, at: str, request: str, seconds
         yield pd.concat([rows, pd.DataFrame(out, columns=["flight", "served", "coalesced"])], axis=1)
 
     return requests.select(*columns).groupBy(key).applyInPandasWithState(run, schema, "flight string, ends bigint, served int", "append", "EventTimeTimeout")
+
+
+def gone_sink(table: BatchTable, walks: DataFrame, most: int = 10, seconds: float = 86_400) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: suspects of the micro-batch, in order, become verdicts under a rolling quota.
+
+    ``suspects(id, at, set_id, failing_url, url, last_seen_at)`` are keys whose page is away, ``walks(set_id, completed, seen)``
+    the walks that followed. A new address heals; without a finished, non-empty walk, or where the walk still lists the key,
+    there is no verdict; else the key is gone, but for ``most`` in any ``seconds`` before, over all batches, beyond which there
+    is none. The state is the table of verdicts itself: its last ``most`` gone ones. Batches come in the order of time; of
+    suspects at one time the smaller id is first."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        judged = gone_candidates(batch, walks).persist()
+        try:
+            held = table.read(number).filter("verdict = 'gone'").orderBy(F.desc("at"), F.desc("id")).limit(most).select("at").collect()
+            passed = within_quota(judged.filter("verdict = 'gone'"), "at", ["at", "id"], [r["at"] for r in held], most, seconds)
+            # As many as a quota allows in the time of a batch.
+            let = batch.sparkSession.createDataFrame([(*p, True) for p in passed], T.StructType([judged.schema["at"], judged.schema["id"], T.StructField("__let", T.BooleanType())]))
+            out = judged.join(let, ["at", "id"], "left")
+            verdict = F.when((F.col("verdict") == "gone") & F.col("__let").isNull(), "no_verdict").otherwise(F.col("verdict"))
+            table.write(out.withColumn("verdict", verdict), number)
+            table.commit(number)
+        finally:
+            judged.unpersist()
+
+    return run

@@ -39,6 +39,20 @@ def gap_audit(df: DataFrame, keys: list[str], at: str, day: str, bucket: str, op
     return gap_candidates(df, keys, at, day, bucket, open_bucket, floor).withColumn("verdict", gap_verdict())
 
 
+def gap_report(candidates: DataFrame, key: str, at: str, names: DataFrame, groups: DataFrame) -> DataFrame:
+    """The full captures with the names of their key and group, in the order of verdict, key and capture.
+
+    ``names(key, name, group_id)`` and ``groups(group_id, group_name)``: a key that has no name, or whose group isn't known,
+    isn't reported. ``blind_from`` and ``blind_to`` bound the days that may be lost; a page that shows a day already known
+    reached back, and lost nothing."""
+    reached = F.col("batch_oldest") <= F.col("last_known")
+    full = candidates.filter(F.col("rows_written") >= F.col("page_cap")).join(names, key).join(groups, "group_id")
+    verdict = F.when(reached, "reached back").otherwise("GAP")
+    out = full.withColumn("verdict", verdict).withColumn("visit_gap_days", F.round(F.datediff(F.col(at), F.col("prev_visit")).cast("double"), 2))
+    rest = [c for c in candidates.columns if c not in (key, at, "rows_written", "page_cap", "last_known", "batch_oldest", "batch_newest", "prev_visit", "seq", "est_page_cap")]
+    return out.orderBy("verdict", key, at, *rest).select(key, "name", "group_name", *rest, at, F.col("rows_written").alias("new_rows"), "page_cap", F.col("last_known").alias("blind_from"), F.col("batch_oldest").alias("blind_to"), "visit_gap_days", "verdict")
+
+
 def cut_list(candidates: DataFrame, key: str, at: str, exclusions: DataFrame | None = None) -> DataFrame:
     """``key, cut_at``: the first day after each key's latest gap. ``exclusions(key, batch_oldest)`` stay uncut."""
     gaps = candidates.filter((F.col("rows_written") >= F.col("page_cap")) & (F.col("batch_oldest") > F.col("last_known")))

@@ -63,6 +63,15 @@ def verdict_changes(new: DataFrame, latest: DataFrame, key: str, fields: list[st
     return new.join(stored, key, "left").filter(~F.struct(*fields).eqNullSafe(F.col("__stored"))).drop("__stored")
 
 
+def verdict_log(new: DataFrame, log: DataFrame, key: str, fields: list[str], at: str, order: str) -> DataFrame:
+    """The rows of ``new`` to append to a log of verdicts: those that differ in any field from their key's latest in the log.
+
+    ``new(key, fields, at, version)`` carries what it was judged by, which is kept but not compared: the same verdict by
+    another version of a catalog is no change. ``order`` is the log's column of time; combined before it is shuffled."""
+    latest = log.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("__last")).select(key, "__last.*")
+    return verdict_changes(new, latest, key, fields)
+
+
 def apply_overrides(rows: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows with the columns of a small table of manual overrides, which win."""
     manual = overrides.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__manual"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import resolve, sync, tagging, top
+from tidemark.operators import history, resolve, sync, tagging, top
 from tidemark.plans.common import table
 from tidemark.sources import documents, pages
+from tidemark.storage import written
 
 SYNONYMS = {"COMPANY": "CO", "SMALL": "LITTLE", "SUPPLIER": "VENDOR"}
 
@@ -170,7 +171,7 @@ FAR_ALIASES = [("Brand#11", ["j0", "j1"]), ("Brand#12", ["j1"]), ("Brand#13", ["
 FAR_WORDS = {"red": 1, "small": 2, "blue": 3, "hot": 4, "old": 5}
 
 
-def _two_catalogs(spark, sf_dir):
+def _two_catalogs(spark, sf_dir, far_aliases=FAR_ALIASES):
     p = table(spark, sf_dir, "part")
     word = F.create_map(*[F.lit(x) for pair in FAR_WORDS.items() for x in pair])[F.split("p_name", " ")[0]]
     ids = F.when(word.isNotNull(), F.array(word)).otherwise(F.array().cast("array<int>"))
@@ -181,7 +182,7 @@ def _two_catalogs(spark, sf_dir):
     catalog = spark.createDataFrame(FAR_CATALOG, "group_id string, official int, physical boolean")
     shelf = text.shelf(F.col("slug"), [("prefix", "Brand#2", "walled"), ("prefix", "Brand#1", "far")], "main")
     brands = p.select(F.col("p_brand").alias("slug"), F.col("p_brand").alias("name")).distinct()
-    mapping = resolve.resolve_groups(brands, _catalog(spark), spark.createDataFrame(ALIASES, "slug string, targets array<string>"), shelf, "Brand#8", "maker", alias_only=resolve.AliasShelf("far", catalog, spark.createDataFrame(FAR_ALIASES, "slug string, targets array<string>")))
+    mapping = resolve.resolve_groups(brands, _catalog(spark), spark.createDataFrame(ALIASES, "slug string, targets array<string>"), shelf, "Brand#8", "maker", alias_only=resolve.AliasShelf("far", catalog, spark.createDataFrame(far_aliases, "slug string, targets array<string>")))
     tags = p.filter("p_partkey % 6 <> 0").select(F.col("p_partkey").alias("id"), ids.alias("ids"))
     near = {"catalog_members": spark.createDataFrame(MEMBERS, "group_id string, member_id string, local_id string, name string"), "catalog": _catalog(spark), "siblings": resolve.sibling_groups(_catalog(spark), {"TG": "TRAINER SHELF"}), "promos": resolve.promo_groups(_catalog(spark), "BLACK PROMOS"), "synonyms": {}}
     there = {"catalog_members": far.drop("ids"), "catalog": catalog, "tags": tags, "ref_tags": far.filter("size(ids) > 0").select("member_id", "ids")}
@@ -199,6 +200,18 @@ def two_catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_catalogs(spark, sf_dir)[0].select("slug", "shelf", "kind", F.array_join("target_ids", ",").alias("targets"))
 
 
+def verdict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the matching, the second after an alias was taken back: what is appended, with what it was judged by."""
+    def run(number: int, far_aliases) -> DataFrame:
+        mapping, members, near, there = _two_catalogs(spark, sf_dir, far_aliases)
+        found = resolve.match_shelves(members, mapping, "far", near, there).join(members.select("id", "slug"), "id").join(mapping.select("slug", "shelf"), "slug")
+        version = F.concat(F.when(F.col("shelf") == "far", "far-").otherwise("main-"), F.lit(str(number)))
+        return found.select("id", *resolve.VERDICT, F.lit(number).alias("run"), version.alias("version"))
+
+    first = written(run(1, FAR_ALIASES), "verdict-log")
+    return first.unionByName(history.verdict_log(run(2, FAR_ALIASES[1:]), first, "id", resolve.VERDICT, "run", "run")).select("id", "status", "group_id", "member_id", "run", "version")
+
+
 def match_two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping, members, near, there = _two_catalogs(spark, sf_dir)
     return resolve.match_shelves(members, mapping, "far", near, there)
@@ -278,7 +291,7 @@ def vocabulary_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.novelty(p, "page_id", "names").select("page_id", F.array_join("fresh", ",").alias("fresh"))
 
 
-QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, species_table, species_sync, resolve_sets, match_cards, two_catalog_sets, match_two_catalogs, coverage_top, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
+QUERIES = {f.__name__: f for f in (title_normalize, name_fold, comparable_name, name_parts, canonical_number, partition_shelf, money_to_cents, strict_date, json_keys, unnest_rows, tree_depth, species_table, species_sync, resolve_sets, match_cards, two_catalog_sets, match_two_catalogs, verdict_log, coverage_top, coverage_crosstab, dictionary_tagging, tagging_diff, scd1_sync_actions, scd1_apply, set_details, page_facts, page_fingerprint, vocabulary_novelty)}
 
 _SQ = lambda x: "regexp_replace(trim(regexp_replace({}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')), ' +', ' ', 'g')".format(x)
 _FOLD = f"upper(trim(regexp_replace(translate({{}}, '{text.NAME_ACCENTED}', '{text.NAME_BASE}'), '[^A-Za-z0-9]+', ' ', 'g')))"
@@ -399,3 +412,8 @@ ORACLES["coverage_top"] = f"""{_TWO},
     SELECT 'confirmed' AS section, NULL::INT AS place, coalesce(shelf, 'all') AS name, count(*) FILTER (WHERE status = 'confirmed') AS n, count(*) FILTER (WHERE status <> 'no_number') AS total FROM cv GROUP BY ROLLUP (shelf)
     UNION ALL SELECT 'not found', place, slug, n, NULL FROM tr WHERE place <= 20
     UNION ALL SELECT status, place, concat_ws(' ', id, slug, name, '/', coalesce(other, '-')), NULL, NULL FROM sm WHERE place <= 50"""
+ORACLES["verdict_log"] = f"""{_TWO},
+    r1 AS (SELECT a.id, status, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN group_id END AS group_id, CASE WHEN status IN ('confirmed', 'name_mismatch') THEN member_id END AS member_id, p_brand AS slug,
+                  CASE WHEN p_brand LIKE 'Brand#1%' THEN 'far-' ELSE 'main-' END AS shelf FROM allv a JOIN part ON p_partkey = a.id)
+    SELECT id, status, group_id, member_id, 1 AS run, shelf || '1' AS version FROM r1
+    UNION ALL SELECT id, 'unmapped_set', NULL, NULL, 2, 'far-2' FROM r1 WHERE slug = 'Brand#11' AND status NOT IN ('no_number', 'unmapped_set')"""

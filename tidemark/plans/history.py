@@ -38,6 +38,13 @@ def gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("key", "bucket", "captured_on", "prev_visit", "rows_written", F.col("seq").cast("bigint").alias("seq"), "batch_oldest", "batch_newest", "last_known", "page_cap", "verdict")
 
 
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap audit with the names of users (as customers) and their nations."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("group_id"))
+    groups = table(spark, sf_dir, "nation").filter("n_nationkey % 7 <> 6").select(F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("group_name"))
+    return coverage.gap_report(_candidates(spark, sf_dir), "key", "captured_on", names, groups)
+
+
 def history_cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.cut_plan(_captures(spark, sf_dir), coverage.cut_list(_candidates(spark, sf_dir), "key", "captured_on"), "key", "day")
 
@@ -168,7 +175,7 @@ def acceptance_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (gap_audit, history_cut_plan, history_after_cut, latest_by_key, change_only_history, change_only_plan, delta_history, dedup_natural_key, dedup_append_counts, upsert_touch_vs_insert, bucket_overlap_at_cap, narrowest_margin, burst_rate, cap_classification, monotonicity_violations, restatement_anomalies, parse_failure_rate, rolling_brake, acceptance_invariants)}
+QUERIES = {f.__name__: f for f in (gap_audit, gap_report, history_cut_plan, history_after_cut, latest_by_key, change_only_history, change_only_plan, delta_history, dedup_natural_key, dedup_append_counts, upsert_touch_vs_insert, bucket_overlap_at_cap, narrowest_margin, burst_rate, cap_classification, monotonicity_violations, restatement_anomalies, parse_failure_rate, rolling_brake, acceptance_invariants)}
 
 _DAILY = f"{CAPTURES}, y AS (SELECT key, bucket, day, max(cents) AS cents FROM c GROUP BY ALL)"
 _FIRST = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) = 1"
@@ -177,6 +184,9 @@ ORACLES = {
     "gap_audit": f"""WITH {GAPS} SELECT key, bucket, captured_on, prev_visit, rows_written, seq, batch_oldest, batch_newest, last_known, page_cap,
         CASE WHEN rows_written >= page_cap AND batch_oldest > last_known THEN 'GAP' WHEN rows_written >= page_cap AND batch_oldest = last_known THEN 'BOUNDARY'
              WHEN rows_written >= page_cap THEN 'FULL' ELSE 'OK' END AS verdict FROM g""",
+    "gap_report": f"""WITH {GAPS} SELECT key, c_name AS name, n_name AS group_name, bucket, captured_on, rows_written AS new_rows, page_cap, last_known AS blind_from, batch_oldest AS blind_to,
+        CAST(date_diff('day', prev_visit, captured_on) AS DOUBLE) AS visit_gap_days, CASE WHEN batch_oldest <= last_known THEN 'reached back' ELSE 'GAP' END AS verdict
+        FROM g JOIN customer ON c_custkey = key JOIN nation ON n_nationkey = c_nationkey WHERE rows_written >= page_cap AND n_nationkey % 7 <> 6""",
     "history_cut_plan": f"""WITH {CUTS} SELECT key, cut_at, (SELECT count(*) FROM c WHERE c.key = k.key AND day < cut_at) AS to_delete,
         (SELECT count(*) FROM c WHERE c.key = k.key AND day >= cut_at) AS to_keep FROM k""",
     "history_after_cut": f"WITH {CUTS} SELECT event_id, c.key, day FROM c LEFT JOIN k USING (key) WHERE cut_at IS NULL OR day >= cut_at",

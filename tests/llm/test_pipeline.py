@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_near_duplicates import brute_components, brute_leaks
 from tidemark.llm import queries as Q
@@ -64,3 +66,22 @@ def test_rows_that_share_an_id_are_kept_or_dropped_one_by_one(spark):
 
 def test_no_label_drops_no_text(spark):
     assert kept(spark, corpus_pipeline.known_language, [(1, "some words"), (None, "12"), (2, None), (2, "\u00e9")]) == [(1, "some words"), (2, "\u00e9")]
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark, sf):
+    """Names that stages use themselves, a map and a name with a dot; ids that are shared and rows that repeat."""
+    a = "the words of this one are here and there"
+    rows = [(1, a, "en", {"k": 2}, "n", "i", 5.0, "r"), (1, a, "en", {"k": 1}, "n", "i", 5.0, "r"), (2, a, "en", None, "n", "j", 6.0, "r"), (2, "other words than those of this one, all of them", None, {}, None, None, None, None)]
+    rows += [(50 + k, f"{a} {k} " + "x y z " * k, "en", {}, "n", "i", 0.0, "r") for k in range(4)]
+    schema = "doc_id bigint, text string, lang string, node map<string,int>, __id string, __row string, score double, `a.b` string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = {str(r) for r in out.collect()}
+        assert got and got <= {str(r) for r in docs.collect()}, name
+        if name == "exact dedup":
+            assert out.count() == len(rows) - 2 and out.filter("doc_id = 1").count() == 0
+        if name == "n-gram Jaccard join":
+            assert [r["node"] for r in out.filter(F.col("text") == a).collect()] == [{"k": 1}]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)

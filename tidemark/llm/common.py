@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _local_base: str | None = None
@@ -71,6 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def has_map(kind: T.DataType) -> bool:
+    """Whether values of a type can be neither hashed nor ordered."""
+    return any(word in kind.simpleString() for word in ("map<", "variant"))
+
+
 def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, heaviest: int = 1_000) -> DataFrame:
     """Left join with a lookup that has one row for each key, where a few keys may hold most of the rows.
 
@@ -83,7 +89,7 @@ def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
     heavy = F.broadcast(side(lookup.orderBy(F.desc(weight), *keys).limit(heaviest), 1))
     out = rows.join(heavy, [F.col(k) == F.col(f"__{k}1") for k in keys], "left")
     # Rows met already get a key of their own, by which they are spread.
-    spare = F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)])
+    spare = F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys and not has_map(rows.schema[c].dataType)] or [F.lit(0)])
     for k in keys:
         kind = rows.schema[k].dataType
         out = out.withColumn(f"__{k}0", F.when(F.col("__met1"), spare.cast("string").cast(kind) if kind.simpleString() == "binary" else spare.cast(kind)).otherwise(F.col(k)))

@@ -26,9 +26,10 @@ is bounded by the frequency of the features in it. Signatures of frequent featur
 least member is found by partial aggregation. Identical sets are one member for each task from the
 start and one in all after it.
 
-*Candidates*: in each group that shares a signature, every member meets the least one. Those
+*Candidates*: in each group that shares a signature, every member meets the least one, and in groups of up to
+``SMALL_GROUP`` members each meets all. Those
 that sizes and bitmaps of the sets don't rule out are verified, best supported first, and
-components are formed. Groups that still span components, joined to families where they
+components are formed. Larger groups that still span components, joined to families where they
 overlap, are compared in cells of bounded size by their bitmaps, and what these don't rule out is verified, the likeliest pairs of each
 two components first. Each round allows more pairs, until none is left: no cap, and no link lost.
 Verification compares the words of the texts, not hashes.
@@ -306,13 +307,15 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
     return signatures
 
 
-#: Pairs ``a < b`` and their support; the members of a group of three or more; or, without either, the
+#: Members of a group whose pairs are all candidates; larger ones are compared as families.
+SMALL_GROUP = 8
+#: Pairs ``a < b`` and their support; the members of a larger group; or, without either, the
 #: signature ``a`` of a frequent feature and a member ``b``.
 FOUND = "a bigint, b bigint, support bigint, members array<bigint>"
 
 
 def _candidates(num: int, den: int, buckets: int):
-    """Of a bucket: pairs with each group's least member, and the groups of three or more."""
+    """Of a bucket: all pairs of its small groups, of larger ones the pairs with the least member and the members."""
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= buckets:
@@ -342,9 +345,16 @@ def _candidates(num: int, den: int, buckets: int):
         start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         length = np.diff(np.append(start, len(s)))
         group = np.repeat(np.arange(len(start)), length)
-        a, an = v[start][group], n[start][group]
-        ok = (a != v) & (num * np.maximum(an, n) <= den * np.minimum(an, n))
-        a, b = a[ok], v[ok]
+        # All pairs of a small group, of others those with the least member; both only where sizes allow it.
+        place, small = np.arange(len(s)), length[group] <= SMALL_GROUP
+        left, right = [start[group[~small]]], [place[~small]]
+        for d in range(1, min(SMALL_GROUP, len(s))):
+            i = place[:-d][small[:-d] & (group[:-d] == group[d:])]
+            left.append(i)
+            right.append(i + d)
+        left, right = np.concatenate(left), np.concatenate(right)
+        ok = (left != right) & (num * np.maximum(n[left], n[right]) <= den * np.minimum(n[left], n[right]))
+        a, b = v[left[ok]], v[right[ok]]
         by = np.lexsort((b, a))
         a, b = a[by], b[by]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
@@ -352,7 +362,7 @@ def _candidates(num: int, den: int, buckets: int):
         # Groups with the same members are one.
         name = np.add.reduceat(mix(v.view(_U)), start) + length.astype(_U)
         _, first = np.unique(name, return_index=True)
-        large = first[length[first] >= 3]
+        large = first[length[first] > SMALL_GROUP]
         groups = pd.DataFrame({"a": None, "b": None, "support": None, "members": [v[start[g] : start[g] + length[g]] for g in large]})
         return pd.concat([pairs.astype(object), groups.astype(object)], ignore_index=True)
 

@@ -30,6 +30,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,10 @@ class BpeCodec:
         return sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
+#: Rows that are encoded before their results leave the worker.
+ROWS_AT_ONCE = 256
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, cache_words: int = CACHE_WORDS) -> BpeCodec:
     """One codec and cache for each worker process."""
@@ -179,19 +184,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``token_ids`` for each row.
     ``cache_words`` trades a worker's memory for time."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, cache_words)
         for batch in batches:
-            rows = [bpe.digest(t) for t in batch["body"]]
-            out = pd.DataFrame({"id": batch["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
-            if keep_ids:
-                out["token_ids"] = [np.array(r[3].split(), np.int32) for r in rows]
-            yield out
+            # A few rows at a time: a batch may hold thousands of texts, and their ids stand in memory several times.
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                rows = [bpe.digest(t) for t in part.column("body").to_pylist()]
+                out = {"id": part.column("id"), "n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string())}
+                if keep_ids:
+                    out["token_ids"] = pa.array([np.array(r[3].split(), np.int32) for r in rows], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
-    return rows.mapInPandas(encode, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(encode, schema).withColumnRenamed("id", id_col)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -567,8 +567,13 @@ def similarity_classes(
     pairs = renamed(renamed(found.filter("support is not null").select("a", "b", "support"), "a"), "b").unionByName(stars)
     pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
     pairs = materialize(pairs, "join-pairs")
-    groups = renamed(found.filter("members is not null").select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")), "node").unionByName(ones)
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
+    # Groups with one least member are one family from here on, so that a member of many groups is a few rows. ``times`` is how
+    # many rows its groups would be; a frequent feature is a family, and has no groups to fall back on.
+    large = found.filter("members is not null")
+    families = large.select(F.col("members")[0].alias("family"), F.explode("members").alias("node")).groupBy("family", "node").agg(F.count(F.lit(1)).alias("times"))
+    families = renamed(families, "node").unionByName(ones.select(F.col("g").alias("family"), "node", F.lit(1 << 20).cast("bigint").alias("times")))
+    families = materialize(families.groupBy("family", "node").agg(F.sum("times").alias("times")), "join-families")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
     sketches = materialize(filled.select("node", "n", "bits").join(involved, "node", "left_semi").dropDuplicates(["node"]), "join-sketches")
     pairs = materialize(_possible(pairs, sketches, num, den), "join-pairs")
 
@@ -583,15 +588,26 @@ def similarity_classes(
     tried = pairs.select("a", "b")
 
     while True:
-        at = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
-        at = materialize(at, "join-groups")
-        spans = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("name"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("again")).filter("lo < hi")
-        # Groups with the same members are one; 128 bits and their number tell different ones apart.
-        spans = materialize(spans.groupBy("name", "again", "members").agg(F.min(F.struct("g", "least")).alias("x")).select("x.*", "members"), "join-spans")
+        placed = lambda df: df.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = materialize(placed(families), "join-family-nodes")
+        spans = at.groupBy("family").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("times").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("name"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("again")
+        ).filter("lo < hi")
+        # Families with the same members are one; 128 bits and their number tell different ones apart.
+        spans = materialize(spans.groupBy("name", "again", "members").agg(F.min(F.struct("family", "rows")).alias("x")).select("x.*", "members"), "join-spans")
         if spans.isEmpty():
             break
-        at = materialize(skew_join(at, spans, ["g"], "members").filter("members is not null"), "join-spanning")
-        cells = _families(at).withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
+        at = skew_join(at, spans.select("family", "members", F.col("rows").alias("total")), ["family"], "members").filter("members is not null")
+        at = materialize(at.drop("times"), "join-spanning")
+        # Compared whole where that is fewer rows than its groups have, else group by group.
+        as_one = F.col("members") * F.ceil(F.col("members") / CELL) <= F.col("total")
+        cells = at.filter(as_one).select(F.col("family").alias("g"), "node", "component", "members")
+        hubs = at.filter(~as_one).select("family").distinct()
+        if not hubs.isEmpty():
+            own = large.select(F.col("members")[0].alias("family"), F.xxhash64("members").alias("g"), F.size("members").cast("bigint").alias("members"), "members").toDF("family", "g", "n", "nodes").join(hubs, "family", "left_semi")
+            own = renamed(own.select("g", F.col("n").alias("members"), F.explode("nodes").alias("node")), "node").distinct()
+            cells = cells.unionByName(placed(own).select("g", "node", "component", "members"))
+        cells = cells.withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
         block, other = F.pmod(F.xxhash64("node"), F.col("cuts")), F.col("other")
         cells = cells.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
         # A cell is a block against a block, sides 1 and 2, or a block against itself, side 0.
@@ -604,7 +620,7 @@ def similarity_classes(
             labels = extended_components(labels, materialize(_verify(more, materialize(_texts(more, rows), "join-texts"), size, num, den), "join-links"))
         if new.filter("cut").isEmpty():
             break  # every pair across components was verified
-        groups = at.select("g", "node")
+        families = families.join(spans.select("family"), "family", "left_semi")
         allowance *= 16
 
     # Each set's component, then each row's.
@@ -624,23 +640,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return similarity_classes(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def _families(at: DataFrame) -> DataFrame:
-    """``g, node, component, members`` to compare: near copies share hundreds of groups, so groups that overlap
-    are compared as one family where that is fewer rows, and one by one where it isn't.
-
-    A group goes by its least node. Nearly all groups of near copies have one of a few least nodes, those of its first
-    members; members of several families are compared in each, so none is lost, and no group is sent around to be named.
-    """
-    rows = at.select("g", "node", "component", "members", F.col("least").alias("family"))
-    once = materialize(rows.select("family", "node", "component").distinct(), "join-family-nodes")
-    sizes = once.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    few = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).join(sizes, "family").filter(F.col("n") * F.ceil(F.col("n") / CELL) <= F.col("rows"))
-    few = materialize(few, "join-few")
-    whole = skew_join(once, few, ["family"], "n").filter("n is not null").select(F.col("family").alias("g"), "node", "component", F.col("n").alias("members"))
-    single = skew_join(rows, few, ["family"], "rows").filter("rows is null").select("g", "node", "component", "members")
-    return whole.unionByName(single)
-
-
 def _texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The packed texts of all nodes in ``pairs``. The join comes first, so that only theirs reach Python."""
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

@@ -274,3 +274,23 @@ def test_multi_index_finds_all_in_the_radius():
         bits[flip] ^= 1
         found = {i for _, i in index.lookup(np.packbits(bits)[None, :])}
         assert (item in found) == (len(flip) <= 20)
+
+
+def test_families_beyond_a_cell_are_compared_whole_or_by_group(spark, monkeypatch):
+    """Cells of a few members: families are cut in blocks, and hubs go back to their groups."""
+    from tidemark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CELL", 4)
+    rnd = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base, rows = [rnd.choice(vocabulary) for _ in range(120)], []
+    for i in range(70):  # near copies around the threshold
+        w = list(base)
+        for _ in range(rnd.randrange(14)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base[:30] + [rnd.choice(vocabulary) for _ in range(rnd.randrange(20, 60))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for allowance in (1, 64):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df, bucket_bytes=20_000, allowance=allowance).collect()}
+        assert got == brute_components(rows)

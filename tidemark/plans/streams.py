@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators import folds, verdicts
 from tidemark.plans.common import scratch, table
@@ -12,43 +11,42 @@ from tidemark.plans.schedule import ORACLES as _SCHEDULE
 from tidemark.streaming import visits
 
 
-def _batches(spark: SparkSession, sf_dir: str, columns: list, name: str, parts: int = 4, order: str = "ts") -> DataFrame:
-    """The events in ``parts`` files, in time order, read as a stream of one file at a time."""
+def _in_rounds(spark: SparkSession, rows: DataFrame, rounds: int, number, name: str, run) -> None:
+    """Writes the rows of each round to a folder and lets ``run`` stream what is new there: a micro-batch a round."""
     path = scratch(spark, name)
-    rows = table(spark, sf_dir, "events").select(*columns)
-    rows.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
+    for r in range(rounds):
+        rows.filter(number == r).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
 
-def stream_dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [(F.col("user_id") % 40).alias("source"), F.col("value").cast("bigint").alias("source_id"), "event_id", "ts"]
-    source = _batches(spark, sf_dir, columns, "stream-dedup")
-    out = visits.BatchTable(spark, scratch(spark, "stream-dedup-out"), source.schema)
-    visits.replay(source, visits.append_new(out, ["source", "source_id"], ["ts", "event_id"]), scratch(spark, "stream-dedup-state"))
-    return out.read().select("source", "source_id")
 
+def _days(at: str, days: int):
+    """The number of a row's stretch of so many days."""
+    return F.floor(F.datediff(at, F.lit("2024-01-01")) / days)
 
-def stream_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "limited").when(F.col("event_type") == "click", "slow").otherwise("ok")
-    source = _batches(spark, sf_dir, ["event_id", "user_id", "ts", kind.alias("kind")], "stream-aimd", parts=1)
-    folded = visits.fold_stream(source, folds.Backoff(), "user_id", ["ts", "event_id"], "kind")
-    schema = T.StructType([f for f in folded.schema.fields])
-    out = visits.BatchTable(spark, scratch(spark, "stream-aimd-out"), schema)
 
+def _keep(out: visits.BatchTable):
     def sink(batch: DataFrame, number: int) -> None:
         out.write(batch, number)
         out.commit(number)
 
-    visits.replay(folded, sink, scratch(spark, "stream-aimd-state"))
-    return out.read().select("event_id", F.round("delay", 6).alias("delay"), "failures", "paused")
+    return sink
 
 
-def _in_rounds(spark: SparkSession, rows: DataFrame, rounds: int, number, name: str, run) -> None:
-    """Writes the rows of each round to a folder and lets ``run`` stream what is new there: a micro-batch a round."""
-    path = scratch(spark, name)
-    for r in range(rounds):
-        rows.filter(number == r).write.mode("append").parquet(path)
-        run(spark.readStream.schema(rows.schema).parquet(path))
+def stream_dedup_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("source"), F.col("value").cast("bigint").alias("source_id"), "event_id", "ts")
+    out, state = visits.BatchTable(spark, scratch(spark, "stream-dedup-out"), rows.schema), scratch(spark, "stream-dedup-state")
+    append = visits.append_new(out, ["source", "source_id"], ["ts", "event_id"])
+    _in_rounds(spark, rows, 4, _days("ts", 8), "stream-dedup", lambda stream: visits.replay(stream, append, state))
+    return out.read().select("source", "source_id")
+
+
+def stream_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "limited").when(F.col("event_type") == "click", "slow").otherwise("ok")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("kind"))
+    schema = visits.fold_schema(rows.schema, folds.Backoff())
+    out, state = visits.BatchTable(spark, scratch(spark, "stream-aimd-out"), schema), scratch(spark, "stream-aimd-state")
+    _in_rounds(spark, rows, 4, _days("ts", 8), "stream-aimd", lambda stream: visits.replay(visits.fold_stream(stream, folds.Backoff(), "user_id", ["ts", "event_id"], "kind"), _keep(out), state))
+    return out.read().select("event_id", F.round("delay", 6).alias("delay"), "failures", "paused")
 
 
 def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

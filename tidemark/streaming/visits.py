@@ -154,6 +154,11 @@ def replay(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     query.awaitTermination()
 
 
+def fold_schema(events: T.StructType, machine) -> T.StructType:
+    """The events' fields and the machine's after them."""
+    return T.StructType([*events.fields, *T.StructType.fromDDL(machine.FIELDS).fields])
+
+
 def fold_stream(events: DataFrame, machine, key: str, order: list[str], kind: str, seconds: str | None = None) -> DataFrame:
     """The stream form of :func:`tidemark.operators.folds.fold`: the same ``step``, its state kept between batches.
 

@@ -1,9 +1,12 @@
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import detail, markup, visit_page
+from tests.oracle import compare
+from tidemark.plans import catalogue
+from tidemark.sources import detail, markup, pages, visit_page
 from tidemark.streaming import visits
 
 LAYOUT = visit_page.Layout(
@@ -134,3 +137,24 @@ def test_a_failed_visit_leaves_nothing_and_its_replay_all(spark, tmp_path):
     sink(spark.createDataFrame([(1, "2024-01-03", rolled)], "id bigint, at string, html string").withColumn("at", F.col("at").cast("timestamp")), 1)
     last = store["visits"].read().filter("at = timestamp'2024-01-03'").first()
     assert last["at_cap"] and last["new_sales"] == 2 and last["new_prices"] == 1  # back to 120
+
+
+def test_only_the_references_that_pages_write(spark):
+    html = "<title>a &amp; b &quot;&#39; &lt &amp</title><article><a href='/x?a=1&amp;b&copy'>&eacute; &notit;</a><script>page = {\"k\": \"1 && 2 &amp;\"}</script></article>&am"
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    script = 'page = {"k": "1 && 2 &amp;"}'
+    for names, title, link, text in ((None, "a & b \"' < &", "/x?a=1&b\u00a9", "\u00e9 \u00acit;"), (("amp",), "a & b &quot;&#39; &lt &amp", "/x?a=1&b&copy", "&eacute; &notit;")):
+        got, tree = pages.page_facts(df, references=names).first(), markup.parse(html, names)
+        assert (got["title"], list(got["links"]), got["script"]) == (title, [link], script)
+        assert (tree.find("title").text, tree.find("a").text, tree.find("a").attrs["href"], tree.find("script").text) == (title, text, link, script)
+
+
+@pytest.mark.parametrize("name", ["page_facts", "page_visits"])
+def test_titles_with_other_and_with_cut_references_equal_the_sql(spark, tmp_path, name):
+    """Titles cut to a length end in pieces of references; the SQL reads ``&amp;`` alone."""
+    titles = ["a &amp; b", "cut &amp", "cut &am", "token = &quot;77", "&#x27;q&#x27; &lt;b&gt; &amp;lt;", "&amp;amp;", "A &copy"]
+    rows = [(i, f"https://h/{i}", f'<!DOCTYPE html><html><head><title>{t}</title></head><body><article><a href="/a">x</a></article></body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    compare(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])

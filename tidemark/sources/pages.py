@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.markup import only_references
+
 
 class _Reader(HTMLParser):
     """Title, link targets, paragraphs, script texts and tag names of a page."""
@@ -56,19 +58,22 @@ RAW = T.StructType([
 ])
 
 
-@F.pandas_udf(RAW)
-def read_page(html: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in html:
-        r = _Reader()
-        error = None
-        try:
-            r.feed(text or "")
-            r.close()
-        except Exception as e:  # any parser error is drift, not a failed job
-            error = f"{type(e).__name__}: {e}"
-        rows.append((r.title, r.links, r.labels, r.tags, "\n".join(r.scripts), error))
-    return pd.DataFrame(rows, columns=RAW.names)
+def read_page(html: Column, references: tuple[str, ...] | None = None) -> Column:
+    @F.pandas_udf(RAW)
+    def read(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in pages:
+            r = _Reader()
+            error = None
+            try:
+                r.feed(only_references(text or "", references))
+                r.close()
+            except Exception as e:  # any parser error is drift, not a failed job
+                error = f"{type(e).__name__}: {e}"
+            rows.append((r.title, r.links, r.labels, r.tags, "\n".join(r.scripts), error))
+        return pd.DataFrame(rows, columns=RAW.names)
+
+    return read(html)
 
 
 def balanced_object(text: str | None, marker: str) -> str | None:
@@ -91,12 +96,12 @@ def inline_json(script: Column, marker: str) -> Column:
     return extract(script)
 
 
-def page_facts(pages: DataFrame, html: str = "html", known_tags: tuple[str, ...] | None = None) -> DataFrame:
+def page_facts(pages: DataFrame, html: str = "html", known_tags: tuple[str, ...] | None = None, references: tuple[str, ...] | None = None) -> DataFrame:
     """``pages`` with ``verdict`` (ok, drift or rejected), ``reason`` and the facts.
 
     An error or a page without a title is drift; so is a tag outside the known vocabulary; a page without an
-    article isn't of the kind and is rejected."""
-    p = pages.withColumn("page", read_page(F.col(html)))
+    article isn't of the kind and is rejected. ``references`` names the character references that pages write, if not all."""
+    p = pages.withColumn("page", read_page(F.col(html), references))
     unknown = F.array_except(F.map_keys("page.tags"), F.lit(list(known_tags))) if known_tags else F.array().cast("array<string>")
     no_title = F.coalesce(F.trim("page.title"), F.lit("")) == ""
     reason = (

@@ -148,21 +148,34 @@ def match_across_scripts(members: DataFrame, mapping: DataFrame, catalog_members
 
     ``tags(key, ids)`` and ``ref_tags(member_id, ids)`` are arrays of entity ids. A member without tags, or whose hits all
     name no entity, has nobody to vouch for it (``no_guard``); one agreeing hit confirms, several are ambiguous, and where
-    some hit names another entity the first one, in the order of the mapping, is evidence of a mismatch."""
+    some hit names another entity the first one, in the order of the mapping, is evidence of a mismatch.
+
+    References of one group and number, which grow with the catalog, are first brought down to how many there are and the
+    first of them, over all and for each tag. So a member meets one row for each of its groups and tags, not all hits, and
+    whether one agrees or several is read from the counts and from the least and the greatest of what it met."""
     number = name_parts(F.col("name"))["number"]
     targets = F.when(F.col("kind") == "mapped", F.col("target_ids"))
     m = members.join(mapping, "slug", "left").select(key, F.coalesce("kind", F.lit("unmapped")).alias("kind"), number.alias("member_number"), targets.alias("targets"), canonical_number(number).alias("__canonical"))
     m = m.select(key, "kind", "member_number", "__canonical", F.posexplode_outer("targets").alias("ord", "group_id"))
     refs = catalog_members.select("group_id", "member_id", "local_id", F.col("name").alias("ref_name"), canonical_number(F.col("local_id")).alias("__canonical"))
     refs = refs.join(ref_tags.withColumnRenamed("ids", "__ref_ids"), "member_id", "left").join(catalog.select("group_id", "official"), "group_id")
-    hits = m.join(refs, ["group_id", "__canonical"], "left").join(tags.withColumnRenamed("ids", "__ids"), key, "left")
-    found = F.col("member_id").isNotNull()
-    some = lambda c: found & F.coalesce(F.size(c) > 0, F.lit(False))
-    agree = found & F.coalesce(F.arrays_overlap("__ids", "__ref_ids"), F.lit(False))
-    row = F.struct("ord", "group_id", "member_id", "local_id", "ref_name", "official")
+    # Once for the number and once for each tag; null stands for the number alone.
+    kind = tags.schema["ids"].dataType
+    whole = lambda c: F.array_compact(F.array_distinct(F.coalesce(c, F.array().cast(kind))))
+    unfold = lambda c: F.explode(F.concat(F.array(F.lit(None).cast(kind.elementType)), whole(c)))
+    ref = F.struct("group_id", "member_id", "local_id", "ref_name", "official", "__ref_ids")
+    refs = refs.select("group_id", "__canonical", unfold(F.col("__ref_ids")).alias("__tag"), ref.alias("ref")).groupBy("group_id", "__canonical", "__tag")
+    refs = refs.agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("ref"), F.max(F.size("ref.__ref_ids") > 0).alias("named"))
+    m = m.join(tags.withColumnRenamed("ids", "__ids"), key, "left").withColumn("tagged", F.coalesce(F.size("__ids") > 0, F.lit(False)))
+    m = m.select("*", unfold(F.col("__ids")).alias("__tag")).drop("__ids")
+    hits = m.join(refs.withColumnsRenamed({"group_id": "__g", "__canonical": "__c", "__tag": "__t"}), (F.col("group_id") == F.col("__g")) & (F.col("__canonical") == F.col("__c")) & F.col("__tag").eqNullSafe(F.col("__t")), "left")
+    row = lambda *more: F.struct("ord", *[F.col(f"ref.{c}").alias(c) for c in ("group_id", "member_id", "local_id", "ref_name", "official", *more)])
+    agree, found = F.col("n").isNotNull() & F.col("__tag").isNotNull(), F.col("n").isNotNull() & F.col("__tag").isNull()
+    least, most = F.min(F.when(agree, row("__ref_ids"))), F.max(F.when(agree, row("__ref_ids")))
+    agreeing = F.when(least.isNull(), 0).when((F.max(F.when(agree, F.col("n"))) == 1) & (least == most), 1).otherwise(2)
     out = hits.groupBy(key).agg(
-        F.first("kind").alias("kind"), F.first("member_number").alias("member_number"), F.count_if(agree).alias("agreeing"), F.min(F.when(agree, row)).alias("good"), F.min(F.when(found, row)).alias("first"),
-        F.max(some("__ids")).alias("tagged"), F.max(some("__ref_ids")).alias("named"),
+        F.first("kind").alias("kind"), F.first("member_number").alias("member_number"), agreeing.alias("agreeing"), F.min(F.when(agree, row())).alias("good"), F.min(F.when(found, row())).alias("first"),
+        F.max("tagged").alias("tagged"), F.max(F.when(found, F.col("named"))).alias("named"),
     )
     status = (
         F.when(F.col("member_number").isNull(), "no_number").when(F.col("kind") != "mapped", "unmapped_set").when(F.col("first").isNull(), "number_not_found").when(~F.col("tagged"), "no_guard")

@@ -2,7 +2,13 @@
 
 import random
 
-from tidemark.operators import resolve
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import integrity, resolve
+from tidemark.plans import history
+from tidemark.sources import detail, slices, visit_page
 
 
 def most_rows(df):
@@ -53,3 +59,29 @@ def test_verdicts_across_scripts_equal_those_of_all_pairs(spark):
         status = "number_not_found" if not hits else "no_guard" if not tags.get(i) else "confirmed" if len(good) == 1 else "ambiguous" if good else "name_mismatch" if any(ref_tags.get(h[2]) for h in hits) else "no_guard"
         expected[i] = (status, good[0][2] if status == "confirmed" else hits[0][2] if status == "name_mismatch" else None)
     assert got == expected and {s for s, _ in got.values()} >= {"confirmed", "ambiguous", "name_mismatch", "no_guard"}
+
+
+def test_slices_hold_few_texts_and_few_bytes_and_lose_none():
+    texts = ["x" * 10] * 150 + [None, "y" * (3 << 20), "", "z" * (1 << 19), "z" * (1 << 19), "z"]
+    parts = [p.to_pylist() for p in slices.slices(pa.array(texts))]
+    assert sum(parts, []) == texts and max(map(len, parts)) <= slices.MOST_TEXTS
+    assert all(sum(len(t or "") for t in p) <= slices.MOST_BYTES or len(p) == 1 for p in parts) and list(slices.slices(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("read", ["page", "listing"])
+def test_pages_are_read_and_handed_on_slice_by_slice(spark, read):
+    rows = [(i, None if i % 50 == 7 else f'<title>{i}</title><table><tr id="product-{i}"><td class="title"><a href="/game/{i}">{i}</a></td></tr></table>') for i in range(300)]
+    layout = visit_page.Layout(series={}, graders=(), sources=(), known_labels=(), image="x")
+    column = visit_page.page_parts(F.col("html"), layout) if read == "page" else detail.listing(F.col("html"))
+    df = spark.createDataFrame(rows, "id int, html string").coalesce(1).select("id", column.alias("r"))
+    got = {x["id"]: x["r"]["title"] if read == "page" else [p["name"] for p in x["r"]["products"]] for x in df.collect()}
+    assert got == {i: None if html is None and read == "page" else [] if html is None else str(i) if read == "page" else [str(i)] for i, html in rows}
+
+
+def test_tasks_of_the_cap_classes_grow_with_their_rows(spark):
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [history._tasks(spark, n) for n in (0, 250_000, 250_000 * own + 1)] == [own, own, own + 1]
+    rows = spark.range(100).select((F.col("id") % 40).alias("key"), F.lit("").alias("stream"), F.col("id").alias("position"), F.col("id").alias("cents"), F.current_date().alias("day"), F.col("id").alias("row_id"))
+    given = [["key"], "stream", "position", "cents", "day", ["row_id"]]
+    out = integrity.cap_classification(rows, *given, partitions=37)
+    assert out.rdd.getNumPartitions() == 37 and sorted(out.collect()) == sorted(integrity.cap_classification(rows, *given).collect())

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cap_classification(rows: DataFrame, keys: list[str], stream: str, position: str, price: str, day: str, row_id: list[str], full_page: int = 30, run_gap: int = 1000, run_rows: int = 3) -> DataFrame:
+def cap_classification(rows: DataFrame, keys: list[str], stream: str, position: str, price: str, day: str, row_id: list[str], full_page: int = 30, run_gap: int = 1000, run_rows: int = 3, partitions: int | None = None) -> DataFrame:
     """``keys, rows, run_rows, price_rows, day_rows, cap_class``.
 
     Distinct rows; under ``full_page`` of them *recomposed*; *bulk* if runs of consecutive positions (gaps up to
-    ``run_gap``, at least ``run_rows`` long) hold half of them, or one price and one day each do; else *organic*."""
+    ``run_gap``, at least ``run_rows`` long) hold half of them, or one price and one day each do; else *organic*.
+    A task holds its rows several times, in the order of each window: ``partitions`` is for tables so large that Spark's own
+    number of tasks leaves each with too many."""
     # One exchange by key; what comes after it, distinct rows and windows, stays with it.
-    distinct = rows.select(*keys, stream, position, price, day, *row_id).repartition(*keys).dropDuplicates([*keys, *row_id, price, day])
+    distinct = rows.select(*keys, stream, position, price, day, *row_id).repartition(*([partitions] if partitions else []), *keys).dropDuplicates([*keys, *row_id, price, day])
     w = Window.partitionBy(*keys, stream).orderBy(position, *row_id, price, day)
     placed = F.col(position).isNotNull()
     new = placed & F.coalesce(F.col(position) - F.lag(position).over(w) > run_gap, F.lit(True))

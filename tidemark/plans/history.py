@@ -135,11 +135,16 @@ def burst_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("key", F.round("rate", 9).alias("rate"))
 
 
+def _tasks(spark: SparkSession, rows: int, most: int = 250_000) -> int:
+    """Tasks for an exchange of so many rows, at most about ``most`` each, but no fewer than Spark's own number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
 def cap_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("key"), F.lit("").alias("stream"), F.col("l_partkey").alias("position"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_partkey").alias("row_id")
     )
-    return integrity.cap_classification(lines, ["key"], "stream", "position", "cents", "day", ["row_id"], run_gap=3)
+    return integrity.cap_classification(lines, ["key"], "stream", "position", "cents", "day", ["row_id"], run_gap=3, partitions=_tasks(spark, lines.count()))
 
 
 def _priority():

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import integrity, resolve
 from tidemark.plans import history
 from tidemark.sources import detail, slices, visit_page
+from tidemark.streaming import visits
 
 
 def most_rows(df):
@@ -85,3 +87,13 @@ def test_tasks_of_the_cap_classes_grow_with_their_rows(spark):
     given = [["key"], "stream", "position", "cents", "day", ["row_id"]]
     out = integrity.cap_classification(rows, *given, partitions=37)
     assert out.rdd.getNumPartitions() == 37 and sorted(out.collect()) == sorted(integrity.cap_classification(rows, *given).collect())
+
+
+def test_a_keys_rows_are_sorted_and_widened_as_arrays():
+    frames = [pd.DataFrame({"k": [3, 1], "t": pd.to_datetime(["2024-01-02", "2024-01-01"]), "s": ["b", "a"]}), pd.DataFrame({"k": [2], "t": pd.to_datetime(["2024-01-01"]), "s": ["c"]})]
+    for order, expected in ((["t", "k"], [1, 2, 3]), (["s"], [1, 3, 2])):
+        rows = visits.in_order(iter(frames), order)
+        out = visits.with_columns(rows, ["n", "ok"], [(i, i > 0) for i in range(3)])
+        assert list(out.columns) == ["k", "t", "s", "n", "ok"] and out["k"].tolist() == expected and out["ok"].tolist() == [False, True, True]
+    one = visits.in_order(iter([frames[0].iloc[1:]]), ["k"])
+    assert visits.with_columns(one, ["n"], [(7,)]).to_dict("records") == [{"k": 1, "t": pd.Timestamp("2024-01-01"), "s": "a", "n": 7}]

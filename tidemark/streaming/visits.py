@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,6 +155,24 @@ def replay(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     query.awaitTermination()
 
 
+def in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> dict[str, np.ndarray]:
+    """A key's rows of a micro-batch, sorted, as columns. Keys are many and their rows few, so what counts is the cost of a
+    call: one ``lexsort`` over arrays, and frames are only put together where there are several."""
+    frames = list(batches)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    columns = {c: rows[c].to_numpy() for c in rows.columns}
+    if any(columns[c].dtype == object for c in order):  # texts, or nulls among them
+        at = rows.reset_index(drop=True).sort_values(order).index.to_numpy()
+    else:
+        at = np.lexsort([columns[c] for c in reversed(order)])
+    return {c: v[at] for c, v in columns.items()}
+
+
+def with_columns(rows: dict[str, np.ndarray], names: list[str], values: list[tuple]) -> pd.DataFrame:
+    """``rows`` and, after their columns, the values of each row."""
+    return pd.DataFrame({**rows, **dict(zip(names, map(list, zip(*values))))}, copy=False)
+
+
 def fold_schema(events: T.StructType, machine) -> T.StructType:
     """The events' fields and the machine's after them."""
     return T.StructType([*events.fields, *T.StructType.fromDDL(machine.FIELDS).fields])
@@ -170,10 +189,10 @@ def fold_stream(events: DataFrame, machine, key: str, order: list[str], kind: st
         import json
 
         held = json.loads(state.get[0]) if state.exists else machine.initial()
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
-        got = [machine.step(held, k, None if t is None or t != t else float(t)) for k, t in zip(rows[kind], rows[seconds] if seconds else [None] * len(rows))]
+        rows = in_order(batches, order)
+        got = [machine.step(held, k, None if t is None or t != t else float(t)) for k, t in zip(rows[kind].tolist(), rows[seconds].tolist() if seconds else [None] * len(rows[kind]))]
         state.update((json.dumps(held),))
-        yield pd.concat([rows, pd.DataFrame(got, columns=names)], axis=1)
+        yield with_columns(rows, names, got)
 
     return events.groupBy(key).applyInPandasWithState(run, out_schema, "state string", "append", "NoTimeout")
 
@@ -219,11 +238,11 @@ def single_flights(requests: DataFrame, key: str, at: str, request: str, seconds
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values([at, request], ignore_index=True)
+        rows = in_order(batches, [at, request])
         flight, ends, served = state.get if state.exists else (None, 0, 0)
         out = []
         # Whole microseconds since 1970.
-        for name, t in zip(rows[request].astype(str), rows[at].astype("datetime64[us]").astype("int64").tolist()):
+        for name, t in zip(map(str, rows[request].tolist()), rows[at].astype("datetime64[us]").astype("int64").tolist()):
             rides = flight is not None and t < ends
             if not rides:
                 flight, ends, served = name, t + int(seconds * 1_000_000), 0
@@ -231,7 +250,7 @@ def single_flights(requests: DataFrame, key: str, at: str, request: str, seconds
             out.append((flight, served, rides))
         state.update((flight, ends, served))
         state.setTimeoutTimestamp(max(ends // 1_000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.concat([rows, pd.DataFrame(out, columns=["flight", "served", "coalesced"])], axis=1)
+        yield with_columns(rows, ["flight", "served", "coalesced"], out)
 
     return requests.select(*columns).groupBy(key).applyInPandasWithState(run, schema, "flight string, ends bigint, served int", "append", "EventTimeTimeout")
 

@@ -294,3 +294,31 @@ def test_families_beyond_a_cell_are_compared_whole_or_by_group(spark, monkeypatc
     for allowance in (1, 64):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df, bucket_bytes=20_000, allowance=allowance).collect()}
         assert got == brute_components(rows)
+
+
+def test_rows_of_a_family_grow_with_its_members():
+    """Neither cells nor buckets give a row for each pair of a family's members, and all its links stay within reach."""
+    import pandas as pd
+
+    from tidemark.llm import jaccard_join
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2)
+    family = [np.unique(np.concatenate((base[rng.permutation(200)[:196]], rng.integers(0, 2**63, 3, dtype=np.uint64)))) for _ in range(120)]
+    cell = pd.DataFrame({"g": 1, "cell": 0, "node": range(120), "component": range(120), "n": [len(s) for s in family], "side": 0, "bits": [bitmap(s) for s in family]})
+    found = pd.concat(jaccard_join._across(3, 4, 4)(iter([cell])))
+    pairs = found[~found["cut"]]
+    assert found["cut"].any() and len(pairs) <= 4 * 120 and set(pairs["a"]) | set(pairs["b"]) >= set(range(1, 120))
+    whole = pd.concat(jaccard_join._across(3, 4, 1000)(iter([cell])))
+    assert not whole["cut"].any() and len(whole) == 120 * 119 // 2
+    # Of each group that shares a signature: a row for every member but the least, in however many buckets.
+    texts = [" ".join(f"w{i}" for i in range(k, 300)).encode() for k in range(20)]
+    frequent = type("Held", (), {"value": np.empty(0, np.int64)})
+    owner, sig, _ = Signer(3, 4, np.empty(0, np.uint64)).sign(shingle_sets(texts))
+    count = np.unique(np.unique(np.stack((sig, owner.astype(np.uint64))), axis=1)[0], return_counts=True)[1]
+    rows = [(5 - 2**62 + 7 * k, t) for k, t in enumerate(texts)]
+    for buckets in (16, 500):
+        blocks = pd.concat(jaccard_join._signatures(5, 3, 4, frequent, buckets, 300_000)(iter([pd.DataFrame(rows, columns=["node", "body"])])))
+        made = pd.concat([jaccard_join._candidates(buckets)(b) for _, b in blocks.groupby("bucket")])
+        assert len(made) == (count - 1).sum() and sorted(made["m"]) == sorted(np.repeat(count, count - 1))
+        assert made["g"].nunique() == (count > 1).sum() and set(made["b"]) <= {r[0] for r in rows} and (made["a"] < made["b"]).all()

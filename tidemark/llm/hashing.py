@@ -170,9 +170,9 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def bitmap(features: np.ndarray, most: int = 20) -> bytes:
-    """A bit for the trailing part of each feature, at least eight bits a feature up to ``2**most``."""
-    k = min(max(6, int(8 * len(features) - 1).bit_length() if len(features) else 6), most)
+def bitmap(features: np.ndarray, each: int = 8, most: int = 20) -> bytes:
+    """A bit for the trailing part of each feature, at least ``each`` bits a feature up to ``2**most``."""
+    k = min(max(6, int(each * len(features) - 1).bit_length() if len(features) else 6), most)
     bits = np.zeros(1 << k, bool)
     bits[(features & _U((1 << k) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()

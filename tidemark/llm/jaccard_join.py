@@ -20,18 +20,19 @@ elements, n being the size of either. PartEnum turns this into equality of signa
   ``n - ceil(t * n) + 1`` of them are enough. Which features count as frequent changes the
   cost, not the result.
 
-Signatures travel packed, in blocks for each hash bucket; the number of sets that can share one
+Only one row of each set is signed. Signatures travel packed, in blocks for each hash bucket: the 40 bits that tell those of a bucket
+apart, and for each set in the block its node's offset and how many signatures it has there. The number of sets that can share one
 is bounded by the frequency of the features in it. Signatures of frequent features, at most
 ``max_frequent`` of them, may be shared by any number of sets; they travel one by one, and their
-least member is found by partial aggregation. Identical sets are one member for each task from the
-start and one in all after it.
+least member is found by partial aggregation.
 
-*Candidates*: in each group that shares a signature, every member meets the least one, and in groups of up to
-``SMALL_GROUP`` members each meets all. Those
+*Candidates*: a bucket gives a row for each member but the least of a group that shares a signature, so never more rows than
+signatures, however large groups are. Every member meets the least one first. Those pairs
 that sizes and bitmaps of the sets don't rule out are verified, best supported first, and
-components are formed. Larger groups that still span components, joined to families where they
-overlap, are compared in cells of bounded size by their bitmaps, and what these don't rule out is verified, the likeliest pairs of each
-two components first. Each round allows more pairs, until none is left: no cap, and no link lost.
+components are formed. Only groups that still span components go on: in groups of up to ``SMALL_GROUP`` members all pairs across
+components are tried; larger ones, joined to families where they have one least member,
+are compared in cells of bounded size by their bitmaps, and what these don't rule out is verified, the likeliest partners of each
+set first. Each round allows more partners, until none is left: no cap, and no link lost.
 Verification compares the words of the texts, not hashes.
 
 Null or empty texts have no features and no links. A null id orders after all others; rows
@@ -226,7 +227,7 @@ def _profiles(size: int, local_df: int, chunk: int):
             for i, j in _by_size(texts, 1 << 19):
                 for s in shingle_sets(texts[i:j], size):
                     name = _two(s)
-                    rows.append((len(s), *name, bitmap(s)))
+                    rows.append((len(s), *name, bitmap(s, 4)))
                     if len(s) and name not in seen:
                         seen.add(name)
                         held.append(s)
@@ -244,27 +245,50 @@ def _profiles(size: int, local_df: int, chunk: int):
 
 
 #: Packed signatures of a bucket. Those of frequent features are in buckets beyond, and stay single rows after it.
-BLOCKS = "bucket int, node binary, size binary, owner binary, sig binary"
+BLOCKS = "bucket int, node binary, count binary, sig binary"
 _BLOCKS = [c.split()[0] for c in BLOCKS.split(", ")]
+#: Bytes of a signature in its block. Two that agree in them and in the bucket are taken as one: a candidate more, never a link.
+SIG_BYTES = 5
+
+
+def _trimmed(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned longs."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widened(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(_U)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Longs as a width, their least one, and what they exceed it by in so many bytes."""
+    above = x.view(_U) - x.min().view(_U)
+    width = max(1, -(-int(above.max()).bit_length() // 8))
+    return bytes([width]) + int(x.min()).to_bytes(8, "little", signed=True) + _trimmed(above, width)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return (_widened(raw[9:], raw[0]) + np.frombuffer(raw[1:9], "<u8").astype(_U)).view(np.int64)
 
 
 def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: int):
     """Packed signatures by bucket. A text that a task has met before is signed once."""
 
-    def flush(nodes: list[int], sizes: list[int], owner: np.ndarray, sig: np.ndarray, hot: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
+    def flush(nodes: list[int], owner: np.ndarray, sig: np.ndarray, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+        node = np.array(nodes, np.int64)
         if hot.any():
-            yield pd.DataFrame([(buckets + int(node[0] % buckets), node[owner[hot]].tobytes(), b"", b"", sig[hot].tobytes())], columns=_BLOCKS)
+            yield pd.DataFrame([(buckets + int(node[0] % buckets), node[owner[hot]].tobytes(), b"", sig[hot].tobytes())], columns=_BLOCKS)
         owner, sig = owner[~hot], sig[~hot]
         bucket = (sig % _U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((owner, bucket))
         bucket, owner, sig = bucket[order], owner[order], sig[order]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            who, local = np.unique(owner[a:b], return_inverse=True)
-            local = local.astype(np.uint16 if len(who) <= 65_536 else np.uint32)
-            out.append((int(bucket[a]), node[who].tobytes(), n[who].astype(np.uint32).tobytes(), local.tobytes(), sig[a:b].tobytes()))
+            who, count = np.unique(owner[a:b], return_counts=True)
+            out.append((int(bucket[a]), _packed(node[who]), _packed(count.astype(np.int64)), _trimmed(sig[a:b] >> _U(64 - 8 * SIG_BYTES), SIG_BYTES)))
             if len(out) == 64:
                 yield pd.DataFrame(out, columns=_BLOCKS)
                 out = []
@@ -276,7 +300,6 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
 
         signer = Signer(num, den, np.array(frequent.value, _U))
         nodes: list[int] = []
-        sizes: list[int] = []
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[bytes] = set()
         total = 0
@@ -291,80 +314,53 @@ def _signatures(size: int, num: int, den: int, frequent, buckets: int, chunk: in
             if len(seen) > 500_000:
                 seen.clear()
             for i, j in _by_size(texts, 1 << 19):
-                sets = shingle_sets(texts[i:j], size)
-                owner, sig, hot = signer.sign(sets)
+                owner, sig, hot = signer.sign(shingle_sets(texts[i:j], size))
                 held.append((owner + len(nodes), sig, hot))
                 nodes += fresh_nodes[i:j]
-                sizes += [len(s) for s in sets]
                 total += len(sig)
                 if total >= chunk:
-                    yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
-                    nodes, sizes, held, total = [], [], [], 0
+                    yield from flush(nodes, *[np.concatenate(x) for x in zip(*held)])
+                    nodes, held, total = [], [], 0
                     _release()
         if held:
-            yield from flush(nodes, sizes, *[np.concatenate(x) for x in zip(*held)])
+            yield from flush(nodes, *[np.concatenate(x) for x in zip(*held)])
 
     return signatures
 
 
-#: Members of a group whose pairs are all candidates; larger ones are compared as families.
+#: Members of a group whose pairs are all candidates where it spans components; larger ones are compared as families.
 SMALL_GROUP = 8
-#: Pairs ``a < b`` and their support; the members of a larger group; or, without either, the
-#: signature ``a`` of a frequent feature and a member ``b``.
-FOUND = "a bigint, b bigint, support bigint, members array<bigint>"
+#: The least member ``a`` of a group ``g``, another member ``b``, and the number of members; of a frequent feature's group only a member ``b``.
+FOUND = "g bigint, a bigint, b bigint, m bigint"
 
 
-def _candidates(num: int, den: int, buckets: int):
-    """Of a bucket: all pairs of its small groups, of larger ones the pairs with the least member and the members."""
+def _candidates(buckets: int):
+    """A row for each member but the least of a bucket's groups."""
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= buckets:
             one, member = np.frombuffer(b"".join(pdf["sig"]), np.int64), np.frombuffer(b"".join(pdf["node"]), np.int64)
-            return pd.DataFrame({"a": one, "b": member, "support": None, "members": None})
+            return pd.DataFrame({"g": one, "a": None, "b": member, "m": None})
         _release()
-        nodes, sizes, sigs = [], [], []
-        for node, size, owner, sig in zip(pdf["node"], pdf["size"], pdf["owner"], pdf["sig"]):
-            node = np.frombuffer(node, np.int64)
-            owner = np.frombuffer(owner, np.uint16 if len(node) <= 65_536 else np.uint32)
-            nodes.append(node[owner])
-            sizes.append(np.frombuffer(size, np.uint32)[owner])
-            sigs.append(np.frombuffer(sig, _U))
-        sig = np.concatenate(sigs)
+        sig = np.concatenate([_widened(x, SIG_BYTES) for x in pdf["sig"]])
+        node = np.concatenate([np.repeat(_unpacked(x), _unpacked(c)) for x, c in zip(pdf["node"], pdf["count"])])
         order = np.argsort(sig)
         s = sig[order]
         again = s[1:] == s[:-1]
         order = order[np.concatenate((again, [False])) | np.concatenate(([False], again))]
-        node, size, sig = np.concatenate(nodes)[order], np.concatenate(sizes)[order].astype(np.int64), sig[order]
-        del nodes, sizes, sigs, s, again
+        node, sig = node[order], sig[order]
+        del s, again
         order = np.lexsort((node, sig))
-        s, v, n = sig[order], node[order], size[order]
+        s, v = sig[order], node[order]
         fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))[: len(s)]
-        s, v, n = s[fresh], v[fresh], n[fresh]
-        if not len(s):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "support", "members")})
-        start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        s, v = s[fresh], v[fresh]
+        start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))[: len(s)])
         length = np.diff(np.append(start, len(s)))
-        group = np.repeat(np.arange(len(start)), length)
-        # All pairs of a small group, of others those with the least member; both only where sizes allow it.
-        place, small = np.arange(len(s)), length[group] <= SMALL_GROUP
-        left, right = [start[group[~small]]], [place[~small]]
-        for d in range(1, min(SMALL_GROUP, len(s))):
-            i = place[:-d][small[:-d] & (group[:-d] == group[d:])]
-            left.append(i)
-            right.append(i + d)
-        left, right = np.concatenate(left), np.concatenate(right)
-        ok = (left != right) & (num * np.maximum(n[left], n[right]) <= den * np.minimum(n[left], n[right]))
-        a, b = v[left[ok]], v[right[ok]]
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
-        pairs = pd.DataFrame({"a": a[new], "b": b[new], "support": np.diff(np.append(new, len(a))), "members": None})
-        # Groups with the same members are one.
-        name = np.add.reduceat(mix(v.view(_U)), start) + length.astype(_U)
-        _, first = np.unique(name, return_index=True)
-        large = first[length[first] > SMALL_GROUP]
-        groups = pd.DataFrame({"a": None, "b": None, "support": None, "members": [v[start[g] : start[g] + length[g]] for g in large]})
-        return pd.concat([pairs.astype(object), groups.astype(object)], ignore_index=True)
+        others = np.ones(len(s), bool)
+        others[start] = False
+        least, many = np.repeat(v[start], length), np.repeat(length, length)
+        name = (s * _U(buckets) + _U(int(pdf["bucket"].iloc[0]))).view(np.int64)
+        return pd.DataFrame({"g": name[others], "a": least[others], "b": v[others], "m": many[others]})
 
     return candidates
 
@@ -384,11 +380,16 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
         return pd.Series(out, dtype=bool)
 
     at = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
-    salted, lookup = _spread(pairs, at("a"))
-    sized = salted.join(at("b"), "b").join(lookup, ["a", "salt"]).filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
+    salted, lookup = _spread(pairs, _among(at("a"), pairs, "a"))
+    sized = salted.join(_among(at("b"), pairs, "b"), "b").join(lookup, ["a", "salt"]).filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
     return sized.filter(may("na", "nb", "bitsa", "bitsb")).select(*pairs.columns)
 
 
+def _among(lookup: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The rows of ``lookup`` for nodes that are this side of a pair: wide rows of others needn't travel."""
+    return lookup.join(pairs.select(side).distinct(), side, "left_semi")
+
+
 #: Pairs of one node in a join's group; the rows of nodes with more are salted.
 DEGREE = 512
 
@@ -435,8 +436,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
             yield batch.loc[good, ["a", "b"]]
 
     at = lambda side: texts.select(F.col("node").alias(side), F.col("packed").alias(f"text_{side}"))
-    salted, lookup = _spread(pairs.select("a", "b"), at("a"))
-    joined = salted.join(at("b"), "b").join(lookup, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    salted, lookup = _spread(pairs.select("a", "b"), _among(at("a"), pairs, "a"))
+    joined = salted.join(_among(at("b"), pairs, "b"), "b").join(lookup, ["a", "salt"]).select("a", "b", "text_a", "text_b")
     return joined.mapInPandas(check, "a bigint, b bigint")
 
 
@@ -453,8 +454,9 @@ CELL = 1024
 
 
 def _across(num: int, den: int, allowance: int):
-    """Of cells, in order: pairs between components that bitmaps don't rule out, the ``allowance`` likeliest of
-    each two components; and a row with ``cut`` where there were more."""
+    """Of cells, in order: pairs between components that bitmaps don't rule out, for each set the ``allowance``
+    likeliest; and a row with ``cut`` where there were more. Sets of a cell's largest component are partners only:
+    every pair across components has an end outside it, so rows grow with the members and not with their pairs."""
 
     def compare(node: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...] | None:
         width = np.array([len(b) // 8 for b in bits])
@@ -479,13 +481,15 @@ def _across(num: int, den: int, allowance: int):
         if not left:
             return None
         left, right, miss = np.concatenate(left), np.concatenate(right), np.concatenate(miss)
-        p, q = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
-        by = np.lexsort((miss, q, p))
-        p, q = p[by], q[by]
-        start = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
-        place = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))
-        keep = place < allowance
-        a, b = node[left[by]][keep], node[right[by]][keep]
+        names, sizes = np.unique(comp, return_counts=True)
+        left, right, miss = np.concatenate((left, right)), np.concatenate((right, left)), np.concatenate((miss, miss))
+        asks = comp[left] != names[sizes.argmax()]
+        left, right, miss = left[asks], right[asks], miss[asks]
+        by = np.lexsort((node[right], miss, left))
+        left, right = left[by], right[by]
+        start = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+        keep = np.arange(len(left)) - np.repeat(start, np.diff(np.append(start, len(left)))) < allowance
+        a, b = node[left[keep]], node[right[keep]]
         return np.minimum(a, b), np.maximum(a, b), not keep.all()
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -532,7 +536,7 @@ def similarity_classes(
     den: int = 4,
     bucket_bytes: int = 4 << 20,
     max_frequent: int = 100_000,
-    allowance: int = 16,
+    allowance: int = 4,
 ) -> DataFrame:
     """``node, id, n_shingles, component_id, kept`` for each row of ``docs``; documents link when the Jaccard
     similarity of their n-gram sets is at least ``num / den``. One node of each component is ``kept``: the one
@@ -554,28 +558,26 @@ def similarity_classes(
     copies = materialize(named.filter("node <> rep").select("node", "rep").distinct(), "join-copies")
 
     buckets = max(16, int((docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("s")).first()["s"] or 0) // bucket_bytes))
-    blocks = rows.select("node", "body").mapInPandas(_signatures(size, num, den, frequent, buckets, 300_000), BLOCKS)
-    found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(num, den, buckets), FOUND), "join-found")
-
-    # Members that several tasks met go by their set's one name.
-    def renamed(df: DataFrame, side: str) -> DataFrame:
-        return df.join(copies.select(F.col("node").alias(side), "rep"), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
-
-    ones = materialize(renamed(found.filter("members is null and support is null").select(F.col("a").alias("g"), F.col("b").alias("node")), "node").distinct(), "join-ones")
-    least = ones.groupBy("g").agg(F.min("node").alias("a"))  # at most one row for each frequent feature
-    stars = ones.join(F.broadcast(least), "g").select("a", F.col("node").alias("b"), F.lit(1).cast("bigint").alias("support"))
-    pairs = renamed(renamed(found.filter("support is not null").select("a", "b", "support"), "a"), "b").unionByName(stars)
-    pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("support").alias("support"))
-    pairs = materialize(pairs, "join-pairs")
-    # Groups with one least member are one family from here on, so that a member of many groups is a few rows. ``times`` is how
-    # many rows its groups would be; a frequent feature is a family, and has no groups to fall back on.
-    large = found.filter("members is not null")
-    families = large.select(F.col("members")[0].alias("family"), F.explode("members").alias("node")).groupBy("family", "node").agg(F.count(F.lit(1)).alias("times"))
-    families = renamed(families, "node").unionByName(ones.select(F.col("g").alias("family"), "node", F.lit(1 << 20).cast("bigint").alias("times")))
-    families = materialize(families.groupBy("family", "node").agg(F.sum("times").alias("times")), "join-families")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
-    sketches = materialize(filled.select("node", "n", "bits").join(involved, "node", "left_semi").dropDuplicates(["node"]), "join-sketches")
-    pairs = materialize(_possible(pairs, sketches, num, den), "join-pairs")
+    # One row of each set signs.
+    signing = rows.select("node", "body").join(copies.select("node"), "node", "left_anti")
+    blocks = signing.mapInPandas(_signatures(size, num, den, frequent, buckets, 300_000), BLOCKS)
+    found = materialize(blocks.groupBy("bucket").applyInPandas(_candidates(buckets), FOUND), "join-found")
+
+    ones = found.filter("a is null").select("g", "b").distinct()
+    least = ones.groupBy("g").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("m"))  # at most one row for each frequent feature
+    hot_groups = ones.join(F.broadcast(least), "g").filter("a <> b").select("g", "a", "b", "m")
+    grouped = found.filter("m > 2").unionByName(materialize(hot_groups, "join-ones"))
+    stars = grouped.select("a", "b").unionByName(found.filter("m = 2").select("a", "b"))
+    stars = materialize(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")), "join-stars")
+    involved = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sketches = filled.select("node", "n", "bits").join(involved, "node", "left_semi")
+    sketches = materialize(sketches.dropDuplicates(["node"]) if shared else sketches, "join-sketches")
+    # Sizes alone rule out many pairs before bitmaps have to meet.
+    near = stars
+    for side in ("a", "b"):
+        near = near.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
+    near = materialize(near.filter(num * F.greatest("na", "nb") <= den * F.least("na", "nb")).select("a", "b", "support"), "join-near")
+    pairs = materialize(_possible(near, sketches, num, den), "join-pairs")
 
     texts = materialize(_texts(pairs, rows), "join-texts")
     # The best supported pair of each node first; then what still joins different components.
@@ -587,6 +589,23 @@ def similarity_classes(
         labels = extended_components(labels, materialize(_verify(rest, texts, size, num, den), "join-links"))
     tried = pairs.select("a", "b")
 
+    # Small groups that still span components; their pairs with the least member are settled.
+    apart = materialize(_apart(stars, labels), "join-apart")
+    small = grouped.filter(F.col("m") <= SMALL_GROUP)
+    spanning = materialize(small.join(apart, ["a", "b"], "left_semi").select("g").distinct(), "join-groups")
+    small = materialize(small.join(spanning, "g", "left_semi").select("g", "b"), "join-grouped")
+    two = small.withColumnRenamed("b", "a").join(small, "g").filter("a < b").select("a", "b").distinct()
+    two = materialize(_apart(two, labels).join(stars, ["a", "b"], "left_anti"), "join-small")
+    if not two.isEmpty():
+        two = materialize(_possible(two, sketches, num, den), "join-small")
+        labels = extended_components(labels, materialize(_verify(two, materialize(_texts(two, rows), "join-texts"), size, num, den), "join-links"))
+        tried = tried.unionByName(two)
+    # Larger groups with one least member are one family from here on, so that a member of many groups is one row. ``times`` is
+    # how many rows its groups would be: a group of m members has m - 1 rows besides the least one's.
+    large = grouped.filter(F.col("m") > SMALL_GROUP)
+    families = large.groupBy(F.col("a").alias("family"), F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("times"))
+    families = materialize(families.unionByName(large.groupBy(F.col("a").alias("family"), F.col("a").alias("node")).agg(F.round(F.sum(1 / (F.col("m") - 1))).cast("bigint").alias("times"))), "join-families")
+
     while True:
         placed = lambda df: df.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         at = materialize(placed(families), "join-family-nodes")
@@ -604,8 +623,8 @@ def similarity_classes(
         cells = at.filter(as_one).select(F.col("family").alias("g"), "node", "component", "members")
         hubs = at.filter(~as_one).select("family").distinct()
         if not hubs.isEmpty():
-            own = large.select(F.col("members")[0].alias("family"), F.xxhash64("members").alias("g"), F.size("members").cast("bigint").alias("members"), "members").toDF("family", "g", "n", "nodes").join(hubs, "family", "left_semi")
-            own = renamed(own.select("g", F.col("n").alias("members"), F.explode("nodes").alias("node")), "node").distinct()
+            own = large.join(hubs.withColumnRenamed("family", "a"), "a", "left_semi").select("g", F.col("m").alias("members"), "a", "b")
+            own = own.select("g", "members", F.col("b").alias("node")).unionByName(own.select("g", "members", F.col("a").alias("node")).distinct())
             cells = cells.unionByName(placed(own).select("g", "node", "component", "members"))
         cells = cells.withColumn("cuts", F.ceil(F.col("members") / CELL).cast("bigint"))
         block, other = F.pmod(F.xxhash64("node"), F.col("cuts")), F.col("other")
